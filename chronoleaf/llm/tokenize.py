@@ -9,15 +9,13 @@ runs of white space) are encoded whole by the library.
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Distinct pieces that a worker keeps; beyond, the cache starts anew.
+#: Distinct pieces that a worker keeps; beyond, the cache starts anew. Longer pieces seldom come again.
 CACHE = 400_000
-RUN = re.compile(r"\s ?\s| \s|\s\Z")
+LONGEST = 10
 
 
 def byte_letters() -> list[str]:
@@ -27,39 +25,57 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
+class WholeText(Exception):
+    """A text that has to be encoded in one call."""
+
+
+def packed(ids) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; a missing one is encoded and kept."""
+    """piece -> its ids as little-endian unsigned 32-bit integers; a missing one is encoded and kept.
 
-    def __init__(self, library, kind: str):
+    ``before``: what stands before each piece in its text, a space or nothing.
+    """
+
+    def __init__(self, library, kind: str, before: str, plain: Pieces | None = None):
         super().__init__()
-        self.library, self.model, self.kind = library, library.model, kind
+        self.library, self.model, self.kind, self.before = library, library.model, kind, before
+        self.plain = self if plain is None else plain
         self.letters = dict(enumerate(byte_letters()))
 
     def spelt(self, letters: str) -> str | None:
         """How the model's vocabulary spells a piece of letters; None where the library has to normalise it."""
         if self.kind == "word":
-            if not letters.isascii() and ("Σ" in letters or not unicodedata.is_normalized("NFC", letters)):
+            if letters.isascii():
+                return letters.lower()
+            if "Σ" in letters or not unicodedata.is_normalized("NFC", letters):
                 return None
             letters = letters.lower()
-            if not letters.isalpha():
-                return None
-        return letters if letters.isascii() and self.kind == "word" else letters.encode().decode("latin-1").translate(self.letters)
+            return letters.encode().decode("latin-1").translate(self.letters) if letters.isalpha() else None
+        if letters.isascii():
+            return "\u0120" + letters if self.before else letters
+        return (self.before + letters).encode().decode("latin-1").translate(self.letters)
 
     def __missing__(self, piece: str) -> bytes:
-        line, end, more = piece.partition("\n")
-        if end and line.strip() == line.lstrip() and more[:1].strip() and line.strip():
-            return self[line] + self[end] + self[more]
-        space = piece[:1] == " "
-        body = piece[1:] if space else piece
-        core = body if body.isalpha() else body.rstrip(",.")
-        made = None
-        if core is not body and core.isalpha():
-            made = self[piece[: len(piece) - len(body) + len(core)]] + self[body[len(core) :]]
-        elif core is body and body and (spelt := self.spelt(piece)) is not None:
-            made = np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
-        if made is None:
-            made = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = made
+        if self.before and (not piece or piece[0].isspace()):
+            raise WholeText
+        made = spelt = None
+        if piece.isalpha():
+            spelt = self.spelt(piece)
+        elif (core := piece.rstrip(",.")) is not piece and core.isalpha():
+            made = self[core] + self.plain[piece[len(core) :]]
+        else:
+            line, end, more = piece.partition("\n")
+            if end and line and more and not line[-1].isspace() and not more[0].isspace():
+                return self[line] + self.plain[end] + self.plain[more]
+        if spelt is not None:
+            made = packed([x.id for x in self.model.tokenize(spelt)])
+        elif made is None:
+            made = packed(self.library.encode(self.before + piece, add_special_tokens=False).ids)
+        if len(piece) <= LONGEST:
+            self[piece] = made
         return made
 
 
@@ -70,25 +86,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.kind = Tokenizer.from_file(path), kind
-        self.cache = Pieces(self.library, kind)
-
-    def parts(self, text: str) -> list[str] | None:
-        if "<|" in text:
-            return None
-        if self.kind == "word":
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if RUN.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        self.plain = Pieces(self.library, kind, "")
+        self.spaced = Pieces(self.library, kind, " ", self.plain) if kind == "byte" else self.plain
 
     def one(self, text: str) -> bytes:
-        parts = self.parts(text)
-        if parts is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        return b"".join(map(self.cache.__getitem__, parts))
+        if len(self.plain) + len(self.spaced) > CACHE:
+            self.plain.clear()
+            self.spaced.clear()
+        if "<|" not in text:
+            if self.kind == "word":
+                text = text.replace("\n", " ")
+            first, *rest = text.split(" ")
+            try:
+                return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+            except WholeText:
+                pass
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
