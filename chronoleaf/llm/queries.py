@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoleaf.llm import html_tree, media, mixing, packing, quality_rules, secrets, simple8b
+from chronoleaf.llm import html_tree, media, minhash, mixing, packing, quality_rules, secrets, simple8b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.main_text(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op4_quality_rules, op5_token_files, op7_source_mixing, op8_packing, op10_main_text)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op4_quality_rules, op5_token_files, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
