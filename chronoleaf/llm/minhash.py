@@ -207,4 +207,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but those whose component has a smaller doc_id; all columns."""
     gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(written(gone, "duplicates"), "doc_id", "left_anti")
+    return docs.join(written(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
