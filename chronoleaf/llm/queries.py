@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoleaf.llm import gam, html_tree, media, minhash, mixing, packing, quality_rules, secrets, simple8b
+from chronoleaf.llm import gam, html_tree, media, minhash, mixing, packing, quality_rules, secrets, simple8b, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(spark, simple8b.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -53,7 +57,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
