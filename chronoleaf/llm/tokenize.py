@@ -12,9 +12,10 @@ from __future__ import annotations
 import unicodedata
 from array import array
 from functools import lru_cache
+from string import punctuation
 
 #: Distinct pieces that a worker keeps; beyond, the cache starts anew. Longer pieces seldom come again.
-CACHE = 400_000
+CACHE = 800_000
 LONGEST = 10
 
 
@@ -64,7 +65,7 @@ class Pieces(dict):
         made = spelt = None
         if piece.isalpha():
             spelt = self.spelt(piece)
-        elif (core := piece.rstrip(",.")) is not piece and core.isalpha():
+        elif (core := piece.rstrip(punctuation)) is not piece and core.isalpha():
             made = self[core] + self.plain[piece[len(core) :]]
         else:
             line, end, more = piece.partition("\n")
