@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoleaf.llm.common import bound_batches
+
 MAX_TRAIN = 20_000
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, PENALTY = 32, 8, 150, 60, 8, 0.1, 4.0
 CUT = 0.7
@@ -204,6 +206,7 @@ def vectors(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     """Fits on at most ``most`` labelled rows that are not held out."""
+    bound_batches(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("l"), "quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("l")).select("doc_id", "quality", "text")

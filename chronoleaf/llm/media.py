@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronoleaf.llm.common import written
+from chronoleaf.llm.common import bound_batches, written
 
 UNIT = 576
 WIDTH = 96
@@ -158,6 +158,7 @@ def media_table(docs: DataFrame) -> DataFrame:
                 made = [payload(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array([encode_png(p) for p, _ in made], pa.binary())], schema=MEDIA)
 
+    bound_batches(docs.sparkSession)
     return written(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
 
 
@@ -185,4 +186,5 @@ def media_features(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
+    bound_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURES)

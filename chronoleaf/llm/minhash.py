@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoleaf.llm.common import written
+from chronoleaf.llm.common import bound_batches, written
 from chronoleaf.llm.components import components
 
 HALVES, WIDTH, SEED = 12, 3, 11
@@ -81,6 +81,7 @@ def half_keys(values: np.ndarray, multiply: np.ndarray, add: np.ndarray, width:
 
 def signatures(docs: DataFrame, words: int, halves: int = HALVES, width: int = WIDTH) -> DataFrame:
     """SIGNATURES of each row of ``docs``, written to the shared folder."""
+    bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in SIGNATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoleaf.llm.common import written
+from chronoleaf.llm.common import bound_batches, written
 from chronoleaf.llm.tokenize import encoder, tokenizer_path
 
 SIZE = 2048
@@ -190,6 +190,7 @@ PIECES = "pid int, nth long, doc_id long, piece int, start long, length long, id
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Tokenised pieces, written to the shared folder. pid, nth: input partition, rank there within the length."""
+    bound_batches(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path(TOKENIZER)
     schema = PIECES + (", ids binary" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoleaf.llm.common import fresh_path, partitions, written
+from chronoleaf.llm.common import bound_batches, fresh_path, partitions, written
 from chronoleaf.llm.tokenize import encoder, tokenizer_path
 
 #: Selector -> (ids in a word, bits of an id).
@@ -131,6 +131,7 @@ SEGMENTS = "shard long, before long, n_ids long, doc_ids binary, no_id binary, l
 def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> str:
     """Writes the ids of all texts, each followed by ``end_id``, in ascending doc_id order; gives the files' path."""
     spark = docs.sparkSession
+    bound_batches(spark)
     tokenizer = tokenizer or tokenizer_path(TOKENIZER)
     path = path or fresh_path(spark, "tokens")
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(partitions(spark), "doc_id", "tie")
@@ -174,6 +175,7 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
     start adds a document's place in its shard to the sum of all earlier shards; there is one row per shard,
     so that sum is over as many rows as the writer had partitions.
     """
+    bound_batches(spark)
     files = spark.read.schema(SEGMENTS).parquet(path)
     schema = DOCS + (", ids array<long>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]

@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoleaf.llm.common import partitions, written
+from chronoleaf.llm.common import bound_batches, partitions, written
 from chronoleaf.llm.minhash import GOLD, mix
 from chronoleaf.llm.suffix_array import suffix_array
 
 LENGTH, K, SIDE = 50, 20, 15
 SPREAD = LENGTH - K + 1
 STRETCH, LARGE, LEFT, TOGETHER = 256, 4 << 20, 25, 1 << 19
+#: Anchors that a task holds before it sends them off.
+HELD = 1 << 19
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -88,37 +90,40 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob): the anchors of a batch of documents by bucket of their hash."""
+    """(bucket, blob): the anchors of some documents by bucket of their hash."""
+
+    def packed(ids: list[int], tags: list[int], parts: list[tuple]) -> pa.RecordBatch:
+        which, pos, h, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
+        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            o = order[cuts[k] : cuts[k + 1]]
+            if len(o):
+                used, local = np.unique(which[o], return_inverse=True)
+                head = np.array([len(used), len(o)], "<u4").tobytes()
+                body = (np.array(ids, "<i8")[used], np.array(tags, "<u8")[used], local.astype("<u4"), pos[o].astype("<u4"), h[o].astype("<u4"), left[o].astype("<u2"), right[o].astype("<u2"))
+                rows.append((k, head + b"".join(x.tobytes() for x in body)))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for start in range(0, big.num_rows, 4096):
-                b = big.slice(start, 4096)
-                ids, tags, parts = [], [], []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    if doc_id is None or len(raw) < LENGTH:
-                        continue
-                    pos, h, left, right = anchors(np.frombuffer(raw, np.uint8))
-                    parts.append((np.full(len(pos), len(ids), np.uint32), pos.astype(np.uint32), h, left, right))
-                    ids.append(doc_id)
-                    tags.append(xxhash.xxh3_64_intdigest(raw))
-                if not ids:
+        ids, tags, parts, held = [], [], [], 0
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                if doc_id is None or len(raw) < LENGTH:
                     continue
-                which, pos, h, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
-                bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
-                for k in range(buckets):
-                    o = order[cuts[k] : cuts[k + 1]]
-                    if not len(o):
-                        continue
-                    used, local = np.unique(which[o], return_inverse=True)
-                    head = np.array([len(used), len(o)], "<u4").tobytes()
-                    body = (np.array(ids, "<i8")[used], np.array(tags, "<u8")[used], local.astype("<u4"), pos[o].astype("<u4"), h[o].astype("<u4"), left[o].astype("<u2"), right[o].astype("<u2"))
-                    rows.append((k, head + b"".join(x.tobytes() for x in body)))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+                pos, h, left, right = anchors(np.frombuffer(raw, np.uint8))
+                parts.append((np.full(len(pos), len(ids), np.uint32), pos.astype(np.uint32), h, left, right))
+                ids.append(doc_id)
+                tags.append(xxhash.xxh3_64_intdigest(raw))
+                held += len(pos)
+                if held >= HELD:
+                    yield packed(ids, tags, parts)
+                    ids, tags, parts, held = [], [], [], 0
+        if ids:
+            yield packed(ids, tags, parts)
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
 
@@ -407,6 +412,7 @@ def remove(candidates: DataFrame, with_text: bool) -> DataFrame:
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """RESULT of each row of ``docs``; with_text adds the kept bytes of the documents that lose some."""
     spark = docs.sparkSession
+    bound_batches(spark)
     text = F.coalesce("text", F.lit(""))
     rows = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
     reps = written(rows.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep")), "text-classes")
