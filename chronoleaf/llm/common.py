@@ -43,7 +43,7 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Has the session cut Arrow batches at BATCH_BYTES; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key, "")).rstrip("b")
+    now = str(spark.conf.get(key)).lower().rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
