@@ -7,10 +7,10 @@ pair of one hash of either collection: HALVES**2 tables of 2 * WIDTH minhashes e
 
 Documents of equal shingle sets are one class, and only class representatives go on. Hashes that no other
 representative has are dropped before they are paired. In each table's bucket the member that meets others
-most often is the pivot, and every representative is first verified against its best pivot; buckets that are
-not one component by then are taken up again with more and more pivots until all pairs between different
-components have been verified. So no link that a table shows is lost, while no bucket is expanded to pairs
-once it is connected. Verification compares the full shingle sets of whole texts.
+most often is the pivot, and every representative is first verified against its best pivot. In buckets that are not
+one component by then, members are compared with all pivots there, and what sets them off from a pivot proves
+most pairs apart (``feasible``); the rest are verified. So no link that a table shows is lost, while no bucket
+is expanded to pairs. Verification compares the full shingle sets of whole texts.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; fewer words than a
 shingle make one shingle; a null doc_id has a null component and is kept; rows that repeat a doc_id with different
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, words: int, halves: int = HALVES, width: int = W
 
 
 def buckets(reps: DataFrame, halves: int = HALVES) -> DataFrame:
-    """reps (rep, n, keys) -> (bucket, rep, n, rank): members of table buckets of two or more, most central first."""
+    """reps (rep, n, keys) -> (bucket, rep, n, c): members of table buckets of c, two or more."""
     keys = reps.select("rep", "n", F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"))
     met = keys.join(shared, F.col("key") == F.col("k"), "left_semi")
@@ -155,32 +155,89 @@ def linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
     first = first.groupBy(F.col("rep").alias("u")).agg(F.max_by("pivot", F.struct("pc", -F.col("pivot"))).alias("v"))
     tested = written(first.select("u", "v"), "pairs")
     links = written(verified(tested, texts, words, percent), "verified")
-    roots = components(links)
-    low, high = 0, 4
-    open_ = members
-    while True:
-        labels = written(roots, "labels").withColumnRenamed("node", "l")
-        x = open_.select("bucket", "rep", "n", "c", "central").join(labels, F.col("rep") == F.col("l"), "left").select("bucket", "rep", "n", "c", "central", F.coalesce("root", "rep").alias("root"))
-        x = written(x, "labelled")
-        mixed = x.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("c").alias("c")).filter(f"r0 <> r1 and c > {low}").select(F.col("bucket").alias("t"))
-        open_ = written(x.join(mixed, F.col("bucket") == F.col("t"), "left_semi"), "mixed")
-        if not open_.limit(1).count():
-            return labels.withColumnRenamed("l", "node")
-        order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "rep")
-        ranked = written(open_.withColumn("rank", F.row_number().over(order) - 1), "ranked")
-        pivots = ranked.filter(f"rank >= {low} and rank < {high}").select(F.col("bucket").alias("t"), F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), F.col("rank").alias("vk"))
-        pairs = ranked.join(pivots, (F.col("bucket") == F.col("t")) & (F.col("rank") > F.col("vk")) & (F.col("root") != F.col("vr")) & close_sizes(F.col("n"), F.col("vn"), percent))
-        pairs = pairs.select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
-        done = tested.select(F.greatest("u", "v").alias("tu"), F.least("u", "v").alias("tv"))
-        pairs = written(pairs.join(done, (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti"), "pairs")
-        found = written(verified(pairs, texts, words, percent), "verified")
-        if found.limit(1).count():
-            links = written(links.union(found), "verified")
-            roots = components(links)
-        else:
-            roots = labels.withColumnRenamed("l", "node")
-        tested = written(tested.union(pairs), "pairs")
-        low, high = high, high * 4
+    labels = written(components(links), "labels").withColumnRenamed("node", "l")
+    x = members.join(labels, F.col("rep") == F.col("l"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    x = written(x, "labelled")
+    mixed = x.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("bucket").alias("t"))
+    x = written(x.join(mixed, F.col("bucket") == F.col("t"), "left_semi"), "mixed")
+    if not x.limit(1).count():
+        return labels.withColumnRenamed("l", "node")
+    pairs = written(feasible(x, best, tested, texts, words, percent), "pairs")
+    found = written(verified(pairs, texts, words, percent), "verified")
+    return components(links.union(found)) if found.limit(1).count() else labels.withColumnRenamed("l", "node")
+
+
+DELTAS = "rep long, p long, n long, d long, parts array<bigint>"
+
+
+def deltas(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """pairs (u, v) -> DELTAS: size of u's shingle set and the shingles that only one of u and v has."""
+    x = pairs.join(texts.select(F.col("rep").alias("r"), F.col("text").alias("own")), F.col("u") == F.col("r")).select("u", "v", "own")
+    x = x.join(texts.select(F.col("rep").alias("r"), F.col("text").alias("other")), F.col("v") == F.col("r")).select("u", "v", "own", "other")
+    names = [c.split()[0] for c in DELTAS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, np.zeros(0, np.uint64)
+        for big in batches:
+            for start in range(0, big.num_rows, 256):
+                b = big.slice(start, 256)
+                sizes, parts = [], []
+                for own, other in zip(b.column(2), b.column(3), strict=True):
+                    other = other.as_py()
+                    if other != last:
+                        last, pivot = other, shingles(other, words)
+                    s = shingles(own.as_py(), words)
+                    sizes.append(len(s))
+                    parts.append(np.setxor1d(s, pivot, assume_unique=True).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=names)
+
+    return x.mapInArrow(run, DELTAS)
+
+
+def feasible(mixed: DataFrame, best: DataFrame, tested: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of different components in a group of mixed buckets that may still be linked.
+
+    A group is what mixed buckets connect; its pivot is its most central member. With d the shingles that only one of x and pivot p has, x and a differ in dx + da - 2 |Dx and Da| shingles,
+    and what Dx and Da have in common can only be parts that several documents around p have, sx or sa at most.
+    A link needs (100 + percent) * difference <= (100 - percent) * (nx + na). With E = (100 + percent) d -
+    (100 - percent) n and H = 2 (100 + percent) s - E that leaves only pairs with Ea <= Hx and Ex <= Ha; all
+    others are proved apart without being compared, and so are those with a common best pivot that fail there.
+    So copies that differ from their centre in places of their own cost as much as there are of them.
+    """
+    up, down = 100 + percent, 100 - percent
+    groups = components(mixed.join(best.select("t", "pivot"), F.col("bucket") == F.col("t")).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+    groups = written(groups.withColumnRenamed("node", "m"), "groups")
+    central = best.groupBy("pivot").agg(F.max("pc").alias("pc")).join(groups, F.col("pivot") == F.col("m")).groupBy("root").agg(F.max(F.struct("pc", (-F.col("pivot")).alias("o"))).alias("top"))
+    groups = groups.join(central.select(F.col("root").alias("gr"), (-F.col("top.o")).alias("g")), F.col("root") == F.col("gr")).select("m", "g")
+    own = tested.select(F.col("u").alias("k"), F.col("v"))
+    placed = mixed.select("rep", "root").distinct().join(groups, F.col("rep") == F.col("m")).join(own, F.col("rep") == F.col("k"), "left")
+    placed = written(placed.select("rep", "root", "g", F.coalesce("v", "rep").alias("v")), "placed")
+    near = written(placed.select(F.col("rep").alias("u"), F.col("g").alias("v")).union(placed.select("rep", "v")).distinct(), "near-pivots")
+    table = written(deltas(near, texts, words), "deltas")
+    parts = table.select("rep", "p", F.explode("parts").alias("part"))
+    common = parts.groupBy(F.col("p").alias("q"), F.col("part").alias("c")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    s = parts.join(common, (F.col("p") == F.col("q")) & (F.col("part") == F.col("c"))).groupBy(F.col("rep").alias("sr"), F.col("p").alias("sp")).agg(F.count(F.lit(1)).alias("s"))
+    x = table.select("rep", "p", "n", "d").join(s, (F.col("rep") == F.col("sr")) & (F.col("p") == F.col("sp")), "left")
+    e = up * F.col("d") - down * F.col("n")
+    x = written(x.select(F.col("rep").alias("k"), "p", "n", e.alias("e"), (2 * up * F.coalesce("s", F.lit(0)) - e).alias("h")), "bounds")
+    by = lambda c: x.select(F.col("k").alias(f"{c}k"), F.col("p").alias(f"{c}p"), F.col("n").alias(f"{c}n"), F.col("e").alias(f"{c}e"), F.col("h").alias(f"{c}h"))
+    y = placed.join(by("g"), (F.col("rep") == F.col("gk")) & (F.col("g") == F.col("gp"))).join(by("v"), (F.col("rep") == F.col("vk")) & (F.col("v") == F.col("vp")))
+    y = written(y.select("rep", "root", "g", "v", F.col("gn").alias("n"), "ge", "gh", "ve", "vh"), "bounded")
+    # what the other components of a group offer at best: the least E and the greatest H of another root
+    best_of = y.groupBy("g").agg(F.min(F.struct("ge", "root")).alias("e1"), F.max(F.struct("gh", "root")).alias("h1")).withColumnRenamed("g", "bg")
+    z = y.join(best_of, F.col("g") == F.col("bg"))
+    second = z.groupBy(F.col("g").alias("cg")).agg(F.min(F.when(F.col("root") != F.col("e1.root"), F.col("ge"))).alias("e2"), F.max(F.when(F.col("root") != F.col("h1.root"), F.col("gh"))).alias("h2"))
+    z = z.join(second, F.col("g") == F.col("cg"))
+    least = F.when(F.col("root") != F.col("e1.root"), F.col("e1.ge")).otherwise(F.col("e2"))
+    most = F.when(F.col("root") != F.col("h1.root"), F.col("h1.gh")).otherwise(F.col("h2"))
+    y = written(z.filter((least <= F.col("gh")) & (F.col("ge") <= most)).select(*y.columns), "open")
+    z = y.select(*[F.col(c).alias(f"o_{c}") for c in y.columns])
+    fits = (F.col("rep") < F.col("o_rep")) & (F.col("root") != F.col("o_root")) & close_sizes(F.col("n"), F.col("o_n"), percent)
+    fits = fits & (F.col("o_ge") <= F.col("gh")) & (F.col("ge") <= F.col("o_gh"))
+    fits = fits & ((F.col("v") != F.col("o_v")) | ((F.col("o_ve") <= F.col("vh")) & (F.col("ve") <= F.col("o_vh"))))
+    pairs = y.join(z, (F.col("g") == F.col("o_g")) & fits).select(F.col("o_rep").alias("u"), F.col("rep").alias("v")).distinct()
+    done = tested.select(F.greatest("u", "v").alias("tu"), F.least("u", "v").alias("tv"))
+    return pairs.join(done, (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
