@@ -55,26 +55,32 @@ def widths(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_block(values: np.ndarray) -> np.ndarray:
-    """uint64 values -> words. Each word takes the layout that packs the most of the next values."""
+def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 values -> words and block offsets. Each word takes the layout that packs the most of the next values of its block."""
+    values = values.astype(np.uint64)
     n = len(values)
+    n_blocks = -(-n // block)
     if not n:
-        return np.zeros(0, np.uint64)
-    widest = [widths(values)]
+        return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
+    widest = [np.full(n_blocks * block, 255, np.uint8)]
+    widest[0][:n] = widths(values)
     for count, half in zip(COUNTS[1:], HALVES[1:], strict=True):
         m = widest[COUNTS.index(half)]
-        wide = np.full(n, 255, np.uint8)
-        if n >= count:
-            np.maximum(m[: n - count + 1], m[count - half : n - half + 1], out=wide[: n - count + 1])
+        wide = np.full(len(m), 255, np.uint8)
+        if len(m) >= count:
+            np.maximum(m[: len(m) - count + 1], m[count - half : len(m) - half + 1], out=wide[: len(m) - count + 1])
+        # no word goes over the end of its block
+        wide.reshape(n_blocks, block)[:, max(block - count + 1, 0) :] = 255
         widest.append(wide)
     pick = np.zeros(n, np.uint8)
     for m, (count, bits) in zip(widest, LAYOUT[::-1], strict=True):
-        np.copyto(pick, LAYOUT.index((count, bits)) + 1, where=m <= bits)
-    step = np.array([0, *[c for c, _ in LAYOUT]], np.uint8)[pick].tolist()
+        np.copyto(pick, LAYOUT.index((count, bits)) + 1, where=m[:n] <= bits)
+    step = np.array([1, *[c for c, _ in LAYOUT]], np.uint8)[pick].tolist()
     starts, i = [], 0
+    add = starts.append
     while i < n:
-        starts.append(i)
-        i += step[i] or 1
+        add(i)
+        i += step[i]
     starts = np.array(starts)
     sel = pick[starts]
     escaped = sel == 0
@@ -83,12 +89,14 @@ def encode_block(values: np.ndarray) -> np.ndarray:
     for selector in np.unique(sel[~escaped]):
         count, bits = LAYOUT[selector - 1]
         rows = sel == selector
-        part = values[starts[rows][:, None] + np.arange(count)]
-        packed = np.bitwise_or.reduce(part << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
-        words[where[:-1][rows]] = packed | np.uint64(int(selector) << 60)
+        first, packed = starts[rows], np.full(int(rows.sum()), int(selector) << 60, np.uint64)
+        for k in range(count):
+            packed |= values[first + k] << np.uint64(k * bits)
+        words[where[:-1][rows]] = packed
     words[where[:-1][escaped]] = 1
     words[where[:-1][escaped] + 1] = values[starts[escaped]]
-    return words
+    offsets = where[np.searchsorted(starts, np.arange(n_blocks) * block)]
+    return words, np.append(offsets, len(words)).astype(np.uint32)
 
 
 def decode_block(words: np.ndarray) -> np.ndarray:
@@ -112,17 +120,10 @@ def decode_block(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Words and block offsets."""
-    values = values.astype(np.uint64)
-    parts = [encode_block(values[i : i + block]) for i in range(0, len(values), block)]
-    offsets = np.cumsum([0, *map(len, parts)]).astype(np.uint32)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), offsets
-
-
-def decode(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    parts = [decode_block(words[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+def decode(words: np.ndarray, offsets: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Values of the blocks first to last (all by default): their words lie side by side and are decoded at once."""
+    last = len(offsets) - 1 if last is None else last
+    return decode_block(words[int(offsets[first]) : int(offsets[last])])
 
 
 SEGMENTS = "shard long, before long, n_ids long, doc_ids binary, no_id binary, lengths binary, offsets binary, words binary"

@@ -15,8 +15,8 @@ from functools import lru_cache
 from string import punctuation
 
 #: Distinct pieces that a worker keeps; beyond, the cache starts anew. Longer pieces seldom come again.
-CACHE = 800_000
-LONGEST = 10
+CACHE = {"byte": 1_200_000, "word": 400_000}
+LONGEST = 11
 
 
 def byte_letters() -> list[str]:
@@ -91,7 +91,7 @@ class Encoder:
         self.spaced = Pieces(self.library, kind, " ", self.plain) if kind == "byte" else self.plain
 
     def one(self, text: str) -> bytes:
-        if len(self.plain) + len(self.spaced) > CACHE:
+        if len(self.plain) + len(self.spaced) > CACHE[self.kind]:
             self.plain.clear()
             self.spaced.clear()
         if "<|" not in text:
