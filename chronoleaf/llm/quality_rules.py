@@ -173,7 +173,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    labelled = docs.join(labels.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_semi")
-    cuts = written(thresholds(features(labelled), labels), "quality-cutoffs")
-    rows = features(docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text"), F.col("row"))
+    rows = written(features(docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text"), F.col("row")), "quality-rows")
+    cuts = written(thresholds(rows.drop("row"), labels), "quality-cutoffs")
     return verdict(rows, cuts).filter("kept").select("row.*")

@@ -140,7 +140,7 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
     runs = runs.withColumn("run", F.sum(F.when(F.col("past") >= F.col("start"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("blob", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
     runs = runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")).withColumnRenamed("blob", "found")
-    rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob")).join(runs, F.col("blob") == F.col("found"), "left")
+    rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob")).join(runs.hint("shuffle_hash"), F.col("blob") == F.col("found"), "left")
     text, r = F.col("row.text"), F.col("runs")
 
     def piece(i: Column) -> Column:
