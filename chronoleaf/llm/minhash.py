@@ -142,24 +142,24 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, root) of every representative that is linked with another; None if there is none."""
     table = buckets(reps)
-    met = written(table.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("central")), "central")
+    met = written(table.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("central")), "central", True)
     if not met.limit(1).count():
         return None
     texts = docs.select("doc_id", "text").join(met.select(F.col("rep").alias("r")), F.col("doc_id") == F.col("r"), "left_semi")
     texts = written(texts.select(F.col("doc_id").alias("rep"), "text"), "candidates")
-    members = table.join(met.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("bucket", "rep", "n", "c", "central")
+    members = table.join(met.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("bucket", "rep", "n", "c", "central", True)
     members = written(members, "members")
     best = members.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("rep")).alias("o"), "n")).alias("p"))
-    best = written(best.select(F.col("bucket").alias("t"), (-F.col("p.o")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.central").alias("pc")), "pivots")
+    best = written(best.select(F.col("bucket").alias("t"), (-F.col("p.o")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.central").alias("pc")), "pivots", True)
     first = members.join(best, F.col("bucket") == F.col("t")).filter((F.col("rep") != F.col("pivot")) & close_sizes(F.col("n"), F.col("pn"), percent))
     first = first.groupBy(F.col("rep").alias("u")).agg(F.max_by("pivot", F.struct("pc", -F.col("pivot"))).alias("v"))
     tested = written(first.select("u", "v"), "pairs")
     links = written(verified(tested, texts, words, percent), "verified")
-    labels = written(components(links), "labels").withColumnRenamed("node", "l")
+    labels = written(components(links), "labels", True).withColumnRenamed("node", "l")
     x = members.join(labels, F.col("rep") == F.col("l"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    x = written(x, "labelled")
+    x = written(x, "labelled", True)
     mixed = x.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("bucket").alias("t"))
-    x = written(x.join(mixed, F.col("bucket") == F.col("t"), "left_semi"), "mixed")
+    x = written(x.join(mixed, F.col("bucket") == F.col("t"), "left_semi"), "mixed", True)
     if not x.limit(1).count():
         return labels.withColumnRenamed("l", "node")
     pairs = written(feasible(x, best, tested, texts, words, percent), "pairs")
@@ -206,23 +206,23 @@ def feasible(mixed: DataFrame, best: DataFrame, tested: DataFrame, texts: DataFr
     """
     up, down = 100 + percent, 100 - percent
     groups = components(mixed.join(best.select("t", "pivot"), F.col("bucket") == F.col("t")).select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-    groups = written(groups.withColumnRenamed("node", "m"), "groups")
+    groups = written(groups.withColumnRenamed("node", "m"), "groups", True)
     central = best.groupBy("pivot").agg(F.max("pc").alias("pc")).join(groups, F.col("pivot") == F.col("m")).groupBy("root").agg(F.max(F.struct("pc", (-F.col("pivot")).alias("o"))).alias("top"))
     groups = groups.join(central.select(F.col("root").alias("gr"), (-F.col("top.o")).alias("g")), F.col("root") == F.col("gr")).select("m", "g")
     own = tested.select(F.col("u").alias("k"), F.col("v"))
     placed = mixed.select("rep", "root").distinct().join(groups, F.col("rep") == F.col("m")).join(own, F.col("rep") == F.col("k"), "left")
-    placed = written(placed.select("rep", "root", "g", F.coalesce("v", "rep").alias("v")), "placed")
-    near = written(placed.select(F.col("rep").alias("u"), F.col("g").alias("v")).union(placed.select("rep", "v")).distinct(), "near-pivots")
+    placed = written(placed.select("rep", "root", "g", F.coalesce("v", "rep").alias("v")), "placed", True)
+    near = written(placed.select(F.col("rep").alias("u"), F.col("g").alias("v")).union(placed.select("rep", "v")).distinct(), "near-pivots", True)
     table = written(deltas(near, texts, words), "deltas")
     parts = table.select("rep", "p", F.explode("parts").alias("part"))
     common = parts.groupBy(F.col("p").alias("q"), F.col("part").alias("c")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     s = parts.join(common, (F.col("p") == F.col("q")) & (F.col("part") == F.col("c"))).groupBy(F.col("rep").alias("sr"), F.col("p").alias("sp")).agg(F.count(F.lit(1)).alias("s"))
     x = table.select("rep", "p", "n", "d").join(s, (F.col("rep") == F.col("sr")) & (F.col("p") == F.col("sp")), "left")
     e = up * F.col("d") - down * F.col("n")
-    x = written(x.select(F.col("rep").alias("k"), "p", "n", e.alias("e"), (2 * up * F.coalesce("s", F.lit(0)) - e).alias("h")), "bounds")
+    x = written(x.select(F.col("rep").alias("k"), "p", "n", e.alias("e"), (2 * up * F.coalesce("s", F.lit(0)) - e).alias("h")), "bounds", True)
     by = lambda c: x.select(F.col("k").alias(f"{c}k"), F.col("p").alias(f"{c}p"), F.col("n").alias(f"{c}n"), F.col("e").alias(f"{c}e"), F.col("h").alias(f"{c}h"))
     y = placed.join(by("g"), (F.col("rep") == F.col("gk")) & (F.col("g") == F.col("gp"))).join(by("v"), (F.col("rep") == F.col("vk")) & (F.col("v") == F.col("vp")))
-    y = written(y.select("rep", "root", "g", "v", F.col("gn").alias("n"), "ge", "gh", "ve", "vh"), "bounded")
+    y = written(y.select("rep", "root", "g", "v", F.col("gn").alias("n"), "ge", "gh", "ve", "vh"), "bounded", True)
     # what the other components of a group offer at best: the least E and the greatest H of another root
     best_of = y.groupBy("g").agg(F.min(F.struct("ge", "root")).alias("e1"), F.max(F.struct("gh", "root")).alias("h1")).withColumnRenamed("g", "bg")
     z = y.join(best_of, F.col("g") == F.col("bg"))
@@ -230,7 +230,7 @@ def feasible(mixed: DataFrame, best: DataFrame, tested: DataFrame, texts: DataFr
     z = z.join(second, F.col("g") == F.col("cg"))
     least = F.when(F.col("root") != F.col("e1.root"), F.col("e1.ge")).otherwise(F.col("e2"))
     most = F.when(F.col("root") != F.col("h1.root"), F.col("h1.gh")).otherwise(F.col("h2"))
-    y = written(z.filter((least <= F.col("gh")) & (F.col("ge") <= most)).select(*y.columns), "open")
+    y = written(z.filter((least <= F.col("gh")) & (F.col("ge") <= most)).select(*y.columns), "open", True)
     z = y.select(*[F.col(c).alias(f"o_{c}") for c in y.columns])
     fits = (F.col("rep") < F.col("o_rep")) & (F.col("root") != F.col("o_root")) & close_sizes(F.col("n"), F.col("o_n"), percent)
     fits = fits & (F.col("o_ge") <= F.col("gh")) & (F.col("ge") <= F.col("o_gh"))
@@ -244,14 +244,14 @@ def classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     """(signatures of all rows; set_hash -> component, one row per distinct shingle set)."""
     table = signatures(docs, words)
     full = table.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    own = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    own = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes", True)
     one = full.join(own.withColumnRenamed("set_hash", "s"), (F.col("set_hash") == F.col("s")) & (F.col("doc_id") == F.col("rep")))
     reps = written(one.select("rep", F.col("n_shingles").alias("n"), "keys", "set_hash").dropDuplicates(["rep", "set_hash"]).drop("set_hash"), "representatives")
     roots = linked(docs, reps, words, percent)
     if roots is None:
         return table, own.select("set_hash", F.col("rep").alias("component"))
     joined = own.join(roots, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("root", "rep").alias("component"))
-    return table, written(joined, "class-components")
+    return table, written(joined, "class-components", True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -265,4 +265,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but those whose component has a smaller doc_id; all columns."""
     gone = near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(written(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(gone, "duplicates", True), "doc_id", "left_anti").select(*docs.columns)

@@ -237,6 +237,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, with_i
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        encoder.cache_clear()  # a worker that tokenised has no more use for its pieces
         for b in batches:
             length, rank = b.column(keep.index("length")).to_numpy(), b.column(len(keep)).to_numpy()
             seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

@@ -182,6 +182,7 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that wrote has no more use for its pieces
         for b in batches:
             for row in range(b.num_rows):
                 shard, before, _, doc_ids, no_id, lengths, offsets, words = (b.column(i)[row].as_py() for i in range(8))
@@ -200,7 +201,7 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
                     cols.append(pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    found = files.mapInArrow(unpack, schema)
+    found = files.mapInArrow(unpack, schema).coalesce(max(8, partitions(spark) // 4))
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = written(shards.select("shard", base.alias("base")), "token-shards")

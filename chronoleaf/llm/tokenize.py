@@ -15,7 +15,7 @@ from functools import lru_cache
 from string import punctuation
 
 #: Distinct pieces that a worker keeps; beyond, the cache starts anew. Longer pieces seldom come again.
-CACHE = {"byte": 1_200_000, "word": 400_000}
+CACHE = {"byte": 900_000, "word": 400_000}
 LONGEST = 11
 
 
