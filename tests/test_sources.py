@@ -1,6 +1,7 @@
 """Readers and sinks on small literal files; runs, graphs and reports on literal tables."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,7 +193,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(rows, "key string, t double, label string").coalesce(1).write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema("key string, t double, label string").parquet(str(tmp_path / "in"))
     q = live.live_runs(src).writeStream.format("memory").queryName("live_runs_test").outputMode("append").start()
-    q.processAllAvailable()
+    end = time.time() + 60
+    while time.time() < end and spark.table("live_runs_test").count() < 2:
+        time.sleep(0.5)
     q.stop()
     assert {tuple(r) for r in spark.table("live_runs_test").collect()} >= {("a", "x", 0.0, 2.0), ("a", "y", 2.0, 3.0)}
     frames = spark.createDataFrame([("u", "2024-01-01 00:00:05", "x"), ("u", "2024-01-01 00:00:20", "x")], "k string, ts string, label string").withColumn("ts", F.to_timestamp("ts"))
