@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoleaf.llm import gam, html_tree, media, minhash, mixing, packing, quality_rules, secrets, simple8b, suffix_dedup
+from chronoleaf.llm import gam, html_tree, media, minhash, mixing, oracles, packing, quality_rules, secrets, simple8b, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
