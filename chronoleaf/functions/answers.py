@@ -12,8 +12,8 @@ SEGMENT = r"\[\s*\"?([A-Za-z0-9_+\- ]+?)\"?\s*,\s*([\d.:]+)\s*,\s*([\d.:]+)\s*\]
 CONFIDENCE = r"(?i)confidence\s*[:=]?\s*(\d+(?:\.\d+)?)\s*%?"
 NUMBER = r"-?\d+(?:\.\d+)?"
 SPANS = "array<struct<t0:double,t1:double>>"
-#: Media placeholder of each backend.
-MEDIA = {"internvl": "<IMG_CONTEXT>", "qwen": "<|image_pad|>", "llava": "<image>", "plain": "<image>"}
+# Media placeholder of each backend.
+MEDIA = {"internvl3_2b": "<image>", "internvl3_8b": "<image>", "llava_video_7b": "<image>", "qwen25vl_7b": "<|vision_start|><|image_pad|><|vision_end|>"}
 
 
 def format_ts(seconds: Column, fmt: str = "seconds") -> Column:
@@ -149,7 +149,7 @@ def parse_confidence(text: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(v > 1, v / 100.0).otherwise(v))) * F.when(v.isNotNull(), 1.0)
 
 
-def expand_media(text: Column, n: Column | int, token: str = MEDIA["plain"]) -> Column:
+def expand_media(text: Column, n: Column | int, token: str = MEDIA["internvl3_2b"]) -> Column:
     """Replaces the first <video>, else the first <image>, by n media tokens."""
     n = n if isinstance(n, Column) else F.lit(n)
     out = text
@@ -162,9 +162,10 @@ def expand_media(text: Column, n: Column | int, token: str = MEDIA["plain"]) ->
     return F.when(F.instr(text, "<video>") > 0, put("<video>")).when(F.instr(text, "<image>") > 0, put("<image>")).otherwise(out)
 
 
-def plain_chat(messages: Column) -> Column:
-    """Messages (role, content) as role-tagged text."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("\n"))), "")
+def plain_chat(messages: Column, generation: bool = False) -> Column:
+    """Messages (role, content) as role-tagged text; generation opens the assistant's next turn."""
+    parts = F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"]))
+    return F.array_join(F.array_append(parts, F.lit("<|assistant|>\n")) if generation else parts, "\n")
 
 
 def assistant_span(messages: Column) -> Column:

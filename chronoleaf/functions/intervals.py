@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: Edges, in minutes, of the length buckets.
 LENGTH_EDGES = (30, 60, 120)
-#: Words that mark a question about a rare event.
-RARE_EVENTS = ("leak", "bleed", "misfire", "conversion", "perforation", "stapler", "anomaly", "rare", "event", "complication")
+# Words of a question that route it to retrieval; the short list is the configured one.
+TOOL_WORDS = ("instrument", "tool", "stapler", "clip", "grasper", "scissors", "hook", "bipolar", "needle", "suction")
+MORE_TOOL_WORDS = ("instrument", "tool", "stapler", "clip", "clipper", "grasper", "scissors", "hook", "bipolar", "needle", "suction", "irrigator", "forceps", "trocar")
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -82,12 +83,12 @@ def length_bucket(duration_s: Column, edges: Sequence[int] = LENGTH_EDGES) -> Co
     return out.otherwise(f">{edges[-1]}min")
 
 
-def regime(duration_s: Column, query: Column, keywords: Sequence[str] = RARE_EVENTS, short_s: float = 2700.0, long_s: float = 7200.0) -> Column:
-    """Route of a question: short, retrieve (very long, or about a rare event) or hier."""
-    rare = F.lit(False)
+def regime(duration_s: Column, query: Column, keywords: Sequence[str] = TOOL_WORDS, short_s: float = 2700.0, long_s: float = 7200.0) -> Column:
+    """Route of a question: short, retrieve (very long, or about a tool) or hier."""
+    named = F.lit(False)
     for k in keywords:
-        rare = rare | F.contains(F.lower(F.coalesce(query, F.lit(""))), F.lit(k))
-    return F.when(duration_s < short_s, "short").when((duration_s >= long_s) | rare, "retrieve").otherwise("hier")
+        named = named | F.contains(F.lower(F.coalesce(query, F.lit(""))), F.lit(k))
+    return F.when(duration_s < short_s, "short").when((duration_s >= long_s) | named, "retrieve").otherwise("hier")
 
 
 def sample_times(t0: Column, t1: Column, n: int) -> Column:

@@ -31,14 +31,15 @@ def grouped_split(ids: DataFrame, key: str, strata: str | None = None, ratios: t
 
 
 def fixed_split(ids: DataFrame, key: str, scheme: str, counts: tuple[int, ...] = ()) -> DataFrame:
-    """Adds split by a named scheme: twinanda_40_40, official_10_4_7, by_video (counts), rdv or all_test."""
+    """Adds split by a named scheme: twinanda_40_40 (counts: val out of train), official_10_4_7, by_video (counts as ratios), rdv or all_test."""
     k = F.row_number().over(Window.orderBy(numeric_id(F.col(key)), key))
     if scheme == "twinanda_40_40":
-        n = numeric_id(F.col(key))
-        return ids.withColumn("split", F.when(n <= 8, "val").when(n <= 40, "train").otherwise("test"))
-    if scheme in ("official_10_4_7", "by_video"):
-        a, b = (10, 4) if scheme == "official_10_4_7" else counts[:2]
-        return ids.withColumn("split", F.when(k <= a, "train").when(k <= a + b, "val").otherwise("test"))
+        val = counts[0] if counts else 8
+        return ids.withColumn("split", F.when(numeric_id(F.col(key)) > 40, "test").when(k <= val, "val").otherwise("train"))
+    if scheme == "official_10_4_7":
+        return ids.withColumn("split", F.when(k <= 10, "train").when(k <= 14, "val").when(k <= 21, "test"))
+    if scheme == "by_video":
+        return grouped_split(ids, key, ratios=(counts[0] / sum(counts), counts[1] / sum(counts)))
     if scheme == "rdv":
         return grouped_split(ids, key)
     if scheme == "all_test":

@@ -122,10 +122,10 @@ def length_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return procedures(spark, sf).groupBy(iv.length_bucket(F.col("duration_s")).alias("len_bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_s"), 4).alias("mean_s"))
 
 
-RARE = " OR ".join(f"contains(lower(text), '{k}')" for k in iv.RARE_EVENTS)
+TOOLS = " OR ".join(f"contains(lower(text), '{k}')" for k in iv.TOOL_WORDS)
 
 
-@query(f"SELECT lang, CASE WHEN n_chars < 2700 THEN 'short' WHEN n_chars >= 7200 OR {RARE} THEN 'retrieve' ELSE 'hier' END AS regime, count(*) AS n FROM documents GROUP BY ALL")
+@query(f"SELECT lang, CASE WHEN n_chars < 2700 THEN 'short' WHEN n_chars >= 7200 OR {TOOLS} THEN 'retrieve' ELSE 'hier' END AS regime, count(*) AS n FROM documents GROUP BY ALL")
 def regime_route(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.groupBy("lang", iv.regime(F.col("n_chars"), F.col("text")).alias("regime")).agg(F.count(F.lit(1)).alias("n"))

@@ -59,7 +59,7 @@ def split_hashed(spark: SparkSession, sf: str) -> DataFrame:
     return sel.hashed_split(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("SELECT s_name, CASE WHEN coalesce(try_cast(regexp_replace(s_name, '\\D', '', 'g') AS BIGINT), 0) <= 8 THEN 'val' WHEN coalesce(try_cast(regexp_replace(s_name, '\\D', '', 'g') AS BIGINT), 0) <= 40 THEN 'train' ELSE 'test' END AS split FROM supplier")
+@query("WITH n AS (SELECT s_name, coalesce(try_cast(regexp_replace(s_name, '\\D', '', 'g') AS BIGINT), 0) AS n FROM supplier), k AS (SELECT *, row_number() OVER (ORDER BY n, s_name) AS k FROM n) SELECT s_name, CASE WHEN n > 40 THEN 'test' WHEN k <= 8 THEN 'val' ELSE 'train' END AS split FROM k")
 def split_by_number(spark: SparkSession, sf: str) -> DataFrame:
     return sel.fixed_split(table(spark, sf, "supplier").select("s_name"), "s_name", "twinanda_40_40")
 

@@ -93,7 +93,7 @@ def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*[r6(c) for c in out.columns if c != "n"], "n")
 
 
-@query("""WITH c AS (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn) AS chat, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS said, min(turn) FILTER (WHERE role = 'assistant') AS k FROM conversations GROUP BY conv_id)
+@query("""WITH c AS (SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) AS chat, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS said, min(turn) FILTER (WHERE role = 'assistant') AS k FROM conversations GROUP BY conv_id)
 SELECT conv_id, md5(chat) AS digest, CASE WHEN k IS NULL THEN 0 ELSE strpos(chat, said) - 1 END::INT AS start, CASE WHEN k IS NULL THEN 0 ELSE strpos(chat, said) - 1 + length(said) END::INT AS stop FROM c""")
 def chat_render(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
