@@ -327,7 +327,7 @@ def reward(parsed: Column, gts: Column, abstain: Column, duration_s: Column, n_v
     said = F.when(kind == "abstain", 1.0).otherwise(-1.0)
     none = F.lit(0.0)
     r_tiou = F.when(abstain, none if control else said).when(kind == "abstain", lazy).when(kind.isin("span", "multi"), shaped_iou(parsed["spans"], gts, duration_s)).otherwise(none)
-    r_order = none if n_violations is None else -F.least(F.lit(1.0), 0.34 * F.coalesce(n_violations, F.lit(0)))
+    r_order = none if n_violations is None else 0.0 - F.least(F.lit(1.0), 0.34 * F.coalesce(n_violations, F.lit(0)))
     r_abstain = none if control else F.when(abstain, said).otherwise(none)
     total = w["format"] * r_format + w["tiou"] * r_tiou + w["order"] * r_order + w["abstain"] * r_abstain
     return F.struct(total.alias("reward"), r_format.alias("r_format"), r_tiou.alias("r_tiou"), r_order.alias("r_order"), r_abstain.alias("r_abstain"), kind.alias("kind"))

@@ -99,7 +99,7 @@ SHAPED = f"CASE WHEN {IOU} > 0 THEN {IOU} ELSE -0.5e0 * least(1e0, abs(({Q['p0']
 
 
 @query(VIOL + f""", n AS (SELECT user_id, session, count(*) AS n FROM v GROUP BY ALL),
-x AS (SELECT user_id, session, run_id, {KIND} AS kind, run_id % 10 = 0 AS ab, {SHAPED} AS shaped, -least(1e0, 0.34e0 * coalesce(n, 0)) AS r_order FROM runs JOIN procs USING (user_id, session) LEFT JOIN n USING (user_id, session)),
+x AS (SELECT user_id, session, run_id, {KIND} AS kind, run_id % 10 = 0 AS ab, {SHAPED} AS shaped, 0e0 - least(1e0, 0.34e0 * coalesce(n, 0)) AS r_order FROM runs JOIN procs USING (user_id, session) LEFT JOIN n USING (user_id, session)),
 y AS (SELECT *, CASE WHEN kind <> 'bad' THEN 1e0 ELSE 0e0 END AS r_format, CASE WHEN ab THEN CASE WHEN kind = 'abstain' THEN 1e0 ELSE -1e0 END WHEN kind = 'abstain' THEN -0.2e0 WHEN kind = 'span' THEN shaped ELSE 0e0 END AS r_tiou, CASE WHEN ab THEN CASE WHEN kind = 'abstain' THEN 1e0 ELSE -1e0 END ELSE 0e0 END AS r_abstain FROM x)
 SELECT user_id, session, run_id, kind, round(r_format + r_tiou + 0.5e0 * r_order + 0.5e0 * r_abstain, 6) AS reward, round(r_tiou, 6) AS r_tiou, round(r_order, 6) AS r_order, r_abstain FROM y""")
 def reward_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,7 +19,7 @@ def duck(sf):
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    return sorted((tuple(None if pd.isna(v) else float(v) if isinstance(v, (int, float)) else str(v) for v in r) for r in df.astype(object).itertuples(index=False)), key=repr)
+    return sorted((tuple(None if pd.isna(v) else float(v) + 0.0 if isinstance(v, (int, float)) else str(v) for v in r) for r in df.astype(object).itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
