@@ -27,10 +27,15 @@ def exact_match(pred: Column, gold: Column) -> Column:
 
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the token multisets; both empty: 1, one empty: 0."""
-    p, g = tokens(pred), tokens(gold)
     count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda m, t: m + F.least(count(p, t), count(g, t)))
-    return F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+    def score(z: Column) -> Column:
+        p, g = z["p"], z["g"]
+        same = F.aggregate(F.array_distinct(p), F.lit(0), lambda m, t: m + F.least(count(p, t), count(g, t)))
+        return F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+    # the one-element array computes both token lists once
+    return F.get(F.transform(F.array(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g"))), score), F.lit(0))
 
 
 def verdict(text: Column, words: tuple[tuple[str, float], ...] = VERDICTS, default: str = "wrong") -> Column:

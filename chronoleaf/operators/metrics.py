@@ -322,15 +322,23 @@ WEIGHTS = {"format": 1.0, "tiou": 1.0, "order": 0.5, "abstain": 0.5}
 def reward(parsed: Column, gts: Column, abstain: Column, duration_s: Column, n_violations: Column | None = None, weights: dict[str, float] | None = None, lazy: float = -0.2, control: bool = False) -> Column:
     """Struct (reward, r_format, r_tiou, r_order, r_abstain, kind) of a parsed answer. control: no reward for abstaining."""
     w = {**WEIGHTS, **(weights or {})}
-    kind = parsed["kind"]
-    r_format = F.when(kind != "bad", 1.0).otherwise(0.0)
-    said = F.when(kind == "abstain", 1.0).otherwise(-1.0)
     none = F.lit(0.0)
-    r_tiou = F.when(abstain, none if control else said).when(kind == "abstain", lazy).when(kind.isin("span", "multi"), shaped_iou(parsed["spans"], gts, duration_s)).otherwise(none)
-    r_order = none if n_violations is None else 0.0 - F.least(F.lit(1.0), 0.34 * F.coalesce(n_violations, F.lit(0)))
-    r_abstain = none if control else F.when(abstain, said).otherwise(none)
-    total = w["format"] * r_format + w["tiou"] * r_tiou + w["order"] * r_order + w["abstain"] * r_abstain
-    return F.struct(total.alias("reward"), r_format.alias("r_format"), r_tiou.alias("r_tiou"), r_order.alias("r_order"), r_abstain.alias("r_abstain"), kind.alias("kind"))
+
+    def terms(answer: Column) -> Column:
+        kind = answer["kind"]
+        r_format = F.when(kind != "bad", 1.0).otherwise(0.0)
+        said = F.when(kind == "abstain", 1.0).otherwise(-1.0)
+        r_tiou = F.when(abstain, none if control else said).when(kind == "abstain", lazy).when(kind.isin("span", "multi"), shaped_iou(answer["spans"], gts, duration_s)).otherwise(none)
+        r_order = none if n_violations is None else 0.0 - F.least(F.lit(1.0), 0.34 * F.coalesce(n_violations, F.lit(0)))
+        r_abstain = none if control else F.when(abstain, said).otherwise(none)
+        return F.struct(r_format.alias("r_format"), r_tiou.alias("r_tiou"), r_order.alias("r_order"), r_abstain.alias("r_abstain"), kind.alias("kind"))
+
+    def total(r: Column) -> Column:
+        value = w["format"] * r["r_format"] + w["tiou"] * r["r_tiou"] + w["order"] * r["r_order"] + w["abstain"] * r["r_abstain"]
+        return F.struct(value.alias("reward"), *[r[c].alias(c) for c in ("r_format", "r_tiou", "r_order", "r_abstain", "kind")])
+
+    # one-element arrays compute the parsed answer and its terms once
+    return F.get(F.transform(F.transform(F.array(parsed), terms), total), F.lit(0))
 
 
 # efficiency
