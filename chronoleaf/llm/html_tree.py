@@ -3,15 +3,17 @@
 Pages of one host are merged into a tree of presentation nodes (paths of tags with their classes and roles).
 Per node, the entropy of its styles (sequences of child tags) over pages says how much layouts vary there, and
 the entropy of each content feature (a text, a link) over pages says how often it repeats; both combine, from
-the leaves up, to an importance from 0 (the same everywhere) to 1. Branches of low importance are removed from
-each page of the host. What a tag or class declares weighs in as a prior: declared menus, headers, footers,
-sidebars, notices, adverts, forms and comments have importance 0, a declared article has 1.
+the leaves up, to an importance from 0 (the same everywhere) to 1. Blocks of low importance are removed from
+each page of the host, inside and outside articles. What a tag or class declares weighs in: importance of declared
+menus, headers, footers, sidebars, notices, adverts, forms and comments is multiplied by DOWN, what a declared
+article or main element lacks to 1 by 1 - UP. DOWN is under LOW, since the text of adverts and menus can vary as
+much as an article's: the tree alone decides what declares nothing and what is in an article. Nodes on fewer than
+LEAST_PAGES pages are judged by what they declare.
 
 The merged trees are sums per (host, path, feature), so a host with a third of all pages is counted in all
 tasks; only a host's distinct paths, not its pages, meet in one task. Pages of equal html count once.
 
-Defined cases: null or empty html gives an empty text; a null url has the host ""; pages without an article or
-main element are judged by the tree alone; repeated rows get repeated results; an empty table gives an empty
+Defined cases: null or empty html gives an empty text; a null url has the host ""; repeated rows get repeated results; an empty table gives an empty
 table; extra columns are ignored.
 """
 
@@ -43,9 +45,12 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 NEVER = frozenset("head nav footer aside form button select dialog menu noscript svg canvas object audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-PAGES = "page_id long, url string, host string, blocks array<struct<path:bigint,root:boolean,text:string>>, nodes array<struct<path:bigint,parent:bigint,kind:int,feature:bigint>>"
+PAGES = "page_id long, url string, host string, blocks array<struct<path:bigint,text:string>>, nodes array<struct<path:bigint,parent:bigint,kind:int,feature:bigint>>"
 #: Share of a node's importance that its content keeps per further style, and what is removed.
 GAMMA, LOW, LEAST_PAGES = 0.9, 0.25, 8
+#: Weights of what is declared, and its codes: nothing, an article, a menu or the like.
+UP, DOWN = 0.2, 0.2
+PLAIN, ARTICLE, ASIDE = 0, 1, 2
 
 
 def hash64(text: str, seed: int = 0) -> int:
@@ -64,33 +69,46 @@ def node(parent: int, tag: str, attributes: str) -> tuple[int, bool, bool]:
     return hash64(f"{parent}/{tag}.{' '.join(sorted(names))}.{role}"), tag in ("article", "main") or role in ("main", "article"), none
 
 
-def parse(page: str) -> tuple[list[tuple[int, bool, str]], set[tuple[int, int, int, int]]]:
-    """Blocks (path, inside a declared article, text) in page order, and nodes (path, parent, kind, feature).
+def parse(page: str) -> tuple[list[tuple[int, str]], set[tuple[int, int, int, int]]]:
+    """Blocks (path, text) in page order, and nodes (path, parent, kind, feature).
 
-    kind 0: the node is there; 1: a style, a hash of its child tags; 2: a content feature, a hash of a text or link.
+    kind 0: the node is there, its feature is what it or a node above declares; 1: a style, a hash of its child tags; 2: a content feature, a hash of a text or link.
     """
-    blocks: list[tuple[int, bool, str]] = []
+    blocks: list[tuple[int, str]] = []
     nodes: set[tuple[int, int, int, int]] = set()
     # of each open element: tag, path, parent's path, declares content, declares none, child tags
     stack: list[list] = [["", 0, 0, False, False, []]]
     buffer: list[str] = []
+    # text of inline elements that declare none, apart from the block around them
+    beside: dict[tuple[int, int], list[str]] = {}
     at, home = 0, stack[0]
 
+    def put(path: int, parent: int, parts: list[str]) -> None:
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            blocks.append((path, text))
+            if path:
+                nodes.add((path, parent, 2, hash64(text)))
+
     def flush() -> None:
         if buffer:
-            text = " ".join("".join(buffer).split())
-            buffer.clear()
-            if text:
-                blocks.append((home[1], home[3], text))
-                if home[1]:
-                    nodes.add((home[1], home[2], 2, hash64(text)))
+            put(home[1], home[2], buffer)
+        for (path, parent), parts in beside.items():
+            put(path, parent, parts)
+        beside.clear()
 
     def add(raw: str) -> None:
         nonlocal home
-        if raw and not stack[-1][4]:
+        if raw:
+            block = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
+            text = html.unescape(raw) if "&" in raw else raw
+            if stack[-1][4] and not block[4]:
+                beside.setdefault((stack[-1][1], stack[-1][2]), []).append(text)
+                return
             if not buffer:
-                home = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
-            buffer.append(html.unescape(raw) if "&" in raw else raw)
+                home = block
+            buffer.append(text)
 
     def close() -> None:
         tag, path, parent, _, _, children = stack.pop()
@@ -135,10 +153,10 @@ def parse(page: str) -> tuple[list[tuple[int, bool, str]], set[tuple[int, int, i
         if tag == "header" and not above[3]:
             none = True
         above[5].append(tag)
-        nodes.add((path, above[1], 0, 0))
+        stack.append([tag, path, above[1], above[3] or content, above[4] or none, []])
+        nodes.add((path, above[1], 0, ASIDE if stack[-1][4] else ARTICLE if stack[-1][3] else PLAIN))
         if tag == "a" and (link := HREF.search(m[3] or "")):
             nodes.add((path, above[1], 2, hash64(link[1] or link[2] or link[3] or "")))
-        stack.append([tag, path, above[1], above[3] or content, above[4] or none, []])
     add(page[at:])
     flush()
     while len(stack) > 1:
@@ -155,7 +173,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     """PAGES of each row, written to the shared folder: a page is parsed once."""
     bound_batches(pages.sparkSession)
     names = [x.split()[0] for x in PAGES.split(", ")]
-    block = pa.list_(pa.struct([("path", pa.int64()), ("root", pa.bool_()), ("text", pa.string())]))
+    block = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())]))
     part = pa.list_(pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +182,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 b = big.slice(a, 256)
                 urls = b.column(1).to_pylist()
                 made = [parse(x or "") for x in b.column(2).to_pylist()]
-                rows = [[{"path": p, "root": r, "text": t} for p, r, t in x] for x, _ in made]
+                rows = [[{"path": p, "text": t} for p, t in x] for x, _ in made]
                 nodes = [[{"path": p, "parent": q, "kind": k, "feature": f} for p, q, k, f in sorted(x)] for _, x in made]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(map(host_of, urls), pa.string()), pa.array(rows, block), pa.array(nodes, part)], names=names)
 
@@ -172,7 +190,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def importance(rows: list[tuple], gamma: float = GAMMA) -> dict[int, float]:
-    """rows of one host (path, parent, pages, styles, style_sum, style_log, features, feature_log) -> path -> importance."""
+    """rows of one host (path, parent, pages, styles, style_sum, style_log, features, feature_log, declared) -> path -> importance."""
     children: dict[int, list[tuple]] = {}
     for r in rows:
         children.setdefault(r[1], []).append(r)
@@ -182,9 +200,10 @@ def importance(rows: list[tuple], gamma: float = GAMMA) -> dict[int, float]:
         r = todo.pop()
         order.append(r)
         todo += children.get(r[0], [])
-    for path, _, m, styles, total, logs, features, feature_log in reversed(order):
+    weigh = {PLAIN: lambda v: v, ARTICLE: lambda v: 1 - (1 - v) * (1 - UP), ASIDE: lambda v: v * DOWN}
+    for path, _, m, styles, total, logs, features, feature_log, declared in reversed(order):
         if m < 2:
-            out[path] = 1.0
+            out[path] = weigh[declared](1.0)
             continue
         style = (math.log(total) - logs / total) / math.log(m) if total else 0.0
         below = [(c[2] / m, out[c[0]]) for c in children.get(path, [])]
@@ -192,7 +211,7 @@ def importance(rows: list[tuple], gamma: float = GAMMA) -> dict[int, float]:
             below.append((1.0, max(0.0, 1 - feature_log / (features * math.log(m)))))
         inner = sum(w * v for w, v in below) / sum(w for w, _ in below) if below else 0.0
         keep = gamma ** max(styles, 1)
-        out[path] = (1 - keep) * min(style, 1.0) + keep * inner
+        out[path] = weigh[declared]((1 - keep) * min(style, 1.0) + keep * inner)
     return out
 
 
@@ -202,12 +221,12 @@ def low_branches(table: DataFrame, low: float = LOW, least: int = LEAST_PAGES) -
     counted = nodes.groupBy("host", "path", "parent", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0)).cast("double")
     n, log = F.col("n").cast("double"), F.log(F.col("n"))
-    tree = counted.groupBy("host", "path", "parent").agg(of(0, n).alias("m"), of(1, F.lit(1)).alias("styles"), of(1, n).alias("total"), of(1, n * log).alias("logs"), of(2, F.lit(1)).alias("features"), of(2, log).alias("feature_log"))
+    tree = counted.groupBy("host", "path", "parent").agg(of(0, n).alias("m"), of(1, F.lit(1)).alias("styles"), of(1, n).alias("total"), of(1, n * log).alias("logs"), of(2, F.lit(1)).alias("features"), of(2, log).alias("feature_log"), F.max(F.when(F.col("kind") == 0, F.col("feature"))).cast("int").alias("declared"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(host: str, rows: list[tuple]) -> pa.RecordBatch:
-            pages = {r[0]: r[2] for r in rows}
-            found = [p for p, v in importance(rows).items() if v < low and pages[p] >= least]
+            surely = {r[0] for r in rows if r[2] >= least or r[8] == ASIDE}
+            found = [p for p, v in importance(rows).items() if v < low and p in surely]
             return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([found], pa.list_(pa.int64()))], names=["host", "low"])
 
         host, rows = None, []
@@ -230,8 +249,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     table = parsed(pages)
     lows = written(low_branches(table), "low-branches").withColumnRenamed("host", "h")
     x = table.select("page_id", "url", "host", "blocks").join(lows, F.col("host") == F.col("h"), "left")
-    inside = F.filter("blocks", lambda b: b["root"])
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("low", b["path"]), F.lit(False)))
-    chosen = F.when(F.size(inside) > 0, inside).otherwise(kept)
-    x = x.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n").alias("text"))
+    x = x.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
     return x.withColumn("n_chars", F.length("text").cast("long"))

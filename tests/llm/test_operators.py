@@ -385,3 +385,10 @@ def test_style_tree_removes_what_repeats(spark):
     pages = [(i, "http://site.example/p", page(i)) for i in range(20)]
     got = html_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert rows(got, "page_id", "text") == sorted(((i, f"unique words of page {i * 7919}") for i in range(20)), key=repr)
+
+
+def test_style_tree_judges_articles_and_what_is_around_them(spark):
+    page = lambda i: f"<body><nav>go {i * 31}</nav><div class='lead'>lead of page {i * 7919}</div><div class='top'>Welcome to our site</div><article><p>unique words of page {i * 7919} <button>press {i}</button> and on</p><div class='box'>Read this every day</div></article><footer>f {i}</footer></body>"
+    pages = [(i, "http://site.example/p", page(i)) for i in range(20)]
+    got = html_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert rows(got, "page_id", "text") == sorted(((i, f"lead of page {i * 7919}\n\nunique words of page {i * 7919} and on") for i in range(20)), key=repr)
