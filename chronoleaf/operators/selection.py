@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +85,42 @@ def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataF
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest(queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, k: int, block: tuple[int, int] = (256, 2048)) -> DataFrame:
+    """query, item, score, rank: of each query the k items of greatest cosine among all items but itself, ties by item.
+
+    Blocks of queries meet blocks of items in matrix products, each pair of blocks leaves k items a query, and these
+    are merged. Scores are rounded to 9 places before they are compared. Null and zero vectors meet nothing.
+    """
+
+    def blocks(df: DataFrame, key: str, size: int, out: str) -> DataFrame:
+        parts = -(-df.count() // size) or 1
+        row = F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("b"), row.alias("r")).groupBy("b").agg(F.collect_list("r").alias(out)).select(F.col(f"{out}.id").alias(f"{out}_id"), F.flatten(f"{out}.v").alias(f"{out}_v"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(ids: pa.ListScalar, flat: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            i = ids.values.to_numpy()
+            v = flat.values.to_numpy().reshape(len(i), -1)
+            n = np.sqrt((v * v).sum(axis=1))
+            return i[n > 0], v[n > 0], n[n > 0]
+
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                (qi, qv, qn), (ei, ev, en) = unit(*row[:2]), unit(*row[2:])
+                if not len(qi) or not len(ei):
+                    continue
+                score = np.round(qv @ ev.T / (qn[:, None] * en), 9)
+                score[qi[:, None] == ei] = -np.inf
+                at = np.lexsort((np.broadcast_to(ei, score.shape), -score), axis=-1)[:, :k]
+                found = np.take_along_axis(score, at, axis=1).ravel()
+                out = pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, at.shape[1])), pa.array(ei[at].ravel()), pa.array(found)], names=["query", "item", "score"])
+                yield out.filter(pa.array(found > -np.inf))
+
+    met = blocks(queries, query, block[0], "q").crossJoin(blocks(items, item, block[1], "e"))
+    x = met.mapInArrow(best, "query long, item long, score double")
+    return top_k(x, "query", "item", "score", k)
+
+
 def top_fraction(scored: DataFrame, group: str, item: str, score: str, fraction: float = 0.25) -> DataFrame:
     """Of each group, the best ceil(n * fraction) items."""
     w = Window.partitionBy(group)

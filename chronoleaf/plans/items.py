@@ -80,6 +80,14 @@ def retrieve_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return sel.top_k(x, "query", "item", "score", 5).select("query", "item", r6("score"), "rank")
 
 
+@query(f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 25 = 0), s AS (SELECT q.vec_id AS query, e.vec_id AS item, round({DOT.format('q.embedding', 'e.embedding')} / (sqrt({DOT.format('q.embedding', 'q.embedding')}) * sqrt({DOT.format('e.embedding', 'e.embedding')})), 9) AS score FROM q JOIN embeddings e ON q.vec_id <> e.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM s) SELECT query, item, round(score, 6) AS score, rank::INT AS rank FROM k WHERE rank <= 5")
+def retrieve_topk_cosine_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The search of ``retrieve_topk_cosine`` over the rows of all labels, and of none."""
+    e = table(spark, sf, "embeddings")
+    x = sel.nearest(e.filter("vec_id % 25 = 0"), e, "vec_id", "vec_id", "embedding", 5)
+    return x.select("query", "item", r6("score"), "rank")
+
+
 @query("WITH k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id, rank::INT AS rank FROM k WHERE rank <= ceil(n * 0.25e0)")
 def raft_top_fraction(spark: SparkSession, sf: str) -> DataFrame:
     return sel.top_fraction(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "rank")

@@ -128,3 +128,18 @@ def test_reward(spark):
     r = reward(spark, "<answer>ABSTAIN</answer>", spans(), True, control=True)
     assert (r.r_tiou, r.r_abstain) == (0, 0)
     assert reward(spark, "dunno", gt).r_format == 0
+
+
+def test_nearest_searches_all_rows(spark):
+    import numpy as np
+
+    from chronoleaf.operators import selection as sel
+
+    v = np.random.default_rng(4).normal(size=(90, 8)).round(3)
+    v[7], v[80], v[11] = v[3], v[3], 0
+    e = spark.createDataFrame([(i, v[i].tolist(), i % 5 if i % 4 else None) for i in range(90)] + [(90, None, 1)], "vec_id long, embedding array<float>, label int")
+    got = {(r.query, r["rank"]): r["item"] for r in sel.nearest(e.filter("vec_id % 3 = 0"), e, "vec_id", "vec_id", "embedding", 5, (7, 16)).collect()}
+    w = v.astype(np.float32).astype(float)
+    cos = lambda a, b: round(float(w[a] @ w[b] / np.sqrt((w[a] @ w[a]) * (w[b] @ w[b]))), 9)
+    want = {(q, k + 1): i for q in range(0, 90, 3) for k, i in enumerate(sorted((i for i in range(90) if i not in (q, 11)), key=lambda i: (-cos(q, i), i))[:5])}
+    assert got == want
