@@ -5,7 +5,9 @@ stratum and rule, cutoffs are tested from the most lenient to the strictest, and
 up to which every exact binomial test rejects "this cutoff drops more than alpha of the good documents".
 Testing a chain in a fixed order needs no correction within it; between chains (strata x rules) the level
 is divided by their number (Bonferroni), and alpha by the number of rules, so that with probability
-1 - DELTA, per stratum, all rules together drop at most ALPHA of the good documents. A stratum with too few
+1 - DELTA, per stratum, all rules together drop at most ALPHA of the good documents. ``judge``, whose results its
+SQL gives, does that; ``keep_good`` tests all rules together in one chain per stratum, which certifies with about
+150 labelled good documents instead of 1,280, with the same guarantee. A stratum with too few
 labels certifies nothing and only the base conditions hold there.
 
 Defined cases: a null or empty text has no words and fails the base conditions; a null or unlisted lang is
@@ -156,6 +158,22 @@ def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"cut_{r}") for i, r in enumerate(RULES)])
 
 
+def joint_thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """As ``thresholds``, by one chain per stratum: a step lowers the cutoffs of all rules, and its exact test counts the
+    good documents that any rule drops, so that neither alpha nor the level is divided by the number of rules.
+    """
+    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    held = feats.join(good, "doc_id")
+    worst = F.greatest(*[F.col(r) for r in RULES])
+    per = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.col("base_failed") & (worst > c)).alias(f"k_{j}") for j, c in enumerate(CUTOFFS)])
+    steps = F.array(*[F.struct(F.lit(j).alias("level"), F.lit(c).alias("cutoff"), F.col(f"k_{j}").alias("k")) for j, c in enumerate(CUTOFFS)])
+    tests = per.select("stratum", "n", F.explode(steps).alias("t")).select("stratum", "n", "t.*")
+    tests = tests.withColumn("p", binomial_at_most(F.col("k"), F.col("n"), alpha))
+    chain = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = tests.withColumn("worst", F.max("p").over(chain)).filter(F.col("worst") <= delta / (len(STRATA) + 1))
+    return passed.groupBy("stratum").agg(*[F.min("cutoff").alias(f"cut_{r}") for r in RULES])
+
+
 def verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     """``feats`` with kept. ``cuts`` has a row per stratum at most, so it is broadcast."""
     x = feats.join(F.broadcast(cuts), "stratum", "left")
@@ -172,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept by ``joint_thresholds``, with all their columns."""
     rows = written(features(docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text"), F.col("row")), "quality-rows")
-    cuts = written(thresholds(rows.drop("row"), labels), "quality-cutoffs")
+    cuts = written(joint_thresholds(rows.drop("row"), labels), "quality-cutoffs")
     return verdict(rows, cuts).filter("kept").select("row.*")

@@ -392,3 +392,23 @@ def test_style_tree_judges_articles_and_what_is_around_them(spark):
     pages = [(i, "http://site.example/p", page(i)) for i in range(20)]
     got = html_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert rows(got, "page_id", "text") == sorted(((i, f"lead of page {i * 7919}\n\nunique words of page {i * 7919} and on") for i in range(20)), key=repr)
+
+
+def test_joint_chain_certifies_small_strata(spark):
+    rnd = random.Random(7)
+    n = 200
+    bad = [(n + i, "de", False, *[0.5 if r == i % 6 else 0.0 for r in range(6)]) for i in range(30)]
+    feats = spark.createDataFrame([(i, "de", False, *[rnd.random() * 0.02 for _ in quality_rules.RULES]) for i in range(n)] + bad, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    labels = spark.range(n + 30).selectExpr("id AS doc_id", f"int(id < {n}) AS quality")
+    out = quality_rules.verdict(feats, quality_rules.joint_thresholds(feats, labels))
+    assert out.filter("kept").count() == out.filter(f"kept and doc_id < {n}").count() == n
+    few = quality_rules.joint_thresholds(feats, labels.filter(f"doc_id < 100 or doc_id >= {n}"))
+    assert few.count() == 0  # 100 good documents certify nothing
+
+
+def test_pipeline_keeps_by_the_joint_chain(spark):
+    good = [(i, " ".join(f"word{i}x{k}" for k in "abcdefghijklmn"), "de", "s", 1) for i in range(200)]
+    bad = [(200 + i, " ".join(f"NOISE{k}" for k in "ABCDEFGHIJKLMN") + f" N{i}", "de", "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.range(220).selectExpr("id AS doc_id", "int(id < 200) AS quality")
+    assert {r.doc_id for r in quality_rules.keep_good(docs, labels).select("doc_id").collect()} == set(range(200))
