@@ -3,7 +3,8 @@
 Two collections of HALVES small hashes are computed, each of them the join of WIDTH minhashes. A table is a
 pair of one hash of either collection: HALVES**2 tables of 2 * WIDTH minhashes each, from only
 2 * HALVES * WIDTH minhash functions. A pair of similarity s shares no table with a probability of about
-2 * (1 - s**WIDTH)**HALVES: 2e-5 at 0.85, the least similarity asked for.
+2 * (1 - s**WIDTH)**HALVES: 2e-5 at 0.85, which op9 asks for, and 3.7e-4
+at 0.8, which the pipeline asks for.
 
 Documents of equal shingle sets are one class, and only class representatives go on. Hashes that no other
 representative has are dropped before they are paired. In each table's bucket the member that meets others
