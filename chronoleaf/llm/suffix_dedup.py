@@ -2,21 +2,27 @@
 
 1. Anchors. The least hash of the K-byte strings in each window of LENGTH bytes depends on the window alone, so
    equal windows share it: their anchor. Anchors go to buckets of their hashes as packed arrays. A bucket keeps
-   those whose left or right neighbourhood another document shares, and names the anchor's source: the least
-   document that has it and the stretch of STRETCH bytes there.
-2. Blocks. Around its shared anchors a document is cut into regions, one per source stretch; equal windows of two
-   documents have the same anchor, so they meet in a block. Equal regions of a block are one.
+   those whose left or right neighbourhood another text shares, and names the anchor's source: the least
+   document that has it and its place there. Of a hash that a batch of documents holds more than OFTEN times only
+   what decides goes to the bucket (per neighbourhood the least and greatest text and the least document); the
+   batch's anchors stay packed together until the bucket's reply to that batch is joined to them.
+2. Blocks. Around its shared anchors a document is cut into regions, one per STRETCH bytes of a source; equal
+   windows of two documents have the same anchor, so they meet in a block. Equal regions are sorted out before the
+   shuffle: of those a task holds, all but the least document's are repeats as a whole, and only that one goes on.
 3. Suffix arrays. The regions of a block are split into words with the white space that ends them; no such word
    is a prefix of another, so suffixes in word order are in byte order. Their suffix array (linear grouping,
    ``suffix_array``) and the bytes that neighbours share give, for each window, all regions that hold it, and
    the least document among them. Windows inside words of over LEFT bytes get a suffix array over bytes.
-4. Blocks beyond LARGE bytes, which a passage of very many documents makes, are not gathered: their distinct
-   regions give a hash of every window, and the least document per hash is aggregated like any sum.
+4. Blocks beyond LARGE bytes, which a passage in very many surroundings makes, are cut again by single anchors.
+   What is beyond LARGE even then is not gathered: its distinct regions give a hash of every window, and the least
+   document per hash is aggregated like any sum.
 
-A text that equals one of a smaller doc_id takes no part in 2-4; all of it goes if it has LENGTH bytes.
+All of a text that equals one of a smaller doc_id goes if it has LENGTH bytes. A document is known by its doc_id
+and a hash of its text, so rows that repeat a doc_id have a result each.
 
 Defined cases: a null text is empty and keeps nothing; a null doc_id takes no part, its row keeps all; repeated
-rows of one doc_id are not copies of each other; extra columns are ignored; an empty table gives an empty table.
+rows of one doc_id are not copies of each other, whether their texts are equal or not, and each gives one row;
+extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,8 +43,10 @@ from chronoleaf.llm.suffix_array import suffix_array
 LENGTH, K, SIDE = 50, 20, 15
 SPREAD = LENGTH - K + 1
 STRETCH, LARGE, LEFT, TOGETHER = 256, 4 << 20, 25, 1 << 19
-#: Anchors that a task holds before it sends them off.
-HELD = 1 << 19
+#: Anchors, and bytes of regions, that a task holds before it sends them off.
+HELD, HELD_BYTES = 1 << 19, 16 << 20
+#: A hash that is more often among the held anchors is sent by what decides alone.
+OFTEN = 64
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -89,129 +97,238 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return chosen, h[chosen], left, right
 
 
+def packed(ids: np.ndarray, tags: np.ndarray, which: np.ndarray, *more: np.ndarray) -> bytes:
+    """Anchors as bytes: their documents once, then an index into these and the other columns."""
+    used, local = np.unique(which, return_inverse=True)
+    head = np.array([len(used), len(which)], "<u4").tobytes()
+    return head + b"".join(x.tobytes() for x in (ids[used], tags[used], local.astype("<u4"), *more))
+
+
+def unpacked(blob: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """doc and text hash of each anchor, and its other columns."""
+    n_docs, n = np.frombuffer(blob, "<u4", 2).tolist()
+    at, out = 8, []
+    for kind, count in (("<i8", n_docs), ("<i8", n_docs), ("<u4", n), *((k, n) for k in kinds)):
+        out.append(np.frombuffer(blob, kind, count, at))
+        at += out[-1].nbytes
+    ids, tags, local, *rest = out
+    return (ids[local], tags[local], *rest)
+
+
+#: Columns of anchors in a bucket (place, hash there, left, right), and of those that stay with their batch.
+SENT, STAYED = ("<u4", "<u4", "<u2", "<u2"), ("<u4", "<u8", "<u2", "<u2")
+
+
+def edges_of(*keys: np.ndarray) -> np.ndarray:
+    """Where rows in the order of ``keys`` start a new one."""
+    new = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate(([True], new)))
+
+
+def deciding(key: np.ndarray, side: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Rows with the least and greatest text and the least document and place of each (key, side)."""
+    out = []
+    for order in (np.lexsort((tag, side, key)), np.lexsort((pos, doc, side, key))):
+        first = edges_of(key[order], side[order])
+        out += [order[first], order[np.append(first[1:], len(order)) - 1]]
+    return np.concatenate(out[:3])
+
+
 def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blob): the anchors of some documents by bucket of their hash."""
+    """docs (doc_id, tag, text) -> (bucket, batch, stays, blob): anchors of some documents by bucket of their hash.
+
+    batch is null but where a blob has what decides for a batch, or (stays) the anchors of one.
+    """
+    names = ["bucket", "batch", "stays", "blob"]
 
-    def packed(ids: list[int], tags: list[int], parts: list[tuple]) -> pa.RecordBatch:
+    def sent(ids: list[int], tags: list[int], parts: list[tuple], batch: int) -> pa.RecordBatch:
         which, pos, h, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
-        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for k in range(buckets):
-            o = order[cuts[k] : cuts[k + 1]]
-            if len(o):
-                used, local = np.unique(which[o], return_inverse=True)
-                head = np.array([len(used), len(o)], "<u4").tobytes()
-                body = (np.array(ids, "<i8")[used], np.array(tags, "<u8")[used], local.astype("<u4"), pos[o].astype("<u4"), h[o].astype("<u4"), left[o].astype("<u2"), right[o].astype("<u2"))
-                rows.append((k, head + b"".join(x.tobytes() for x in body)))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+        id_of, tag_of = np.array(ids, "<i8"), np.array(tags, "<i8")
+        key = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        order = np.argsort(key, kind="stable")
+        which, pos, key, left, right = (x[order] for x in (which, pos, key, left, right))
+        first = edges_of(key)
+        sizes = np.diff(np.append(first, len(key)))
+        often = np.repeat(sizes > OFTEN, sizes)
+        rows: list[tuple] = []
+
+        def send(chosen: np.ndarray, of: int | None) -> None:
+            bucket = key[chosen] >> np.uint64(32)
+            for part in np.split(chosen, edges_of(bucket)[1:]):
+                rows.append((int(key[part[0]] >> np.uint64(32)), of, False, packed(id_of, tag_of, which[part], pos[part].astype("<u4"), key[part].astype("<u4"), left[part].astype("<u2"), right[part].astype("<u2"))))
+
+        few, many = np.flatnonzero(~often), np.flatnonzero(often)
+        if len(few):
+            send(few, None)
+        if len(many):
+            doc, tag = id_of[which[many]], tag_of[which[many]]
+            decide = np.concatenate([deciding(key[many], side[many], doc, tag, pos[many]) for side in (left, right)])
+            send(many[np.unique(decide)], batch)
+            rows.append((batch % buckets, batch, True, packed(id_of, tag_of, which[many], pos[many].astype("<u4"), key[many].astype("<u8"), left[many].astype("<u2"), right[many].astype("<u2"))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tags, parts, held = [], [], [], 0
+        from pyspark import TaskContext
+
+        ids, tags, parts, held, batch = [], [], [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, tag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if doc_id is None or len(raw) < LENGTH:
                     continue
                 pos, h, left, right = anchors(np.frombuffer(raw, np.uint8))
                 parts.append((np.full(len(pos), len(ids), np.uint32), pos.astype(np.uint32), h, left, right))
                 ids.append(doc_id)
-                tags.append(xxhash.xxh3_64_intdigest(raw))
+                tags.append(tag)
                 held += len(pos)
                 if held >= HELD:
-                    yield packed(ids, tags, parts)
-                    ids, tags, parts, held = [], [], [], 0
+                    yield sent(ids, tags, parts, batch)
+                    ids, tags, parts, held, batch = [], [], [], 0, batch + 1
         if ids:
-            yield packed(ids, tags, parts)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary")
-
+            yield sent(ids, tags, parts, batch)
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n_docs, n = np.frombuffer(blob, "<u4", 2).tolist()
-    at, out = 8, []
-    for kind, count in (("<i8", n_docs), ("<u8", n_docs), ("<u4", n), ("<u4", n), ("<u4", n), ("<u2", n), ("<u2", n)):
-        out.append(np.frombuffer(blob, kind, count, at))
-        at += out[-1].nbytes
-    ids, tags, local, *rest = out
-    return (ids[local], tags[local], *rest)
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "bucket int, batch long, stays boolean, blob binary")
 
 
-def several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each row, whether another document has its key."""
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    many = np.maximum.reduceat(d, edges) != np.minimum.reduceat(d, edges)
+def several(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row, whether its key has another value."""
+    order = np.argsort(keys, kind="stable")
+    k, v = keys[order], values[order]
+    edges = edges_of(k)
+    many = np.maximum.reduceat(v, edges) != np.minimum.reduceat(v, edges)
     out = np.empty(len(keys), bool)
     out[order] = np.repeat(many, np.diff(np.append(edges, len(keys))))
     return out
 
 
-def shared_anchors(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, pos, source, stretch): one row per anchor of a document that another one shares with a neighbourhood."""
-    names = ["doc", "pos", "source", "stretch"]
+ANCHORS = "doc long, tag long, pos int, source long, place int"
+#: ANCHORS; for a reply also its batch, the anchor's hash, neighbourhoods and which of them are shared; or anchors that stayed.
+MET = ANCHORS + ", batch long, key long, left int, right int, by_left boolean, by_right boolean, blob binary"
+
+
+def met_anchors(blobs: DataFrame, buckets: int) -> DataFrame:
+    """anchor_blobs -> MET. A bucket's anchors are held at once: a share of all of them, with no hash in excess."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                by.setdefault(bucket, []).append(unpack(blob.as_py()))
+            for bucket, batch, stays, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if stays:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*[None] * 5, batch, *[None] * 5, blob.as_py()], kinds, strict=True)], names=names)
+                    continue
+                columns = unpacked(blob.as_py(), SENT)
+                by.setdefault(bucket, []).append((*columns, np.full(len(columns[0]), -1 if batch is None else batch)))
         for bucket in sorted(by):
-            doc, tag, pos, h, left, right = (np.concatenate(c) for c in zip(*by.pop(bucket), strict=True))
-            # of copies, only the least document stays
-            order = np.lexsort((doc, tag, pos, h))
-            same = (h[order][1:] == h[order][:-1]) & (pos[order][1:] == pos[order][:-1]) & (tag[order][1:] == tag[order][:-1])
-            keep = order[np.concatenate(([True], ~same))]
-            doc, pos, h, left, right = (x[keep] for x in (doc, pos, h, left, right))
+            doc, tag, pos, h, left, right, batch = (np.concatenate(c) for c in zip(*by.pop(bucket), strict=True))
             wide = h.astype(np.uint64) << np.uint64(16)
-            met = np.zeros(len(doc), bool)
+            shared = []
             for side in (left, right):
-                rows = np.flatnonzero(side)
+                met, rows = np.zeros(len(doc), bool), np.flatnonzero(side)
                 if len(rows):
-                    met[rows] |= several(wide[rows] | side[rows], doc[rows])
-            doc, pos, h = doc[met], pos[met], h[met]
-            order = np.lexsort((pos, doc, h))
-            doc, pos, h = doc[order], pos[order], h[order]
-            if not len(doc):
-                continue
-            edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            sizes = np.diff(np.append(edges, len(h)))
-            columns = (doc, pos.astype(np.int32), np.repeat(doc[edges], sizes), np.repeat(pos[edges] // STRETCH, sizes).astype(np.int32))
-            for a in range(0, len(doc), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=names)
+                    met[rows] = several(wide[rows] | side[rows], tag[rows])
+                shared.append(met)
+            either = shared[0] | shared[1]
+            # each hash's source: the least document and place of its met anchors
+            order = np.lexsort((pos, doc, ~either, h))
+            first = edges_of(h[order])
+            sizes = np.diff(np.append(first, len(order)))
+            source, place = np.empty_like(doc), np.empty_like(pos)
+            source[order], place[order] = np.repeat(doc[order][first], sizes), np.repeat(pos[order][first], sizes)
+            # anchors that no reply is for: met ones, of copies only the least document's
+            plain = np.flatnonzero(either & (batch < 0))
+            order = plain[np.lexsort((doc[plain], tag[plain], pos[plain], h[plain]))]
+            keep = order[edges_of(h[order], pos[order], tag[order])] if len(order) else order
+            for rows, reply in ((keep, False), (np.flatnonzero(batch >= 0), True)):
+                for a in range(0, len(rows), 50_000):
+                    r = rows[a : a + 50_000]
+                    own = [doc[r], tag[r], pos[r].astype(np.int32), source[r], place[r].astype(np.int32)]
+                    more = [batch[r], h[r].astype(np.int64) | bucket << 32, left[r].astype(np.int32), right[r].astype(np.int32), shared[0][r], shared[1][r]]
+                    columns = [*own, *(more if reply else [None] * 6), None]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(r), t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return blobs.repartitionById(buckets, "bucket").mapInArrow(run, MET)
+
+
+def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """ANCHORS: one row per anchor of a document that another text shares with a neighbourhood."""
+    met = written(met_anchors(anchor_blobs(docs, buckets), buckets), "met-anchors")
+    reply = F.struct("key", "left", "right", "by_left", "by_right", "source", "place")
+    replies = met.filter("batch is not null and blob is null").groupBy("batch").agg(F.collect_list(reply).alias("replies"))
+    stayed = met.filter("blob is not null").select(F.col("batch").alias("b"), "blob").join(replies, F.col("b") == F.col("batch")).select("blob", "replies")
+    names = [x.split()[0] for x in ANCHORS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                doc, tag, pos, key, left, right = unpacked(b.column(0)[i].as_py(), STAYED)
+                told = b.column(1)[i].values
+                of, k_left, k_right, by_left, by_right, source, place = (told.field(c).to_numpy(zero_copy_only=False) for c in range(7))
+                of = of.astype(np.uint64)
+                wide, met = key << np.uint64(16), np.zeros(len(key), bool)
+                for side, k_side, by in ((left, k_left, by_left), (right, k_right, by_right)):
+                    known = (of << np.uint64(16) | k_side.astype(np.uint64))[by.astype(bool)]
+                    met |= np.isin(wide | side, known)
+                at, where = np.unique(of, return_index=True)
+                found = where[np.searchsorted(at, key)]
+                columns = (doc, tag, pos.astype(np.int32), source[found], place[found].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], names=names)
 
-    return blobs.repartitionById(buckets, "bucket").mapInArrow(run, "doc long, pos int, source long, stretch int")
+    plain = met.filter("batch is null and blob is null").select(*names)
+    return plain.union(stayed.mapInArrow(run, ANCHORS))
 
 
-REGIONS = "block long, doc long, start int, body binary"
+REGIONS = "block long, coarse long, doc long, tag long, start int, stop int, body binary"
 
 
-def regions(candidates: DataFrame) -> DataFrame:
-    """candidates (doc, text, found: array of (pos, source, stretch)) -> REGIONS."""
+def regions(candidates: DataFrame, fine: bool = False) -> DataFrame:
+    """candidates (doc, tag, text, found: array of (pos, source, place)) -> REGIONS; without a body: a repeat as a whole.
+
+    fine: a block has one anchor, not those of a stretch; ``coarse`` is the block it would be in otherwise.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in REGIONS.split(", ")]
+
+    def sent(held: dict[tuple[int, bytes], list[tuple]]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for (block, body), holders in held.items():
+            least = min(h[1] for h in holders)
+            for coarse, doc, tag, start in holders:
+                rows.append((block, coarse, doc, tag, start, start + len(body), body if doc == least else None))
+        for a in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for a in range(0, big.num_rows, 256):
-                b = big.slice(a, 256)
-                rows: list[tuple] = []
-                for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-                    raw = text.as_py().encode("utf-8", "surrogatepass")
-                    flat = b.column(2)[i].values.flatten()
-                    pos, source, stretch = (c.to_numpy(zero_copy_only=False) for c in flat)
-                    block = mix(mix(source.astype(np.uint64) * GOLD + np.uint64(1)) + stretch.astype(np.uint64)).view(np.int64)
-                    order = np.lexsort((pos, block))
-                    pos, block = pos[order].astype(np.int64), block[order]
-                    low, high = np.maximum(pos - (SPREAD - 1), 0), np.minimum(pos + LENGTH, len(raw))
-                    new = np.concatenate(([True], (block[1:] != block[:-1]) | (low[1:] > high[:-1])))
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(pos)) - 1
-                    for k, s, e in zip(block[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True):
-                        if e - s >= LENGTH:
-                            rows.append((k, doc, s, raw[s:e]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "doc", "start", "body"])
+        held: dict[tuple[int, bytes], list[tuple]] = {}
+        size = 0
+        for b in batches:
+            for i, (doc, tag, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                pos, source, place = (c.to_numpy(zero_copy_only=False) for c in b.column(3)[i].values.flatten())
+                block_of = lambda at: mix(mix(source.astype(np.uint64) * GOLD + np.uint64(1)) + at.astype(np.uint64)).view(np.int64)  # noqa: B023, E731
+                coarse = block_of(place // STRETCH)
+                block = block_of(place.astype(np.int64) + (1 << 40)) if fine else coarse
+                order = np.lexsort((pos, block))
+                pos, block, coarse = pos[order].astype(np.int64), block[order], coarse[order]
+                low, high = np.maximum(pos - (SPREAD - 1), 0), np.minimum(pos + LENGTH, len(raw))
+                new = np.concatenate(([True], (block[1:] != block[:-1]) | (low[1:] > high[:-1])))
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(pos)) - 1
+                for k, c, s, e in zip(block[first].tolist(), coarse[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True):
+                    if e - s >= LENGTH:
+                        body = raw[s:e]
+                        if (k, body) not in held:
+                            size += e - s
+                        held.setdefault((k, body), []).append((c, doc, tag, s))
+                        size += 64
+                if size >= HELD_BYTES:
+                    yield from sent(held)
+                    held, size = {}, 0
+        if held:
+            yield from sent(held)
 
     return candidates.mapInArrow(run, REGIONS)
 
@@ -311,38 +428,39 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.append(new[1:], len(starts)) - 1] + LENGTH
 
 
-FOUND = "doc long, a array<int>, b array<int>"
+FOUND = "doc long, tag long, a array<int>, b array<int>"
 
 
 def found_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "a", "b"])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "tag", "a", "b"])
 
 
 def repeats_in_blocks(table: DataFrame) -> DataFrame:
     """REGIONS -> FOUND, by a suffix array of several blocks at a time, up to TOGETHER bytes of distinct regions."""
 
-    def work(held: dict[bytes, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    def work(held: dict[bytes, list[tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
         bodies = list(held)
-        docs = np.array([min(d for d, _ in held[x]) for x in bodies], np.int64)
+        docs = np.array([min(h[0] for h in held[x]) for x in bodies], np.int64)
         best = least_documents(bodies, docs)
         rows, at = [], 0
-        for body in bodies:
+        for body, least in zip(bodies, docs.tolist(), strict=True):
             part = best[at : at + max(len(body) - LENGTH + 1, 0)]
             at += len(body)
-            for doc, start in held[body]:
-                hits = np.flatnonzero(part < doc)
-                if len(hits):
-                    a, b = spans(hits)
-                    rows.append((doc, (a + start).astype(np.int32), (b + start).astype(np.int32)))
+            hits = np.flatnonzero(part < least)
+            own = spans(hits) if len(hits) else (hits, hits)
+            for doc, tag, start in held[body]:
+                a, b = own if doc == least else (np.zeros(1, np.int64), np.full(1, len(body)))
+                if len(a):
+                    rows.append((doc, tag, (a + start).astype(np.int32), (b + start).astype(np.int32)))
         if rows:
             yield found_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[tuple[int, int]]] = {}
+        held: dict[bytes, list[tuple[int, int, int]]] = {}
         size, last = 0, None
         for b in batches:
-            for block, doc, start, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for block, doc, tag, start, body in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4), strict=True):
                 if size >= TOGETHER and block != last:
                     yield from work(held)
                     held, size = {}, 0
@@ -350,11 +468,12 @@ def repeats_in_blocks(table: DataFrame) -> DataFrame:
                 if body not in held:
                     held[body] = []
                     size += len(body)
-                held[body].append((doc, start))
+                held[body].append((doc, tag, start))
         if held:
             yield from work(held)
 
-    return table.repartition(partitions(table.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, FOUND)
+    rows = table.select("block", "doc", "tag", "start", "body")
+    return rows.repartition(partitions(table.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, FOUND)
 
 
 def repeats_by_hash(table: DataFrame) -> DataFrame:
@@ -373,26 +492,52 @@ def repeats_by_hash(table: DataFrame) -> DataFrame:
     made = written(distinct.mapInArrow(windows, "doc long, text_hash binary, at int, window binary"), "large-windows")
     least = written(made.groupBy(F.col("window").alias("w")).agg(F.min("doc").alias("least")), "large-least")
     per = made.join(least, F.col("window") == F.col("w")).groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("windows"))
-    rows = keyed.select("doc", "start", "text_hash").join(per.withColumnRenamed("text_hash", "t"), F.col("text_hash") == F.col("t"))
+    rows = keyed.select("doc", "tag", "start", "text_hash").join(per.withColumnRenamed("text_hash", "t"), F.col("text_hash") == F.col("t"))
     hits = F.filter("windows", lambda w: w["least"] < F.col("doc"))
-    return rows.select("doc", F.transform(hits, lambda w: w["at"] + F.col("start")).alias("a"), F.transform(hits, lambda w: w["at"] + F.col("start") + LENGTH).alias("b")).filter(F.size("a") > 0)
+    return rows.select("doc", "tag", F.transform(hits, lambda w: w["at"] + F.col("start")).alias("a"), F.transform(hits, lambda w: w["at"] + F.col("start") + LENGTH).alias("b")).filter(F.size("a") > 0)
+
+
+def large_blocks(table: DataFrame) -> DataFrame:
+    n = table.groupBy("block").agg(F.sum(F.octet_length("body")).alias("n")).filter(F.col("n") > LARGE)
+    return written(n.select(F.col("block").alias("k")), "large-blocks", True)
+
+
+def repeats(candidates: DataFrame) -> DataFrame:
+    """candidates of ``regions`` -> FOUND: all spans that a smaller doc_id holds as well."""
+    whole = lambda t: t.filter("body is null").select("doc", "tag", F.array("start").alias("a"), F.array("stop").alias("b"))
+    table = written(regions(candidates), "regions")
+    out, left = whole(table), table.filter("body is not null")
+    big = large_blocks(left)
+    if not big.limit(1).count():
+        return out.union(repeats_in_blocks(left))
+    within = lambda t, column, large, how: t.join(large, F.col(column) == F.col("k"), how)
+    out = out.union(repeats_in_blocks(within(left, "block", big, "left_anti")))
+    again = within(left, "block", big, "left_semi").select(F.col("doc").alias("d"), F.col("tag").alias("t")).distinct()
+    again = candidates.join(again, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), "left_semi")
+    table = written(within(regions(again, True), "coarse", big, "left_semi"), "fine-regions")
+    out, left = out.union(whole(table)), table.filter("body is not null")
+    big = large_blocks(left)
+    if not big.limit(1).count():
+        return out.union(repeats_in_blocks(left))
+    hashed = repeats_by_hash(within(left, "block", big, "left_semi"))
+    return out.union(repeats_in_blocks(within(left, "block", big, "left_anti"))).union(hashed.select("doc", "tag", "a", "b"))
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove(candidates: DataFrame, with_text: bool) -> DataFrame:
-    """candidates (doc, text, a: array of arrays, b) -> RESULT of those documents, with the kept bytes if asked for."""
+    """candidates (doc, tag, text, a: array of arrays, b) -> RESULT of those documents, with the kept bytes if asked for."""
     schema = RESULT + (", kept binary" if with_text else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 part = big.slice(start, 256)
                 rows = []
-                for doc, text, xs, ys in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for doc, tag, text, xs, ys in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                     raw = text.as_py().encode("utf-8", "surrogatepass")
                     runs: list[list[int]] = []
                     for x, y in sorted((p, q) for c, d in zip(xs, ys, strict=True) for p, q in zip(c, d, strict=True)):
@@ -402,7 +547,7 @@ def remove(candidates: DataFrame, with_text: bool) -> DataFrame:
                             runs.append([x, y])
                     edges = [0, *[v for r in runs for v in r], len(raw)]
                     kept = b"".join(raw[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
+                    rows.append((doc, tag, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
@@ -414,28 +559,23 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    rows = written(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
+    tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    rows = written(tagged.select("doc_id", "tag", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
     reps = written(rows.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep")), "text-classes")
 
-    buckets = partitions(spark)
-    shared = shared_anchors(anchor_blobs(docs, buckets), buckets)
-    found = shared.groupBy("doc").agg(F.collect_list(F.struct("pos", "source", "stretch")).alias("found"))
+    shared = shared_anchors(tagged, partitions(spark))
+    found = shared.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "source", "place")).alias("found"))
     found = written(found, "shared-anchors")
-    texts = docs.select(F.col("doc_id").alias("d"), "text").filter("text is not null").join(found.hint("shuffle_hash"), F.col("d") == F.col("doc"))
-    candidates = written(texts.select("doc", "text", "found"), "candidates")
-    table = written(regions(candidates.select("doc", "text", "found")), "regions")
-    big = table.groupBy("block").agg(F.sum(F.octet_length("body")).alias("n")).filter(F.col("n") > LARGE).select(F.col("block").alias("k"))
-    big = written(big, "large-blocks")
-    if big.limit(1).count():
-        part = repeats_in_blocks(table.join(big, F.col("block") == F.col("k"), "left_anti"))
-        hits = part.union(repeats_by_hash(table.join(big, F.col("block") == F.col("k"), "left_semi")).select("doc", "a", "b"))
-    else:
-        hits = repeats_in_blocks(table)
-    hits = written(hits.groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).withColumnRenamed("doc", "h"), "repeats")
-    changed = remove(candidates.join(hits.hint("shuffle_hash"), F.col("doc") == F.col("h")).select("doc", "text", "a", "b"), with_text)
-    changed = changed.select(*[F.col(c).alias(f"c_{c}") for c in changed.columns])
-    x = rows.join(reps.withColumnRenamed("sha", "s"), F.col("sha") == F.col("s"), "left").select("doc_id", "n_bytes", "sha", "rep")
-    x = x.join(changed, (F.col("doc_id") == F.col("c_doc_id")) & (F.col("n_bytes") == F.col("c_n_bytes")), "left")
+    same = lambda doc, tag: (F.col("d") == F.col(doc)) & (F.col("t") == F.col(tag))
+    texts = tagged.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "text").filter("text is not null")
+    candidates = written(texts.join(found.hint("shuffle_hash"), same("doc", "tag")).select("doc", "tag", "text", "found"), "candidates")
+    hits = repeats(candidates).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    hits = written(hits, "repeats")
+    changed = remove(candidates.join(hits.hint("shuffle_hash"), same("doc", "tag")).select("doc", "tag", "text", "a", "b"), with_text)
+    # rows that repeat a doc_id with its text have one result
+    changed = changed.dropDuplicates(["doc_id", "tag"]).select(*[F.col(c).alias(f"c_{c}") for c in changed.columns])
+    x = rows.join(reps.withColumnRenamed("sha", "s"), F.col("sha") == F.col("s"), "left").select("doc_id", "tag", "n_bytes", "sha", "rep")
+    x = x.join(changed, (F.col("doc_id") == F.col("c_doc_id")) & (F.col("tag") == F.col("c_tag")), "left")
     copy = F.coalesce((F.col("rep") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
 
     def pick(when_copy: Column, name: str, otherwise: Column) -> Column:
