@@ -3,13 +3,17 @@
 Sequences hold at most SIZE tokens and only their pieces' lengths matter, so the instance is the histogram of
 piece lengths: SIZE numbers, however many documents there are. A chromosome is a multiset of bins, kept as
 (pattern of lengths, how many bins have it). Crossover injects whole well-filled bins of one parent into the
-other, takes out bins that would hold the same pieces again, and puts the displaced pieces back by best fit in
-descending length. Islands evolve populations in separate tasks; after each epoch every island gets the elite
-of the one before it. The best plan is then dealt to the pieces by their rank among those of their length:
+other and takes out bins that would hold the same pieces again. Displaced pieces first take the place of smaller
+ones wherever that fills a bin better; what is displaced then goes back by best fit in descending length. Islands
+evolve populations in separate tasks, each until STALE children in turn have saved no bin; after each epoch every
+island gets the elite of the one before it. The search ends with an epoch that saves no bin, or at a lower bound
+that no plan can beat. The best plan is then dealt to the pieces by their rank among those of their length:
 counters per input partition, their prefix sums, and a lookup in the plan, so no task gathers a length.
 
-Bounds: the histogram and plans have at most SIZE lengths and a few thousand patterns; they are the only
-things that reach the driver or are broadcast. Pieces are never gathered by length or sorted globally.
+Bounds: a histogram has at most SIZE lengths. Best fit leaves at most two patterns more per length, and children of
+more than MOST patterns die, so a plan has at most MOST patterns whatever the input. Histogram, plans (one per island
+and epoch) and the best plan's lookup are the only things that reach the driver or are broadcast. Pieces are never
+gathered by length or sorted globally.
 
 Defined cases: a null or empty text is the end id alone, one piece; repeated rows are separate documents;
 null doc_ids are kept; extra columns are ignored; an empty table gives an empty table.
@@ -20,8 +24,10 @@ from __future__ import annotations
 import json
 import random
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,9 @@ from chronoleaf.llm.tokenize import encoder, tokenizer_path
 SIZE = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 4, 2, 4, 8
+ISLANDS, POPULATION = 4, 4
+#: Children in turn that save no bin and end an epoch; most distinct patterns of a plan; pieces of bins whose pairs are tried.
+STALE, MOST, PAIRED = 16, 4 * SIZE, 6
 
 #: (length, pieces of it in a bin), in descending order of length.
 Pattern = tuple[tuple[int, int], ...]
@@ -46,32 +54,41 @@ def fill(pattern: Pattern) -> int:
     return sum(x * k for x, k in pattern)
 
 
-def best_fit(counts: dict[int, int], open_bins: Plan = (), size: int = SIZE) -> Plan:
+def best_fit(counts: dict[int, int], open_bins: Iterable[tuple[Pattern, int]] = (), size: int = SIZE) -> Plan:
     """Best fit in descending length, whole groups of equal bins at a time; adds to ``open_bins``."""
-    room: dict[int, dict[Pattern, int]] = defaultdict(lambda: defaultdict(int))
+    room: dict[int, Counter] = {}
     for pattern, n in open_bins:
-        room[size - fill(pattern)][pattern] += n
+        room.setdefault(size - fill(pattern), Counter())[pattern] += n
+    spaces = sorted(room)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left > 0:
-            space = min((r for r, v in room.items() if r >= length and v), default=None)
-            if space is None:
+            at = bisect_left(spaces, length)
+            if at == len(spaces):
+                old: Pattern = ()
                 each = min(size // length, left)
                 n = left // each
-                room[size - each * length][((length, each),)] += n
-                left -= n * each
-                continue
-            pattern = next(iter(room[space]))
-            each = min(space // length, left)
-            n = min(room[space][pattern], left // each)
-            room[space][pattern] -= n
-            if not room[space][pattern]:
-                del room[space][pattern]
-            merged = Counter(dict(pattern))
+            else:
+                space = spaces[at]
+                old = next(iter(room[space]))
+                each = min(space // length, left)
+                n = min(room[space][old], left // each)
+                room[space][old] -= n
+                if not room[space][old]:
+                    del room[space][old]
+                    if not room[space]:
+                        del room[space]
+                        spaces.pop(at)
+            merged = Counter(dict(old))
             merged[length] += each
-            room[space - each * length][tuple(sorted(merged.items(), reverse=True))] += n
+            pattern = tuple(sorted(merged.items(), reverse=True))
+            rest = size - fill(pattern)
+            if rest not in room:
+                room[rest] = Counter()
+                insort(spaces, rest)
+            room[rest][pattern] += n
             left -= n * each
-    return sorted(((p, n) for v in room.values() for p, n in v.items() if n), reverse=True)
+    return sorted(((p, n) for v in room.values() for p, n in v.items()), reverse=True)
 
 
 def bins_of(plan: Plan) -> int:
@@ -83,6 +100,86 @@ def fitness(plan: Plan, size: int = SIZE) -> tuple[int, float]:
     return -bins_of(plan), sum(n * (fill(p) / size) ** 2 for p, n in plan)
 
 
+def least_bins(counts: dict[int, int], size: int = SIZE) -> int:
+    """A number of bins that no plan can beat.
+
+    For each length k up to half of ``size``: pieces over size - k stay alone, those over half of it have a bin each, and pieces from
+    k to the half go into the room these leave, or into further bins.
+    """
+    if not counts:
+        return 0
+    w = np.array(sorted(counts), np.int64)
+    c = np.array([counts[x] for x in w.tolist()], np.int64)
+    n, total = np.concatenate(([0], np.cumsum(c))), np.concatenate(([0], np.cumsum(c * w)))
+    half = np.searchsorted(w, size // 2, side="right")
+    k = np.concatenate(([0], w[:half]))
+    alone, low = np.searchsorted(w, size - k, side="right"), np.searchsorted(w, k)
+    wide = n[alone] - n[half]
+    over = total[half] - total[low] - (wide * size - (total[alone] - total[half]))
+    return int((n[-1] - n[half] + np.maximum(0, -(-over // size))).max())
+
+
+def better_piece(pattern: Pattern, lengths: list[int], out: Counter, size: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """Pieces of a bin to take out and displaced ones to put in that fill it most: one or two for one, or one for two or one."""
+    space = size - fill(pattern)
+    best, chosen = 0, None
+    ones = [((x,), x) for x, _ in pattern]
+    twos = [((x, y), x + y) for i, (x, k) in enumerate(pattern) for y, _ in pattern[i:] if x != y or k > 1] if len(pattern) <= PAIRED else []
+    for gone, taken in ones + twos:
+        at = bisect_right(lengths, taken + space)
+        if at and lengths[at - 1] - taken > best:
+            best, chosen = lengths[at - 1] - taken, (gone, (lengths[at - 1],))
+    for gone, taken in ones:
+        i, j = 0, len(lengths) - 1
+        while i <= j and best < space:
+            gained = lengths[i] + lengths[j] - taken
+            if gained > space:
+                j -= 1
+                continue
+            if gained > best and (i != j or out[lengths[i]] > 1):
+                best, chosen = gained, (gone, (lengths[i], lengths[j]))
+            i += 1
+    return chosen
+
+
+def exchange(bins: Counter, out: Counter, size: int = SIZE) -> Counter:
+    """``bins`` after displaced pieces (``out``, changed in place) took the place of smaller ones wherever a bin gets fuller."""
+    lengths = sorted(out)
+    done, todo = Counter(), list(bins.items())
+    while todo:
+        pattern, n = todo.pop()
+        found = better_piece(pattern, lengths, out, size) if lengths and fill(pattern) < size else None
+        if found is None:
+            done[pattern] += n
+            continue
+        gone, put = Counter(found[0]), Counter(found[1])
+        times = min([n, *(out[x] // k for x, k in put.items())])
+        merged = Counter(dict(pattern))
+        merged.subtract(gone)
+        merged.update(put)
+        for x, k in put.items():
+            out[x] -= times * k
+            if not out[x]:
+                del out[x]
+                lengths.pop(bisect_left(lengths, x))
+        for x, k in gone.items():
+            if x not in out:
+                insort(lengths, x)
+            out[x] += times * k
+        todo.append((tuple(sorted(((x, k) for x, k in merged.items() if k), reverse=True)), times))
+        if n > times:
+            todo.append((pattern, n - times))
+    return done
+
+
+def put_back(kept: Plan, displaced: Counter, size: int) -> Plan:
+    out, bins = Counter({x: k for x, k in displaced.items() if k}), Counter()
+    for p, n in kept:
+        bins[p] += n
+    bins = exchange(bins, out, size)
+    return best_fit(out, bins.items(), size)
+
+
 def crossover(giver: Plan, taker: Plan, rnd: random.Random, size: int = SIZE) -> Plan:
     """Injects well-filled bins of ``giver`` into ``taker``; the number of each length stays as it is."""
     filled = sorted(giver, key=lambda x: size - fill(x[0]))
@@ -102,73 +199,92 @@ def crossover(giver: Plan, taker: Plan, rnd: random.Random, size: int = SIZE) ->
             displaced[x] += k * out - use
         if n > out:
             kept.append((p, n - out))
-    return best_fit({x: k for x, k in displaced.items() if k}, kept + injected, size)
+    return put_back(kept + injected, displaced, size)
 
 
 def mutate(plan: Plan, rnd: random.Random, size: int = SIZE) -> Plan:
-    """Empties some of the least filled bins and puts their pieces back."""
+    """Empties some bins, of those with room more, and puts their pieces back."""
+    share = rnd.choice((0.02, 0.1, 0.3))
     kept, displaced = [], Counter()
     for p, n in plan:
-        out = n if fill(p) < size and rnd.random() < 0.3 else 0
+        out = rnd.randint(1, n) if rnd.random() < (0.5 if fill(p) < size else share) else 0
         for x, k in p:
             displaced[x] += out * k
         if n > out:
             kept.append((p, n - out))
-    shuffled = kept[:]
-    rnd.shuffle(shuffled)
-    return best_fit({x: k for x, k in displaced.items() if k}, shuffled, size)
+    rnd.shuffle(kept)
+    return put_back(kept, displaced, size)
 
 
-def evolve(counts: dict[int, int], population: list[Plan], seed: int, size: int = SIZE) -> list[Plan]:
-    rnd = random.Random(seed)
-    floor = -(-sum(x * n for x, n in counts.items()) // size)
-    population = population or [best_fit(counts, size=size)]
+def evolve(population: list[Plan], floor: int, seed: int, size: int = SIZE) -> tuple[Plan, int]:
+    """The fittest plan after an epoch that starts from ``population``, and how many children it made."""
+    rnd, population = random.Random(seed), population[:]
     while len(population) < POPULATION:
         population.append(mutate(population[0], rnd, size))
-    for _ in range(OFFSPRING):
-        population.sort(key=lambda p: fitness(p, size), reverse=True)
-        if bins_of(population[0]) <= floor:
-            break
+    rank = lambda p: fitness(p, size)
+    best, stale, made = max(population, key=rank), 0, 0
+    while stale < STALE and bins_of(best) > floor:
         a, b = rnd.sample(population, 2)
         child = crossover(a, b, rnd, size)
-        if rnd.random() < 0.3:
+        if rnd.random() < 0.4:
             child = mutate(child, rnd, size)
-        population[-1] = max(population[-1], child, key=lambda p: fitness(p, size))
-    return sorted(population, key=lambda p: fitness(p, size), reverse=True)
+        made += 1
+        worst = min(range(len(population)), key=lambda i: rank(population[i]))
+        if len(child) <= MOST and rank(child) > rank(population[worst]) and child not in population:
+            population[worst] = child
+        fittest = max(population, key=rank)
+        stale = 0 if bins_of(fittest) < bins_of(best) else stale + 1
+        best = fittest
+    return best, made
 
 
-def thawed(plan: list) -> Plan:
-    """A plan from its JSON form."""
-    return [(tuple(map(tuple, p)), n) for p, n in plan]
+@dataclass
+class Search:
+    """The best plan, bins of best fit alone, bins that no plan can beat, and children that were made."""
 
+    plan: Plan
+    seed_bins: int
+    least_bins: int
+    children: int = 0
 
-def search(spark: SparkSession, counts: dict[int, int], islands: int = ISLANDS, epochs: int = EPOCHS, size: int = SIZE) -> Plan:
-    """The best plan of all islands. Each epoch is a Spark job with a task per island; elites go round a ring."""
-    if not counts:
-        return []
-    populations: list[list[Plan]] = [[] for _ in range(islands)]
-    floor = -(-sum(x * n for x, n in counts.items()) // size)
+    @property
+    def bins(self) -> int:
+        return bins_of(self.plan)
+
+
+def frozen(plan: Plan) -> bytes:
+    return zlib.compress(json.dumps(plan).encode())
+
+
+def thawed(state: bytes) -> Plan:
+    return [(tuple(map(tuple, p)), n) for p, n in json.loads(zlib.decompress(state))]
+
+
+def search(spark: SparkSession, counts: dict[int, int], islands: int = ISLANDS, size: int = SIZE) -> Search:
+    """Each epoch is a Spark job with a task per island, which gets its own elite and that of the island before it."""
     hist = {int(k): int(v) for k, v in counts.items()}
-    for epoch in range(epochs):
+    seed, floor = best_fit(hist, size=size), least_bins(hist, size)
+    out = Search(seed, bins_of(seed), floor)
+    elites, epoch = [seed] * islands, 0
+    while out.bins > floor:
 
         def work(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                made = []
-                for island, state in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    population = [thawed(plan) for plan in json.loads(state)]
-                    made.append(json.dumps(evolve(hist, population, 1000 * epoch + island, size)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["island", "state"])
-
-        rows = [(i, json.dumps(p)) for i, p in enumerate(populations)]
-        frame = spark.createDataFrame(rows, "island int, state string").repartitionByRange(islands, "island")
-        done = {r.island: json.loads(r.state) for r in frame.mapInArrow(work, "island int, state string").collect()}
-        populations = [[thawed(plan) for plan in done[i]] for i in range(islands)]
-        elites = [p[0] for p in populations]
-        if max(map(bins_of, elites), default=0) and min(map(bins_of, elites)) <= floor:
+                for island, *states in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    best, made = evolve([thawed(x) for x in dict.fromkeys(states)], floor, 1000 * epoch + island, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([island], pa.int32()), pa.array([made], pa.int32()), pa.array([frozen(best)], pa.binary())], names=["island", "made", "elite"])
+
+        rows = [(i, frozen(elites[i]), frozen(elites[i - 1])) for i in range(islands)]
+        frame = spark.createDataFrame(rows, "island int, own binary, other binary").repartitionByRange(islands, "island")
+        done = frame.mapInArrow(work, "island int, made int, elite binary").collect()
+        elites = [thawed(r.elite) for r in sorted(done, key=lambda r: r.island)]
+        best = max(elites, key=lambda p: fitness(p, size))
+        saved = bins_of(best) < out.bins
+        out = Search(best, out.seed_bins, floor, out.children + sum(r.made for r in done))
+        epoch += 1
+        if not saved:
             break
-        for i, p in enumerate(populations):
-            p[-1] = elites[i - 1]
-    return max((p[0] for p in populations), key=lambda p: fitness(p, size))
+    return out
 
 
 def slots(plan: Plan, first: int = 0) -> dict[int, tuple[np.ndarray, ...]]:
@@ -227,8 +343,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, with_i
     tally = written(tally.select("pid", "length", "n", before.alias("before")), "piece-tally")
     counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = counts.pop(size, 0)
-    plan = search(spark, counts, size=size)
-    where = slots(plan, full)
+    where = slots(search(spark, counts, size=size).plan, full)
     where[size] = tuple(np.array([v], np.int64) for v in (0, 0, 1, 0))
     shared = spark.sparkContext.broadcast(where)
     ranked = table.join(tally.select("pid", "length", "before"), ["pid", "length"]).withColumn("rank", F.col("before") + F.col("nth"))

@@ -291,20 +291,80 @@ def test_packing(docs, texts, make_docs):
             at += length
         assert at <= packing.SIZE
     assert len(bins) <= -(-sum(r.length for r in got) // packing.SIZE) + 1
+    # equal rows that are cut are separate documents with all their pieces
+    again = packing.pack(make_docs([(1, "lorem ipsum dolor " * 4000)] * 2 + [(None, None)])).collect()
+    assert Counter((r.doc_id, r.piece) for r in again)[(1, 0)] == 2 and sum(r.length for r in again) == 2 * sum(r.length for r in got if r.doc_id == 8) + 1
     assert packing.pack(make_docs([])).count() == 0
 
 
+def pieces_of(plan):
+    held = Counter()
+    for p, n in plan:
+        assert 0 < packing.fill(p) <= packing.SIZE and n > 0
+        for k, m in p:
+            held[k] += n * m
+    return held
+
+
 def test_packing_keeps_every_piece_through_evolution():
     rnd = random.Random(4)
-    counts = Counter(min(2047, int(rnd.lognormvariate(5.8, 1.2)) + 1) for _ in range(5000))
+    counts = Counter(rnd.randint(300, 1100) for _ in range(3000))
     a, b = packing.best_fit(counts), packing.mutate(packing.best_fit(counts), rnd)
-    for plan in (a, b, packing.crossover(a, b, rnd), *packing.evolve(counts, [], 1)):
-        held = Counter()
-        for p, n in plan:
-            assert packing.fill(p) <= packing.SIZE
-            for x, k in p:
-                held[x] += n * k
-        assert held == counts
+    for plan in (a, b, packing.crossover(a, b, rnd), packing.evolve([a], 0, 1)[0]):
+        assert pieces_of(plan) == counts
+
+
+def test_packing_search_beats_best_fit(spark):
+    rnd = random.Random(4)
+    # bins cut in three, so that 150 bins are known to do; best fit needs more
+    thirds = Counter()
+    for _ in range(150):
+        a = rnd.randint(778, 1003)
+        b = rnd.randint((packing.SIZE - a) // 2 - 200, (packing.SIZE - a) // 2)
+        thirds.update((a, b, packing.SIZE - a - b))
+    found = packing.search(spark, thirds)
+    assert found.least_bins == 150 and found.bins < found.seed_bins - 3 and found.children > 0 and pieces_of(found.plan) == thirds
+    wide = Counter(rnd.randint(600, 1100) for _ in range(4000))
+    found = packing.search(spark, wide)
+    assert found.bins < 0.99 * found.seed_bins and pieces_of(found.plan) == wide and len(found.plan) <= packing.MOST
+
+
+def test_packing_search_stops_where_best_fit_is_the_least(spark):
+    rnd = random.Random(1)
+    counts = Counter(min(2047, int(rnd.lognormvariate(5.8, 1.2)) + 1) for _ in range(50_000))
+    found = packing.search(spark, counts)
+    assert found.bins == found.seed_bins == found.least_bins and found.children == 0
+    assert packing.search(spark, {}).plan == []
+
+
+def test_least_bins_is_never_beaten():
+    def fewest(pieces, size):
+        best, bins = len(pieces), []
+
+        def place(i):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(pieces):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + pieces[i] <= size:
+                    bins[j] += pieces[i]
+                    place(i + 1)
+                    bins[j] -= pieces[i]
+            bins.append(pieces[i])
+            place(i + 1)
+            bins.pop()
+
+        place(0)
+        return best
+
+    rnd = random.Random(9)
+    for _ in range(150):
+        pieces = sorted((rnd.randint(1, 30) for _ in range(rnd.randint(0, 8))), reverse=True)
+        counts = dict(Counter(pieces))
+        assert packing.least_bins(counts, 30) <= fewest(pieces, 30) <= packing.bins_of(packing.best_fit(counts, size=30))
 
 
 def near_by_hand(texts, words, percent):
