@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences."""
-    return packing.pack(docs, with_ids=False)
+    """Token ids of the pieces of all documents and their places in sequences."""
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
