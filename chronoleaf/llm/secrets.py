@@ -5,6 +5,10 @@ pairs were scanned and what was found; a scan reads only blobs with a pair that
 and joins findings back to all paths that hold a blob. Matches get their places from the lengths of the pieces
 between them, summed by a window per blob and rule, so nothing but built-in functions runs.
 
+Hashes are compared with the ledger before any text moves. Without unseen blobs no text is read again; a table of
+unseen blobs of at most SMALL bytes is broadcast to the texts; beyond that texts pass a sieve (a bitmap of SIEVE
+bits, so of a fixed size) of the unseen blobs before the rest is shuffled. Findings are read for the blobs at hand.
+
 The ledger is two folders of Parquet files, findings and scanned. Findings are written first; a run that ends
 between the two repeats its scan, and repeated findings are dropped when read.
 
@@ -53,6 +57,11 @@ ADDED = (
     Rule("hosting", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "_"),
 )
 RULES = BASE + ADDED
+#: What redaction adds, so that the whole key goes and not its first line alone.
+WHOLE_KEY = Rule("pem_block", 1, r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----")
+
+#: Most bytes of a table that is broadcast, and bits of a sieve.
+SMALL, SIEVE = 16 << 20, 1 << 27
 
 FINDINGS = "blob binary, kind string, version int, start long, end long"
 SCANNED = "blob binary, rules array<string>"
@@ -87,28 +96,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def if_small(table: DataFrame, bytes_of: Column) -> tuple[DataFrame, bool]:
+    """``table``, to be broadcast if its rows have at most SMALL bytes; and whether it is."""
+    small = table.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0] <= SMALL
+    return (F.broadcast(table) if small else table), small
+
+
+def bit_of(blob: Column) -> Column:
+    return F.pmod(F.xxhash64(blob), F.lit(SIEVE))
+
+
+def sieved(rows: DataFrame, blobs: DataFrame, b: str) -> DataFrame:
+    """``rows`` with ``met``: false only if the blob in column ``b`` is not in ``blobs``. Bitmaps have SIEVE bits at most."""
+    bits = blobs.select(bit_of(F.col("blob")).alias("bit"))
+    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("sieve")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit_of(F.col(b))).cast("int")
+    byte = F.conv(F.hex(F.call_function("substring", F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")) % 2 == 1, F.lit(False))
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit_of(F.col(b))) == F.col("sieve"), "left").withColumn("met", met).drop("sieve", "bits")
+
+
+def texts_of(versions: DataFrame, reps: DataFrame, all_new: bool = False) -> DataFrame:
+    """blob, text, todo of the representatives of unseen blobs; ``reps`` (blob, path, todo) is a written table."""
+    texts = versions.select(F.col("path").alias("p"), blob_of(F.col("text")).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    side, small = if_small(reps, F.lit(200))
+    if not small and not all_new:
+        texts = sieved(texts, reps, "b").filter("met")
+    return texts.join(side, (F.col("b") == F.col("blob")) & F.col("p").eqNullSafe(F.col("path"))).select("blob", "text", "todo")
+
+
 def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """versions (path, text) -> (paths: path, blob of every row; findings of the ledger by these rules).
+    """versions (path, text) -> (paths: path, blob of every row; findings of their blobs by these rules).
 
     ``ledger`` is a folder of an earlier scan or a new one; without it, a new one in the shared folder.
     """
     spark = versions.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
     paths = written(versions.select("path", blob_of(F.col("text")).alias("blob")), "paths")
-    reps = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
     keys = F.array(*[F.lit(r.key) for r in rules])
-    if exists(spark, f"{ledger}/scanned"):
-        seen = spark.read.schema(SCANNED).parquet(f"{ledger}/scanned").select("blob", F.explode("rules").alias("k")).groupBy("blob").agg(F.collect_set("k").alias("seen"))
-        reps = reps.join(seen, "blob", "left").select("blob", "path", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).filter(F.size("todo") > 0)
+    old = exists(spark, f"{ledger}/scanned")
+    if old:
+        blobs = written(blobs, "blobs")
+        at_hand = blobs.select(F.col("blob").alias("k"))
+        seen = spark.read.schema(SCANNED).parquet(f"{ledger}/scanned").join(at_hand, F.col("blob") == F.col("k"), "left_semi")
+        seen = seen.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        todo = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
+        reps = blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("todo")).filter(F.size("todo") > 0)
     else:
-        reps = reps.withColumn("todo", keys)
+        reps = blobs.withColumn("todo", keys)
     reps = written(reps, "unseen")
-    texts = versions.select(F.col("path").alias("p"), blob_of(F.col("text")).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
-    unseen = texts.join(reps.hint("shuffle_hash"), (F.col("b") == F.col("blob")) & F.col("p").eqNullSafe(F.col("path"))).select("blob", "text", "todo")
-    find(unseen, rules).write.mode("append").parquet(f"{ledger}/findings")
-    reps.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
+    if not old or reps.limit(1).count():
+        find(texts_of(versions, reps, not old), rules).write.mode("append").parquet(f"{ledger}/findings")
+        reps.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
     known = F.concat_ws("@", "kind", "version").isin([r.key for r in rules])
-    return paths, spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").filter(known).distinct()
+    findings = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").filter(known)
+    if old:
+        findings = findings.join(at_hand, F.col("blob") == F.col("k"), "left_semi").distinct()
+    return paths, findings
 
 
 def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -126,7 +171,8 @@ def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 def scan_table(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of ``docs``."""
     paths, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
-    found = spans_by_blob(findings).withColumnRenamed("blob", "b")
+    found = written(spans_by_blob(findings).withColumnRenamed("blob", "b"), "spans")
+    found, _ = if_small(found, F.octet_length("base") + F.octet_length("spans") + 100)
     x = paths.join(found, F.col("blob") == F.col("b"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return x.select(F.col("path").alias("doc_id"), zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
@@ -134,13 +180,22 @@ def scan_table(docs: DataFrame, ledger: str | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of touching or overlapping findings in text replaced; n_chars follows if it is there."""
-    _, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
+    _, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger, (*RULES, WHOLE_KEY))
     before = Window.partitionBy("blob").orderBy("start", "end")
     runs = findings.withColumn("past", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     runs = runs.withColumn("run", F.sum(F.when(F.col("past") >= F.col("start"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("blob", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    runs = runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")).withColumnRenamed("blob", "found")
-    rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob")).join(runs.hint("shuffle_hash"), F.col("blob") == F.col("found"), "left")
+    runs = written(runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")), "runs")
+    side, small = if_small(runs, 100 + 16 * F.size("runs"))
+    side = side.withColumnRenamed("blob", "found")
+    rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob"))
+    if small:
+        rows = rows.join(side, F.col("blob") == F.col("found"), "left")
+    else:
+        # rows that the sieve proves clean stay where they are
+        rows = sieved(rows, runs, "blob")
+        clean = rows.filter("not met").select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+        rows = rows.filter("met").join(side, F.col("blob") == F.col("found"), "left").select("row", "runs").union(clean)
     text, r = F.col("row.text"), F.col("runs")
 
     def piece(i: Column) -> Column:
