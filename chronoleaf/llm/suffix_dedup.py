@@ -3,9 +3,9 @@
 1. Anchors. The least hash of the K-byte strings in each window of LENGTH bytes depends on the window alone, so
    equal windows share it: their anchor. Anchors go to buckets of their hashes as packed arrays. A bucket keeps
    those whose left or right neighbourhood another text shares, and names the anchor's source: the least
-   document that has it and its place there. Of a hash that a batch of documents holds more than OFTEN times only
-   what decides goes to the bucket (per neighbourhood the least and greatest text and the least document); the
-   batch's anchors stay packed together until the bucket's reply to that batch is joined to them.
+   document that has it and its place there. Of a hash that a batch of documents holds more than OFTEN times, in few
+   neighbourhoods, only what decides goes to the bucket (per neighbourhood the least and greatest text and the least
+   document); the batch's anchors stay packed together until the bucket's reply to that batch is joined to them.
 2. Blocks. Around its shared anchors a document is cut into regions, one per STRETCH bytes of a source; equal
    windows of two documents have the same anchor, so they meet in a block. Equal regions are sorted out before the
    shuffle: of those a task holds, all but the least document's are repeats as a whole, and only that one goes on.
@@ -45,8 +45,8 @@ SPREAD = LENGTH - K + 1
 STRETCH, LARGE, LEFT, TOGETHER = 256, 4 << 20, 25, 1 << 19
 #: Anchors, and bytes of regions, that a task holds before it sends them off.
 HELD, HELD_BYTES = 1 << 19, 16 << 20
-#: A hash that is more often among the held anchors is sent by what decides alone.
-OFTEN = 64
+#: A hash that is more often among the held anchors, and at least FEWER times as often as what decides, is sent by that alone.
+OFTEN, FEWER = 256, 8
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -159,13 +159,18 @@ def anchor_blobs(docs: DataFrame, buckets: int) -> DataFrame:
             for part in np.split(chosen, edges_of(bucket)[1:]):
                 rows.append((int(key[part[0]] >> np.uint64(32)), of, False, packed(id_of, tag_of, which[part], pos[part].astype("<u4"), key[part].astype("<u4"), left[part].astype("<u2"), right[part].astype("<u2"))))
 
-        few, many = np.flatnonzero(~often), np.flatnonzero(often)
+        many, decide = np.flatnonzero(often), first[:0]
+        if len(many):
+            doc, tag = id_of[which[many]], tag_of[which[many]]
+            decide = many[np.unique(np.concatenate([deciding(key[many], side[many], doc, tag, pos[many]) for side in (left, right)]))]
+            group = np.repeat(np.arange(len(first)), sizes)
+            often &= (FEWER * np.bincount(group[decide], minlength=len(first)) <= sizes)[group]
+            many, decide = np.flatnonzero(often), decide[often[decide]]
+        few = np.flatnonzero(~often)
         if len(few):
             send(few, None)
         if len(many):
-            doc, tag = id_of[which[many]], tag_of[which[many]]
-            decide = np.concatenate([deciding(key[many], side[many], doc, tag, pos[many]) for side in (left, right)])
-            send(many[np.unique(decide)], batch)
+            send(decide, batch)
             rows.append((batch % buckets, batch, True, packed(id_of, tag_of, which[many], pos[many].astype("<u4"), key[many].astype("<u8"), left[many].astype("<u2"), right[many].astype("<u2"))))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=names)
 

@@ -281,6 +281,7 @@ def test_suffix_dedup(make_docs, hard, monkeypatch):
     assert known(got) == want and any(r[2] for r in want) and got.count() == len(data)
     # a frequent hash whose anchors stay with their batch gives the same
     monkeypatch.setattr(suffix_dedup, "OFTEN", 1)
+    monkeypatch.setattr(suffix_dedup, "FEWER", 1)
     assert known(suffix_dedup.dedup(make_docs(data))) == want
     # so do large blocks: cut by single anchors, and by hashes
     for large in (3000, 100):
