@@ -3,18 +3,21 @@
 Pages of one host are merged into a tree of presentation nodes (paths of tags with their classes and roles).
 Per node, the entropy of its styles (sequences of child tags) over pages says how much layouts vary there, and
 the entropy of each content feature (a text, a link) over pages says how often it repeats; both combine, from
-the leaves up, to an importance from 0 (the same everywhere) to 1. Blocks of low importance are removed from
-each page of the host, inside and outside articles. What a tag or class declares weighs in: importance of declared
-menus, headers, footers, sidebars, notices, adverts, forms and comments is multiplied by DOWN, what a declared
-article or main element lacks to 1 by 1 - UP. DOWN is under LOW, since the text of adverts and menus can vary as
-much as an article's: the tree alone decides what declares nothing and what is in an article. Nodes on fewer than
-LEAST_PAGES pages are judged by what they declare.
+the leaves up, to an importance from 0 (the same everywhere) to 1. PRIOR further pages on which everything varies
+are taken for granted, so that a few pages prove little and one page nothing; there is no least number of pages.
+
+What tags and classes declare is evidence, not a rule: a number per node, passed down the tree, to which the share of
+the host's text below the node adds (a form or a "sidebar" that holds most of a page is no aside). The importance
+is multiplied by a logistic weight of that evidence: about 0.9 where nothing is declared, nearly 1 in articles, 0.6 for
+a class name that has a telling word among others, under LOW for a declared menu, advert or the like with little text.
+So a hint alone never removes a branch, and repeated text goes wherever it stands, in articles too. Branches whose
+product is under LOW are removed from each page of the host.
 
 The merged trees are sums per (host, path, feature), so a host with a third of all pages is counted in all
 tasks; only a host's distinct paths, not its pages, meet in one task. Pages of equal html count once.
 
-Defined cases: null or empty html gives an empty text; a null url has the host ""; repeated rows get repeated results; an empty table gives an empty
-table; extra columns are ignored.
+Defined cases: null or empty html gives an empty text; a null url has the host ""; a null page_id stays null; repeated rows
+get repeated results; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +45,22 @@ RAW = frozenset("script style textarea title iframe xmp noembed noframes templat
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li option optgroup tbody td tfoot th thead title tr".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-NEVER = frozenset("head nav footer aside form button select dialog menu noscript svg canvas object audio video".split())
+NEVER = frozenset("head nav footer aside button select dialog menu noscript svg canvas object audio video".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td dt dd figcaption caption a abbr b bdi bdo big cite code data dfn del em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-PAGES = "page_id long, url string, host string, blocks array<struct<path:bigint,text:string>>, nodes array<struct<path:bigint,parent:bigint,kind:int,feature:bigint>>"
-#: Share of a node's importance that its content keeps per further style, and what is removed.
-GAMMA, LOW, LEAST_PAGES = 0.9, 0.25, 8
-#: Weights of what is declared, and its codes: nothing, an article, a menu or the like.
-UP, DOWN = 0.2, 0.2
-PLAIN, ARTICLE, ASIDE = 0, 1, 2
+HEADERS = frozenset("header masthead banner".split())
+#: Words that say nothing beside one of WORDS.
+GENERIC = frozenset("area bar block bottom box container group inner item left list main outer panel primary right secondary section site slot top unit wrap wrapper".split())
+PAGES = "page_id long, url string, host string, page long, blocks array<struct<path:bigint,text:string>>, nodes array<struct<path:bigint,parent:bigint,kind:int,feature:bigint>>"
+#: Share of a node's importance that its content keeps per further style; pages taken for granted; what is removed.
+GAMMA, PRIOR, LOW = 0.9, 2.0, 0.25
+#: Evidence: of an element that declares a menu or the like, of a form or a telling class name, of a name that is telling in part, of an article.
+SURE, TELLING, HINT, ARTICLE = -3, -2, -1, 2
+#: A node that holds more than MOSTLY of a page's text gets BULK times the excess, unless its element is SURE.
+MOSTLY, BULK = 0.6, 5.0
+#: The weight is 1 / (1 + exp(-(BASE + SLOPE * evidence))).
+BASE, SLOPE = 2.2, 1.8
 
 
 def hash64(text: str, seed: int = 0) -> int:
@@ -58,28 +68,47 @@ def hash64(text: str, seed: int = 0) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def telling(name: str, words: frozenset[str]) -> int:
+    """Evidence of a class name or id: TELLING if it says no more than words of the list, HINT if it has one among others."""
+    parts = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words.intersection(parts):
+        return 0
+    return TELLING if all(w in words or w in GENERIC for w in parts) else HINT
+
+
 @lru_cache(maxsize=100_000)
-def node(parent: int, tag: str, attributes: str) -> tuple[int, bool, bool]:
-    """Path of an element under ``parent``; whether it declares content; whether it declares none."""
+def node(parent: int, tag: str, attributes: str, inside: bool) -> tuple[int, int]:
+    """Path of an element under ``parent``, and its evidence. inside: an article is around it, whose headers belong to it."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     names = re.sub(r"\d+", "0", f"{found.get('class', '')} {found.get('id', '')}").split()
-    words = {w for n in names for w in re.split(r"[^a-z]+", n)}
     role = found.get("role", "")
-    none = tag in NEVER or role in ROLES or bool(words & WORDS) and tag not in ("html", "body", "article", "main")
-    return hash64(f"{parent}/{tag}.{' '.join(sorted(names))}.{role}"), tag in ("article", "main") or role in ("main", "article"), none
+    path = hash64(f"{parent}/{tag}.{' '.join(sorted(names))}.{role}")
+    if tag in ("html", "body"):
+        return path, 0
+    if tag in ("article", "main") or role in ("main", "article"):
+        return path, ARTICLE
+    if tag in NEVER or role in ROLES or tag == "header" and not inside:
+        return path, SURE
+    words = WORDS - HEADERS if inside else WORDS
+    worst = min((telling(n, words) for n in names), default=0)
+    if tag in TEXTUAL:
+        worst = HINT if worst == TELLING else 0
+    return path, TELLING if tag == "form" else worst
 
 
 def parse(page: str) -> tuple[list[tuple[int, str]], set[tuple[int, int, int, int]]]:
     """Blocks (path, text) in page order, and nodes (path, parent, kind, feature).
 
-    kind 0: the node is there, its feature is what it or a node above declares; 1: a style, a hash of its child tags; 2: a content feature, a hash of a text or link.
+    kind 0: the node is there, its feature is its evidence; 1: a style, a hash of its child tags; 2: a content feature, a hash of a text or
+    link; 3: its feature is the length of the node's own text.
     """
     blocks: list[tuple[int, str]] = []
     nodes: set[tuple[int, int, int, int]] = set()
-    # of each open element: tag, path, parent's path, declares content, declares none, child tags
+    # of each open element: tag, path, parent's path, whether it is in an article, whether it is inline and set apart, child tags
     stack: list[list] = [["", 0, 0, False, False, []]]
     buffer: list[str] = []
-    # text of inline elements that declare none, apart from the block around them
+    own: dict[tuple[int, int], int] = {}
+    # text of inline elements that are set apart from the block around them, as they declare a menu or the like
     beside: dict[tuple[int, int], list[str]] = {}
     at, home = 0, stack[0]
 
@@ -90,6 +119,7 @@ def parse(page: str) -> tuple[list[tuple[int, str]], set[tuple[int, int, int, in
             blocks.append((path, text))
             if path:
                 nodes.add((path, parent, 2, hash64(text)))
+                own[path, parent] = own.get((path, parent), 0) + len(text)
 
     def flush() -> None:
         if buffer:
@@ -103,7 +133,7 @@ def parse(page: str) -> tuple[list[tuple[int, str]], set[tuple[int, int, int, in
         if raw:
             block = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
             text = html.unescape(raw) if "&" in raw else raw
-            if stack[-1][4] and not block[4]:
+            if stack[-1][4]:
                 beside.setdefault((stack[-1][1], stack[-1][2]), []).append(text)
                 return
             if not buffer:
@@ -149,18 +179,17 @@ def parse(page: str) -> tuple[list[tuple[int, str]], set[tuple[int, int, int, in
             at = end.end()
             continue
         above = stack[-1]
-        path, content, none = node(above[1], tag, m[3] or "")
-        if tag == "header" and not above[3]:
-            none = True
+        path, evidence = node(above[1], tag, m[3] or "", above[3])
         above[5].append(tag)
-        stack.append([tag, path, above[1], above[3] or content, above[4] or none, []])
-        nodes.add((path, above[1], 0, ASIDE if stack[-1][4] else ARTICLE if stack[-1][3] else PLAIN))
+        stack.append([tag, path, above[1], above[3] or evidence == ARTICLE, tag not in BLOCK and (above[4] or evidence <= TELLING), []])
+        nodes.add((path, above[1], 0, evidence))
         if tag == "a" and (link := HREF.search(m[3] or "")):
             nodes.add((path, above[1], 2, hash64(link[1] or link[2] or link[3] or "")))
     add(page[at:])
     flush()
     while len(stack) > 1:
         close()
+    nodes.update((path, parent, 3, n) for (path, parent), n in own.items())
     return blocks, nodes
 
 
@@ -170,7 +199,7 @@ def host_of(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """PAGES of each row, written to the shared folder: a page is parsed once."""
+    """PAGES of each row, written to the shared folder: a page is parsed once. ``page`` is a hash of the html."""
     bound_batches(pages.sparkSession)
     names = [x.split()[0] for x in PAGES.split(", ")]
     block = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())]))
@@ -181,52 +210,68 @@ def parsed(pages: DataFrame) -> DataFrame:
             for a in range(0, big.num_rows, 256):
                 b = big.slice(a, 256)
                 urls = b.column(1).to_pylist()
-                made = [parse(x or "") for x in b.column(2).to_pylist()]
+                raw = [x or "" for x in b.column(2).to_pylist()]
+                made = [parse(x) for x in raw]
                 rows = [[{"path": p, "text": t} for p, t in x] for x, _ in made]
                 nodes = [[{"path": p, "parent": q, "kind": k, "feature": f} for p, q, k, f in sorted(x)] for _, x in made]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(map(host_of, urls), pa.string()), pa.array(rows, block), pa.array(nodes, part)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(map(host_of, urls), pa.string()), pa.array(map(hash64, raw), pa.int64()), pa.array(rows, block), pa.array(nodes, part)], names=names)
 
     return written(pages.select("page_id", "url", "html").mapInArrow(run, PAGES), "parsed-pages")
 
 
 def importance(rows: list[tuple], gamma: float = GAMMA) -> dict[int, float]:
-    """rows of one host (path, parent, pages, styles, style_sum, style_log, features, feature_log, declared) -> path -> importance."""
+    """rows of one host (path, parent, pages, styles, style_sum, style_log, features, feature_log, evidence, length) -> path -> importance.
+
+    length: of the node's own text on all pages.
+    """
     children: dict[int, list[tuple]] = {}
     for r in rows:
         children.setdefault(r[1], []).append(r)
-    out: dict[int, float] = {}
     order, todo = [], list(children.get(0, []))
     while todo:
         r = todo.pop()
         order.append(r)
         todo += children.get(r[0], [])
-    weigh = {PLAIN: lambda v: v, ARTICLE: lambda v: 1 - (1 - v) * (1 - UP), ASIDE: lambda v: v * DOWN}
-    for path, _, m, styles, total, logs, features, feature_log, declared in reversed(order):
+    # from the leaves up: what styles and contents say, and the text below each node
+    said: dict[int, float] = {}
+    below: dict[int, int] = {}
+    for path, _, m, styles, total, logs, features, feature_log, _, length in reversed(order):
+        below[path] = length + sum(below[c[0]] for c in children.get(path, []))
         if m < 2:
-            out[path] = weigh[declared](1.0)
+            said[path] = 1.0
             continue
         style = (math.log(total) - logs / total) / math.log(m) if total else 0.0
-        below = [(c[2] / m, out[c[0]]) for c in children.get(path, [])]
+        parts = [(c[2] / m, said[c[0]]) for c in children.get(path, [])]
         if features:
-            below.append((1.0, max(0.0, 1 - feature_log / (features * math.log(m)))))
-        inner = sum(w * v for w, v in below) / sum(w for w, _ in below) if below else 0.0
+            parts.append((1.0, max(0.0, 1 - feature_log / (features * math.log(m)))))
+        inner = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else 0.0
         keep = gamma ** max(styles, 1)
-        out[path] = weigh[declared]((1 - keep) * min(style, 1.0) + keep * inner)
+        said[path] = (1 - keep) * min(style, 1.0) + keep * inner
+    # from the root down: evidence
+    pages, text = max((r[2] for r in rows), default=0), sum(r[9] for r in rows)
+    evidence: dict[int, float] = {0: 0.0}
+    out: dict[int, float] = {}
+    for path, parent, m, *_, own, _ in order:
+        above = evidence[parent]
+        x = min(above, 0.0) + own if own < 0 else above + own
+        if own != SURE and text:
+            x += BULK * max(0.0, below[path] / text * pages / m - MOSTLY)
+        evidence[path] = max(float(SURE), min(float(ARTICLE), x))
+        out[path] = (m * said[path] + PRIOR) / (m + PRIOR) / (1 + math.exp(-BASE - SLOPE * evidence[path]))
     return out
 
 
-def low_branches(table: DataFrame, low: float = LOW, least: int = LEAST_PAGES) -> DataFrame:
+def low_branches(table: DataFrame, low: float = LOW) -> DataFrame:
     """host, low: paths of low importance of the host's merged tree, for hosts that have any."""
-    nodes = table.select("host", F.xxhash64("nodes", F.transform("blocks", lambda b: b["text"])).alias("page"), F.explode("nodes").alias("n")).select("host", "page", "n.*").distinct()
+    nodes = table.select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.*").distinct()
     counted = nodes.groupBy("host", "path", "parent", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0)).cast("double")
     n, log = F.col("n").cast("double"), F.log(F.col("n"))
-    tree = counted.groupBy("host", "path", "parent").agg(of(0, n).alias("m"), of(1, F.lit(1)).alias("styles"), of(1, n).alias("total"), of(1, n * log).alias("logs"), of(2, F.lit(1)).alias("features"), of(2, log).alias("feature_log"), F.max(F.when(F.col("kind") == 0, F.col("feature"))).cast("int").alias("declared"))
+    tree = counted.groupBy("host", "path", "parent").agg(of(0, n).alias("m"), of(1, F.lit(1)).alias("styles"), of(1, n).alias("total"), of(1, n * log).alias("logs"), of(2, F.lit(1)).alias("features"), of(2, log).alias("feature_log"), F.max(F.when(F.col("kind") == 0, F.col("feature"))).cast("int").alias("evidence"), of(3, n * F.col("feature")).alias("length"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(host: str, rows: list[tuple]) -> pa.RecordBatch:
-            surely = {r[0] for r in rows if r[2] >= least or r[8] == ASIDE}
-            found = [p for p, v in importance(rows).items() if v < low and p in surely]
+            found = [p for p, v in importance(rows).items() if v < low]
             return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([found], pa.list_(pa.int64()))], names=["host", "low"])
 
         host, rows = None, []

@@ -509,6 +509,112 @@ def test_style_tree_judges_articles_and_what_is_around_them(spark):
     assert rows(got, "page_id", "text") == sorted(((i, f"lead of page {i * 7919}\n\nunique words of page {i * 7919} and on") for i in range(20)), key=repr)
 
 
+def texts_by_page(spark, pages):
+    got = html_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    return {r.page_id: r.text for r in got.collect()}
+
+
+def test_main_text_of_pages_whose_tags_and_classes_mislead(spark):
+    body = "<p>The story has words enough to be what this page is about, and more of them.</p>"
+    pages = {
+        1: (f"<form id='aspnet'><nav>go</nav><article><h1>T</h1>{body}</article><input></form>", f"T|{body}"),
+        2: (f"<form class='page'><div><h1>T</h1>{body}</div></form>", f"T|{body}"),
+        3: (f"<article><h1 class='entry-header'>T</h1><p class='social-history'>S</p>{body}</article>", f"T|S|{body}"),
+        4: (f"<article><div class='post-header'><h1>T</h1></div>{body}</article>", f"T|{body}"),
+        5: (f"<div class='content has-sidebar'><article>{body}</article></div>", body),
+        6: (f"<div id='page-with-header'><div class='sidebar'><a href='/x'>x</a></div>{body}</div>", body),
+        7: (f"<article class='teaser'>Teaser</article><div class='story'>{body}</div>", f"Teaser|{body}"),
+        8: (f"<div class='ad-box'>buy</div><article>{body}<aside>more</aside><div class='comments'><p>nice</p></div></article><form><label>mail</label></form>", body),
+        9: (f"<form class='page'><p>One <button>press</button> two</p>{body}</form>", f"One two|{body}"),
+    }
+    got = texts_by_page(spark, [(i, f"http://h{i}/", f"<body>{h}</body>") for i, (h, _) in pages.items()])
+    assert got == {i: re.sub("</?p>", "", want).replace("|", "\n\n") for i, (_, want) in pages.items()}
+
+
+def test_a_hint_and_repeats_remove_together(spark):
+    page = lambda i, top: f"<body><div class='has-promo'>{top}</div><div class='box'>{top}</div><div class='text'><p>unique words of page {i * 7919}</p></div></body>"
+    same = [(i, "http://a/", page(i, "Try our offer")) for i in range(4)]
+    other = [(10 + i, "http://b/", page(i, f"Offer number {i}")) for i in range(4)]
+    got = texts_by_page(spark, same + other)
+    # of four pages, repeats alone prove too little, and so does a hint alone
+    assert got[1] == "Try our offer\n\nunique words of page 7919"
+    assert got[11] == "Offer number 1\n\nOffer number 1\n\nunique words of page 7919"
+
+
+def test_importance_by_hand():
+    """Importance of every node from the pages' own nodes, by the sums over -p log p that define it."""
+    from math import exp, log
+
+    rnd = random.Random(5)
+    pages = []
+    for i in range(9):
+        inner = "".join(rnd.choice([f"<p>text {rnd.randint(0, 12)}</p>", "<ul><li>x</li></ul>", "<h2>head</h2>"]) for _ in range(rnd.randint(1, 6)))
+        pages.append(f"<html><body><nav><a href='/{i % 2}'>home</a></nav><div class='sidebar-x'>s {i}</div><article>{inner}</article><footer>f</footer></body></html>")
+    per = [html_tree.parse(p)[1] for p in pages]
+    parent = {n[0]: n[1] for nodes in per for n in nodes}
+    of = lambda path, kind: Counter(n[3] for nodes in per for n in nodes if n[0] == path and n[2] == kind)
+    has = {path: sum(any(n[0] == path for n in nodes) for nodes in per) for path in parent}
+    said, length, share = {}, {}, {}
+
+    def judge(path):
+        below = [c for c in parent if parent[c] == path]
+        for c in below:
+            judge(c)
+        length[path] = sum(k * n for k, n in of(path, 3).items()) + sum(length[c] for c in below)
+        m = has[path]
+        if m == 1:
+            said[path] = 1.0
+            return
+        styles = of(path, 1)
+        total = sum(styles.values())
+        style = sum(-(n / total) * log(n / total, m) for n in styles.values())
+        parts = [(has[c] / m, said[c]) for c in below]
+        features = of(path, 2)
+        if features:
+            parts.append((1, sum(1 - sum(-(1 / n) * log(1 / n, m) for _ in range(n)) for n in features.values()) / len(features)))
+        inner = sum(w * v for w, v in parts) / sum(w for w, _ in parts) if parts else 0
+        keep = html_tree.GAMMA ** len(styles)
+        said[path] = (1 - keep) * style + keep * inner
+
+    (root,) = [p for p in parent if parent[p] == 0]
+    judge(root)
+    want = {}
+
+    def weigh(path, above):
+        own = next(iter(of(path, 0)))
+        x = (min(above, 0) if own < 0 else above) + own
+        share[path] = length[path] / length[root] * len(pages) / has[path]
+        if own != html_tree.SURE and share[path] > html_tree.MOSTLY:
+            x += html_tree.BULK * (share[path] - html_tree.MOSTLY)
+        x = max(html_tree.SURE, min(html_tree.ARTICLE, x))
+        m = has[path]
+        want[path] = (m * said[path] + html_tree.PRIOR) / (m + html_tree.PRIOR) / (1 + exp(-(html_tree.BASE + html_tree.SLOPE * x)))
+        for c in parent:
+            if parent[c] == path:
+                weigh(c, x)
+
+    weigh(root, 0)
+    rows = []
+    for path in parent:
+        styles, features = of(path, 1), of(path, 2)
+        logs = lambda c: sum(n * log(n) for n in c.values())
+        rows.append((path, parent[path], has[path], len(styles), sum(styles.values()), logs(styles), len(features), sum(log(n) for n in features.values()), next(iter(of(path, 0))), sum(k * n for k, n in of(path, 3).items())))
+    got = html_tree.importance(rows)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+    assert any(v < html_tree.LOW for v in want.values()) and any(v > 0.5 for v in want.values())
+
+
+def test_main_text_of_hard_pages(spark):
+    long = "<body><article>" + "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(30_000)) + "</article></body>"
+    pages = [(None, "http://h/1", "<p>a</p>", "t", 1, 2), (1, None, long, "t", 1, 2), (2, "http://h/1", "<p>a</p>", "t", 1, 2), (2, "http://h/1", "<p>a</p>", "t", 1, 2), (3, "no url", "<<<>>><p <b>x</i>", None, None, 0)]
+    x = spark.createDataFrame(pages, "page_id long, url string, html string, text string, n_chars int, host int")
+    got = html_tree.main_text(x)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    out = Counter((r.page_id, r.n_chars) for r in got.collect())
+    want = "\n\n".join(f"paragraph {i} of a very long page" for i in range(30_000))
+    assert out[(None, 1)] == 1 and out[(2, 1)] == 2 and out[(1, len(want))] == 1 and sum(out.values()) == 5
+
+
 def test_joint_chain_certifies_small_strata(spark):
     rnd = random.Random(7)
     n = 200
