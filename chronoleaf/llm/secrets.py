@@ -117,11 +117,16 @@ def sieved(rows: DataFrame, blobs: DataFrame, b: str) -> DataFrame:
 
 
 def texts_of(versions: DataFrame, reps: DataFrame, all_new: bool = False) -> DataFrame:
-    """blob, text, todo of the representatives of unseen blobs; ``reps`` (blob, path, todo) is a written table."""
+    """blob, text, todo of the representatives of unseen blobs; ``reps`` (blob, path, todo) is a written table.
+
+    all_new: there is nothing to keep back; the texts are shuffled by blob.
+    """
     texts = versions.select(F.col("path").alias("p"), blob_of(F.col("text")).alias("b"), F.coalesce("text", F.lit("")).alias("text"))
-    side, small = if_small(reps, F.lit(200))
-    if not small and not all_new:
-        texts = sieved(texts, reps, "b").filter("met")
+    side = reps.hint("merge")
+    if not all_new:
+        side, small = if_small(reps, F.lit(200))
+        if not small:
+            texts = sieved(texts, reps, "b").filter("met")
     return texts.join(side, (F.col("b") == F.col("blob")) & F.col("p").eqNullSafe(F.col("path"))).select("blob", "text", "todo")
 
 
