@@ -28,12 +28,15 @@ s AS (SELECT doc_id, {counts}, {text} FILTER (WHERE o < {base}) AS base, {text}
 SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}' for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
 
 
-def quality() -> str:
+def quality(joint: bool = False) -> str:
+    """joint: one chain per stratum, whose steps lower all cutoffs and count the good documents that any rule drops."""
     q = quality_rules
     cuts = "(VALUES " + ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(q.CUTOFFS)) + ") AS c(level, cutoff)"
     melted = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, {i} AS rule, {r} AS v FROM v" for i, r in enumerate(q.RULES))
-    p = q.ALPHA / len(q.RULES)
-    level = q.DELTA / ((len(q.STRATA) + 1) * len(q.RULES))
+    p = q.ALPHA if joint else q.ALPHA / len(q.RULES)
+    level = q.DELTA / ((len(q.STRATA) + 1) * (1 if joint else len(q.RULES)))
+    if joint:
+        melted = f"SELECT doc_id, stratum, base_failed, 0 AS rule, greatest({', '.join(q.RULES)}) AS v FROM v"
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM d, generate_series(1, len(w) - 4) AS g(i) WHERE len(w) >= 6),
 y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM x), z AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM y, generate_series(0, 4) AS g(j) WHERE c > 1 GROUP BY doc_id),
@@ -62,4 +65,4 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (('0x' || left(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan(), "op4_quality_rules": quality(), "op7_source_mixing": mix()}
+    return {"op1_secret_scan": secret_scan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "op7_source_mixing": mix()}

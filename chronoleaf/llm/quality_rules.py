@@ -6,8 +6,8 @@ up to which every exact binomial test rejects "this cutoff drops more than alpha
 Testing a chain in a fixed order needs no correction within it; between chains (strata x rules) the level
 is divided by their number (Bonferroni), and alpha by the number of rules, so that with probability
 1 - DELTA, per stratum, all rules together drop at most ALPHA of the good documents. ``judge``, whose results its
-SQL gives, does that; ``keep_good`` tests all rules together in one chain per stratum, which certifies with about
-150 labelled good documents instead of 1,280, with the same guarantee. A stratum with too few
+SQL gives, does that unless told to be ``joint``; ``keep_good`` always is: it tests all rules together in one chain per
+stratum, which certifies with about 150 labelled good documents instead of 1,280, with the same guarantee. A stratum with too few
 labels certifies nothing and only the base conditions hold there.
 
 Defined cases: a null or empty text has no words and fails the base conditions; a null or unlisted lang is
@@ -32,8 +32,8 @@ ALPHA, DELTA = 0.03, 0.05
 #: Rules: a value above the cutoff is worse. Cutoffs are tested in this order.
 RULES = ("symbol_rate", "upper_rate", "bang_rate", "dup_line_rate", "repeat_rate", "digit_rate")
 CUTOFFS = (3.0, 2.0, 1.4, 1.0, 0.8, 0.6, 0.45, 0.35, 0.25, 0.18, 0.12, 0.08)
-#: Terms of a binomial sum that are added one by one; the rest is bounded from above.
-TERMS = 4096
+#: Terms of a binomial sum, in standard deviations: what is left out is under exp(-9**2 / 2) of it, less than rounding.
+DEVIATIONS = 9
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -126,21 +126,22 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_at_most(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X of n trials of probability p, or an upper bound past TERMS terms; 1 where k >= n p."""
+    """P(X <= k) for X of n trials of probability p, exact to rounding at every n; 1 where k >= n p.
+
+    Terms below k <= n p shrink at least as fast as those below the mode, so the sum ends DEVIATIONS below k.
+    """
     k, n = k.cast("double"), n.cast("double")
     first = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
     ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)
-    terms = F.least(k, F.lit(float(TERMS))).cast("int")
+    terms = F.least(k, F.ceil(DEVIATIONS * F.sqrt(n * p)) + 64).cast("int")
 
     def add(a: Column, j: Column) -> Column:
         term = a["term"] * ratio(k - j)
         return F.struct((a["sum"] + term).alias("sum"), term.alias("term"))
 
     start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
-    summed = F.when(terms > 0, F.aggregate(F.sequence(F.lit(0), terms - 1), start, add)).otherwise(start)
-    r = ratio(k - terms)
-    rest = F.when(k > terms, summed["term"] * r / (1 - r)).otherwise(0.0)
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * (summed["sum"] + rest)))
+    summed = F.when((terms > 0) & (k < n * p), F.aggregate(F.sequence(F.lit(0), terms - 1), start, add)).otherwise(start)
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * summed["sum"]))
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -183,10 +184,13 @@ def verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     return x.withColumn("kept", ~F.col("base_failed") & ~dropped)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All values and verdicts; texts are read once, their values are written and used for both passes."""
+def judge(docs: DataFrame, labels: DataFrame, joint: bool = False) -> DataFrame:
+    """All values and verdicts; texts are read once, their values are written and used for both passes.
+
+    joint: by ``joint_thresholds``.
+    """
     feats = written(features(docs), "quality-values")
-    return verdict(feats, thresholds(feats, labels))
+    return verdict(feats, (joint_thresholds if joint else thresholds)(feats, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,9 +26,16 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+QUALITY = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*QUALITY)
+
+
+def quality_rules_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator with one joint chain per stratum, as the pipeline uses it."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=True).select(*QUALITY)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +64,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text, quality_rules_joint)}
 
 
 def oracle_sql() -> dict[str, str]:

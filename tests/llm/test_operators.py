@@ -174,10 +174,11 @@ def test_quality_rules(spark, docs, texts, make_docs):
 
 
 def test_exact_binomial_bounds(spark):
-    from math import comb
+    from math import exp, fsum, lgamma, log, log1p
 
-    for k, n, p in ((0, 100, 0.05), (3, 400, 0.02), (7, 1000, 0.02), (40, 5000, 0.01)):
-        want = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+    # the last one sums fewer terms than there are
+    for k, n, p in ((0, 100, 0.05), (3, 400, 0.02), (7, 1000, 0.02), (40, 5000, 0.01), (9, 10, 0.5), (5900, 20_000, 0.3)):
+        want = fsum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p)) for j in range(k + 1)) if k < n * p else 1.0
         got = spark.range(1).select(quality_rules.binomial_at_most(F.lit(k), F.lit(n), p)).first()[0]
         assert got == pytest.approx(want, rel=1e-8)
 
@@ -627,6 +628,28 @@ def test_joint_chain_certifies_small_strata(spark):
     assert few.count() == 0  # 100 good documents certify nothing
 
 
+@pytest.mark.parametrize("joint, n", [(True, 700), (False, 4000)])
+def test_certified_cutoffs_hold_on_other_documents(spark, joint, n):
+    """Cutoffs in three strata from one half of the good documents drop at most ALPHA of the other half, and most of the bad ones."""
+    rnd = random.Random(11)
+    data = []
+    for stratum, spread in (("en", 0.02), ("de", 0.03), ("fr", 0.05)):
+        for good in (True, False):
+            for _ in range(2 * n if good else 300):
+                values = [rnd.expovariate(1 / spread) for _ in quality_rules.RULES]
+                if not good:
+                    values[rnd.randrange(6)] += 1.5
+                data.append((len(data), stratum, False, good, *values))
+    feats = spark.createDataFrame(data, "doc_id long, stratum string, base_failed boolean, good boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    labels = feats.filter("doc_id % 2 = 0").selectExpr("doc_id", "int(good) AS quality")
+    cuts = (quality_rules.joint_thresholds if joint else quality_rules.thresholds)(feats, labels)
+    assert cuts.count() == 3
+    out = quality_rules.verdict(feats, cuts).filter("doc_id % 2 = 1").groupBy("stratum", "good").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    assert len(out) == 6
+    for r in out:
+        assert r.kept >= 1 - quality_rules.ALPHA if r.good else r.kept < 0.05
+
+
 def test_pipeline_keeps_by_the_joint_chain(spark):
     good = [(i, " ".join(f"word{i}x{k}" for k in "abcdefghijklmn"), "de", "s", 1) for i in range(200)]
     bad = [(200 + i, " ".join(f"NOISE{k}" for k in "ABCDEFGHIJKLMN") + f" N{i}", "de", "s", 1) for i in range(20)]
