@@ -38,7 +38,16 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         df = df.coalesce(max(8, partitions(spark) // 8))
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: all that was derived from them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of an Arrow batch for Python workers: bounds a worker's memory whatever the texts' lengths.

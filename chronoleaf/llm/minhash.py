@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoleaf.llm.common import bound_batches, written
+from chronoleaf.llm.common import bound_batches, discard, written
 from chronoleaf.llm.components import components
 
 HALVES, WIDTH, SEED = 12, 3, 11
+#: Members of a group that one task compares with all of the group.
+TOGETHER = 2048
 SIGNATURES = "doc_id long, n_shingles long, set_hash binary, keys array<bigint>"
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,22 +152,31 @@ def linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
     texts = written(texts.select(F.col("doc_id").alias("rep"), "text"), "candidates")
     members = table.join(met.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("bucket", "rep", "n", "c", "central")
     members = written(members, "members")
+    discard(table, met)
     best = members.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("rep")).alias("o"), "n")).alias("p"))
     best = written(best.select(F.col("bucket").alias("t"), (-F.col("p.o")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.central").alias("pc")), "pivots", True)
     first = members.join(best, F.col("bucket") == F.col("t")).filter((F.col("rep") != F.col("pivot")) & close_sizes(F.col("n"), F.col("pn"), percent))
     first = first.groupBy(F.col("rep").alias("u")).agg(F.max_by("pivot", F.struct("pc", -F.col("pivot"))).alias("v"))
     tested = written(first.select("u", "v"), "pairs")
     links = written(verified(tested, texts, words, percent), "verified")
-    labels = written(components(links), "labels", True).withColumnRenamed("node", "l")
-    x = members.join(labels, F.col("rep") == F.col("l"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    x = written(x, "labelled", True)
-    mixed = x.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("bucket").alias("t"))
-    x = written(x.join(mixed, F.col("bucket") == F.col("t"), "left_semi"), "mixed", True)
-    if not x.limit(1).count():
-        return labels.withColumnRenamed("l", "node")
-    pairs = written(feasible(x, best, tested, texts, words, percent), "pairs")
-    found = written(verified(pairs, texts, words, percent), "verified")
-    return components(links.union(found)) if found.limit(1).count() else labels.withColumnRenamed("l", "node")
+    labels = written(components(links), "labels", True)
+    x = members.select("bucket", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    labelled = written(x, "labelled", True)
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("bucket").alias("t"))
+    mixed = written(labelled.join(several, F.col("bucket") == F.col("t"), "left_semi"), "mixed", True)
+    discard(members, labelled)
+    found = None
+    if mixed.limit(1).count():
+        pairs = written(feasible(mixed, best, tested, texts, words, percent), "pairs")
+        found = written(verified(pairs, texts, words, percent), "verified")
+        discard(pairs)
+    if found is None or not found.limit(1).count():
+        out = labels
+    else:
+        out = written(components(links.union(found)), "labels", True)
+        discard(labels)
+    discard(best, tested, links, mixed, texts, *([found] if found else []))
+    return out
 
 
 DELTAS = "rep long, p long, n long, d long, parts array<bigint>"
@@ -232,11 +243,16 @@ def feasible(mixed: DataFrame, best: DataFrame, tested: DataFrame, texts: DataFr
     least = F.when(F.col("root") != F.col("e1.root"), F.col("e1.ge")).otherwise(F.col("e2"))
     most = F.when(F.col("root") != F.col("h1.root"), F.col("h1.gh")).otherwise(F.col("h2"))
     y = written(z.filter((least <= F.col("gh")) & (F.col("ge") <= most)).select(*y.columns), "open", True)
-    z = y.select(*[F.col(c).alias(f"o_{c}") for c in y.columns])
+    # a large group is dealt over tasks: each has some of the members and all of the others
+    sizes = y.groupBy(F.col("g").alias("sg")).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
+    y = y.join(sizes, F.col("g") == F.col("sg")).drop("sg")
+    z = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    y = y.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    z = z.select(*[F.col(c).alias(f"o_{c}") for c in z.columns])
     fits = (F.col("rep") < F.col("o_rep")) & (F.col("root") != F.col("o_root")) & close_sizes(F.col("n"), F.col("o_n"), percent)
     fits = fits & (F.col("o_ge") <= F.col("gh")) & (F.col("ge") <= F.col("o_gh"))
     fits = fits & ((F.col("v") != F.col("o_v")) | ((F.col("o_ve") <= F.col("vh")) & (F.col("ve") <= F.col("o_vh"))))
-    pairs = y.join(z, (F.col("g") == F.col("o_g")) & fits).select(F.col("o_rep").alias("u"), F.col("rep").alias("v")).distinct()
+    pairs = y.join(z, (F.col("g") == F.col("o_g")) & (F.col("salt") == F.col("o_salt")) & fits).select(F.col("o_rep").alias("u"), F.col("rep").alias("v")).distinct()
     done = tested.select(F.greatest("u", "v").alias("tu"), F.least("u", "v").alias("tv"))
     return pairs.join(done, (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
 
@@ -252,7 +268,9 @@ def classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     if roots is None:
         return table, own.select("set_hash", F.col("rep").alias("component"))
     joined = own.join(roots, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("root", "rep").alias("component"))
-    return table, written(joined, "class-components", True)
+    joined = written(joined, "class-components", True)
+    discard(own, reps, roots)
+    return table, joined
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoleaf.llm import gam, html_tree, media, minhash, mixing, packing, quality_rules, secrets, simple8b, suffix_array, suffix_dedup, tokenize
+from chronoleaf.llm import components, gam, html_tree, media, minhash, mixing, packing, quality_rules, secrets, simple8b, suffix_array, suffix_dedup, tokenize
 from chronoleaf.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -461,6 +461,27 @@ def test_near_duplicates(make_docs, hard, words, percent):
     assert got == near_by_hand(data, words, percent)
 
 
+def test_large_groups_are_dealt_over_tasks(make_docs, monkeypatch):
+    monkeypatch.setattr(minhash, "TOGETHER", 3)
+    data = near_copies(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(make_docs(data), 3, 85).collect()}
+    assert got == near_by_hand(data, 3, 85)
+
+
+def test_components(spark):
+    rnd = random.Random(3)
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(40)] + [(5, 5), (7, 8), (8, 7)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for u, v in links:
+        a, b = sorted((find(u), find(v)))
+        parent[b] = a
+    linked = {x for u, v in links if u != v for x in (u, v)}
+    got = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert {r.node: r.root for r in got} == {x: find(x) for x in linked} and len(got) == len(linked)
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_keep_one(make_docs, hard):
     x = make_docs(hard + near_copies(), extra=True)
     kept = minhash.keep_one(x)
