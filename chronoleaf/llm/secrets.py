@@ -150,7 +150,7 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
         reps = blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("todo")).filter(F.size("todo") > 0)
     else:
         reps = blobs.withColumn("todo", keys)
-    reps = written(reps, "unseen")
+    reps = written(reps, "unseen", True)
     if not old or reps.limit(1).count():
         find(texts_of(versions, reps, not old), rules).write.mode("append").parquet(f"{ledger}/findings")
         reps.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scanned")
@@ -176,7 +176,7 @@ def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 def scan_table(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of ``docs``."""
     paths, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
-    found = written(spans_by_blob(findings).withColumnRenamed("blob", "b"), "spans")
+    found = written(spans_by_blob(findings).withColumnRenamed("blob", "b"), "spans", True)
     found, _ = if_small(found, F.octet_length("base") + F.octet_length("spans") + 100)
     x = paths.join(found, F.col("blob") == F.col("b"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -190,7 +190,7 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
     runs = findings.withColumn("past", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     runs = runs.withColumn("run", F.sum(F.when(F.col("past") >= F.col("start"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("blob", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    runs = written(runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")), "runs")
+    runs = written(runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs")), "runs", True)
     side, small = if_small(runs, 100 + 16 * F.size("runs"))
     side = side.withColumnRenamed("blob", "found")
     rows = docs.select(F.struct("*").alias("row"), blob_of(F.col("text")).alias("blob"))
