@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("label"), "value", "props", "ts")
     return sessionize(ev, "user_id", ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")), GAP_S).drop("ts")

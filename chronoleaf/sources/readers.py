@@ -21,7 +21,10 @@ def stem(path: Column | None = None) -> Column:
 
 
 def _video(strip: str = "") -> Column:
-    return F.regexp_replace(F.url_decode(stem()), strip, "") if strip else F.url_decode(stem())
+    """The file's name without ``strip``, or the value of a folder "video=..." as a partitioned write makes it."""
+    folder = F.nullif(F.regexp_extract(F.input_file_name(), r"/video=([^/]+)/[^/]*$", 1), F.lit(""))
+    name = F.url_decode(F.coalesce(folder, stem()))
+    return F.regexp_replace(name, strip, "") if strip else name
 
 
 def vocab(spark: SparkSession, names: list[str], first: int = 1) -> DataFrame:
@@ -187,8 +190,13 @@ def frame_index(spark: SparkSession, path: str, fps: float = 1.0, meta: DataFram
     Only file names are read. The frame number is the trailing run of digits of the name, 0 without any.
     """
     x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    return index_of_paths(x, fps, meta)
+
+
+def index_of_paths(paths: DataFrame, fps: float = 1.0, meta: DataFrame | None = None) -> DataFrame:
+    """``frame_index`` of a table of paths."""
     name = stem(F.col("path"))
-    x = x.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video_id"), F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("int"), F.lit(0)).alias("frame_idx"), "path")
+    x = paths.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video_id"), F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("int"), F.lit(0)).alias("frame_idx"), "path")
     x = x.withColumn("t_sec", F.round(F.col("frame_idx") / F.lit(fps), 3))
     if meta is not None:
         x = x.join(meta, "video_id", "left")
@@ -227,6 +235,11 @@ def synthetic(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return videos, phases.unionByName(steps).unionByName(acts)
 
 
+def read_synthetic(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The timeline of ``synthetic``, which needs no files."""
+    return synthetic(spark)[1].select(*TIMELINE)
+
+
 #: name -> reader(spark, path, ...)
 READERS: dict[str, Callable[..., DataFrame]] = {
     "dense_text": read_dense_text,
@@ -235,6 +248,7 @@ READERS: dict[str, Callable[..., DataFrame]] = {
     "coco_json": read_coco_json,
     "interval_json": read_interval_json,
     "language_queries": read_language_queries,
+    "synthetic": read_synthetic,
 }
 
 

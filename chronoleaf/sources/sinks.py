@@ -56,6 +56,28 @@ def pack_shards(items: DataFrame, key: str, shard_mb: float = 500.0) -> DataFram
     return lines.mapInArrow(run, "shard string, n long, bytes long, content binary")
 
 
+def write_shards(shards: DataFrame, path: str) -> DataFrame:
+    """Writes each packed shard as <path>/<shard>.tar by the task that holds it; returns the manifest, read from its file.
+
+    A repeated task writes the same bytes to the same name again, so a lost executor does no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(3), strict=True):
+                with where.open_output_stream(f"{folder}/{name}.tar") as out:
+                    out.write(content.as_buffer())
+            yield b.select(["shard", "n", "bytes"])
+
+    made = shards.select("shard", "n", "bytes", "content").mapInArrow(run, "shard string, n long, bytes long")
+    made.write.mode("overwrite").json(f"{path}/manifest")
+    return shards.sparkSession.read.schema("shard string, n long, bytes long").json(f"{path}/manifest")
+
+
 def unpack_shards(shards: DataFrame) -> DataFrame:
     """(shard, key, json) of the members of packed shards."""
 
