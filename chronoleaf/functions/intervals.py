@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 LENGTH_EDGES = (30, 60, 120)
 # Words of a question that route it to retrieval; the short list is the configured one.
 TOOL_WORDS = ("instrument", "tool", "stapler", "clip", "grasper", "scissors", "hook", "bipolar", "needle", "suction")
-MORE_TOOL_WORDS = ("instrument", "tool", "stapler", "clip", "clipper", "grasper", "scissors", "hook", "bipolar", "needle", "suction", "irrigator", "forceps", "trocar")
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -129,3 +128,12 @@ def clip_windows(duration_s: Column, size_s: float = 30.0, stride_s: float = 15.
 def vision_tokens(n_frames: Column, per_frame: int, stride: int = 1, pool: int = 1) -> Column:
     """Frames kept by a stride times tokens of a pooled frame, at least one each."""
     return (F.ceil(n_frames / stride) * max(1, per_frame // (pool * pool))).cast("long")
+
+
+def context_length(n_vision: Column, n_text: Column) -> Column:
+    return (n_vision + n_text).cast("long")
+
+
+def tokens_per_video(frames_by_regime: Column, per_frame: int, stride: int = 1, pool: int = 1) -> Column:
+    """A map of regime to frames as one of regime to tokens."""
+    return F.transform_values(frames_by_regime, lambda _, n: vision_tokens(n, per_frame, stride, pool))

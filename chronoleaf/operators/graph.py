@@ -17,6 +17,7 @@ def closure(edges: DataFrame) -> DataFrame:
         hop = paths.select(F.col("a").alias("b"), F.col("b").alias("c"))
         more = paths.union(paths.join(hop, "b").select("a", F.col("c").alias("b"))).distinct().cache()
         now = more.count()
+        paths.unpersist()
         if now == known:
             return more
         paths, known = more, now

@@ -35,23 +35,24 @@ def grounding_report(records: DataFrame, thresholds: Sequence[float] = (0.3, 0.5
     return out.withColumn("len_bucket", F.when(F.col("_g") == 1, TOTAL).otherwise(F.col("len_bucket"))).drop("_g")
 
 
-def bootstrap_interval(records: DataFrame, value: str, unit: str, n: int = 1000, seed: int = 0) -> DataFrame:
-    """lo, hi: 2.5 and 97.5 percentiles of the mean of ``value`` over n resamples of units.
+def bootstrap_interval(records: DataFrame, value: str, unit: str, n: int = 1000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """by, lo, hi: 2.5 and 97.5 percentiles of the mean of ``value`` over n resamples of units, per group of ``by``.
 
     Each unit is drawn a Poisson(1) number of times per resample, by a hash of (seed, resample, unit), so the
     draws need no exchange and a rerun repeats them. ``unit`` is a record id, or a video id to resample videos.
     Values are summed per unit first; the n sums per task combine before the shuffle.
     """
-    per = records.filter(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col(unit)), F.lit(1 << 40)) / float(1 << 40)
+    per = records.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c"))
+    key = F.concat_ws(":", F.lit(f"draw:{seed}"), F.col("_rep").cast("string"), F.col(unit).cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("double") / float(1 << 40)
     cut, total, draws = 0.36787944117144233, 0.0, F.lit(0)
     for k in range(1, 9):
         total += cut
         draws = draws + (u >= total).cast("int")
         cut /= k
-    x = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", draws)
-    means = x.groupBy("rep").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum(F.col("c") * F.col("w"))).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    x = per.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_w", draws)
+    means = x.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_s") * F.col("_w")), F.sum(F.col("_c") * F.col("_w"))).alias("_m"))
+    return means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))
 
 
 # segmentation
@@ -242,23 +243,33 @@ def temperature_grid(records: DataFrame, grid: Sequence[float], logit: str = "lo
     return x.select(F.explode("g").alias("g")).select("g.*")
 
 
+#: Parts by confidence that are ranked apart.
+PARTS = 1024
+
+
 def risk_coverage(records: DataFrame, conf: str = "conf", correct: str = "correct", order: str = "id") -> DataFrame:
-    """k, coverage, risk at every rank by descending confidence, ties by ``order``.
+    """k, n, coverage, risk at every rank by descending confidence in [0, 1], ties by ``order``.
 
-    The full curve needs a total order; it is ranked in one place. ``aurc`` and ``risk_at`` read it.
+    The curve needs a total order. Rows are ranked within PARTS ranges of confidence, and each range starts after the
+    counts of those above it, which are the only thing that is ordered in one place. ``aurc`` and ``risk_at`` read it.
     """
-    w = Window.orderBy(F.desc(conf), order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    x = records.select(F.row_number().over(w).alias("k"), n.alias("n"), F.sum(1 - F.col(correct).cast("double")).over(run).alias("e"))
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS), F.floor(F.col(conf) * PARTS))).cast("int")
+    x = records.select(F.col(conf).alias("_conf"), F.col(order).alias("_order"), (1 - F.col(correct).cast("double")).alias("_e"), F.coalesce(part, F.lit(-1)).alias("_p"))
+    per = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.sum("_e").alias("_s"))
+    above, every = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    first = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    per = per.select(F.col("_p").alias("_q"), first("_c").alias("_k0"), first("_s").alias("_e0"), F.sum("_c").over(every).alias("n"))
+    w = Window.partitionBy("_p").orderBy(F.desc("_conf"), "_order")
+    x = x.join(F.broadcast(per), F.col("_p") == F.col("_q"))
+    x = x.select((F.col("_k0") + F.row_number().over(w)).cast("int").alias("k"), "n", (F.col("_e0") + F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("e"))
     return x.select("k", "n", (F.col("k") / F.col("n")).alias("coverage"), (F.col("e") / F.col("k")).alias("risk"))
 
 
 def aurc(curve: DataFrame) -> DataFrame:
-    """Area under the risk-coverage curve by trapezoids."""
-    w = Window.orderBy("k")
-    x = curve.select(((F.col("risk") + F.lag("risk").over(w)) / 2 * (F.col("coverage") - F.lag("coverage").over(w))).alias("a"))
-    return x.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("aurc"))
+    """Area under the risk-coverage curve by trapezoids: all have the width 1 / n, so sums do."""
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("risk")))
+    ends = (at(F.lit(1)) + at(F.col("n"))) / 2
+    return curve.agg(F.coalesce(F.try_divide(F.sum("risk") - ends, F.max("n")), F.lit(0.0)).alias("aurc"))
 
 
 def risk_at(curve: DataFrame, coverage: float = 0.8) -> DataFrame:

@@ -20,13 +20,18 @@ BUCKETS = ("overall", "<30min", "30-60min", "60-120min", ">120min")
 
 
 def flatten(cells: DataFrame) -> DataFrame:
-    """cells (descriptors, metrics map, by_length map of maps, provenance map) -> one row per bucket with RESULT_COLUMNS."""
+    """cells (descriptors, metrics map, by_length map of maps, provenance map) -> one row per bucket with RESULT_COLUMNS.
+
+    ci, where cells have it, maps a bucket to its interval of two numbers, which goes to ci_lo and ci_hi.
+    """
     every = F.map_concat(F.create_map(F.lit("overall"), F.col("metrics")), F.coalesce("by_length", F.create_map().cast("map<string,map<string,double>>")))
     x = cells.select("*", F.explode(every).alias("len_bucket", "_m"))
     metrics = [c for c in RESULT_COLUMNS if c not in DESCRIPTORS and c not in PROVENANCE and c != "len_bucket"]
     value = lambda c: F.coalesce(F.try_element_at("_m", F.lit(c)), F.try_element_at("_m", F.lit(ALIASES[c]))) if c in ALIASES else F.try_element_at("_m", F.lit(c))
     by = {c: F.col(c) if c in cells.columns else F.lit(None).cast("string") for c in DESCRIPTORS}
-    by |= {c: value(c) for c in metrics} | {c: F.try_element_at("provenance", F.lit(c)) for c in PROVENANCE} | {"len_bucket": F.col("len_bucket")}
+    pair = F.try_element_at("ci", F.col("len_bucket")) if "ci" in cells.columns else F.lit(None).cast("array<double>")
+    ci = {f"ci_{end}": F.coalesce(F.when(F.size(pair) == 2, pair[i]), value(f"ci_{end}")) for i, end in enumerate(("lo", "hi"))}
+    by |= {c: value(c) for c in metrics} | ci | {c: F.try_element_at("provenance", F.lit(c)) for c in PROVENANCE} | {"len_bucket": F.col("len_bucket")}
     return x.select(*[by[c].alias(c) for c in RESULT_COLUMNS])
 
 
@@ -38,8 +43,12 @@ def long_metrics(cells: DataFrame) -> DataFrame:
 
 
 def pivot_by_length(rows: DataFrame, metric: str, keys: list[str], order: str | None = None) -> DataFrame:
-    """Keys by length bucket in their canonical order; of rows that repeat a cell, the last by ``order`` counts."""
-    value = F.max_by(F.col(f"`{metric}`"), F.col(order)) if order else F.last(F.col(f"`{metric}`"))
+    """Keys by length bucket in their canonical order; of rows that repeat a cell, the last by ``order`` counts.
+
+    Without an order that is the row's timestamp, and of rows of one timestamp the greatest value.
+    """
+    v = F.col(f"`{metric}`")
+    value = F.max_by(v, F.struct(F.col(order or "timestamp"), v))
     return rows.groupBy(*keys).pivot("len_bucket", list(BUCKETS)).agg(value)
 
 

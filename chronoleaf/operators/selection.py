@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoleaf.functions.answers import cache_key
+
 
 def draw(seed: int, *parts: Column) -> Column:
     """A hash that orders rows at random, the same in every SQL engine."""
@@ -34,8 +36,14 @@ def grouped_split(ids: DataFrame, key: str, strata: str | None = None, ratios: t
     return ids.withColumn("split", F.when(k <= train, "train").when(k <= train + val, "val").otherwise("test"))
 
 
-def fixed_split(ids: DataFrame, key: str, scheme: str, counts: tuple[int, ...] = ()) -> DataFrame:
-    """Adds split by a named scheme: twinanda_40_40 (counts: val out of train), official_10_4_7, by_video (counts as ratios), rdv or all_test."""
+def fixed_split(ids: DataFrame, key: str, scheme: str, counts: tuple[int, ...] = (), official: DataFrame | None = None, center: str = "center") -> DataFrame:
+    """Adds split by a named scheme: twinanda_40_40 (counts: val out of train), official_10_4_7, by_video (counts as ratios), rdv, all_test
+    or official_per_center: by a table ``official`` (key, split), null where that has none; without a table, .6, .15 and .25 of each center.
+    """
+    if scheme == "official_per_center":
+        if official is None:
+            return grouped_split(ids, key, center, (0.6, 0.15))
+        return ids.join(official.select(F.col(key).alias("_k"), "split"), F.col(key) == F.col("_k"), "left").drop("_k")
     k = F.row_number().over(Window.orderBy(numeric_id(F.col(key)), key))
     if scheme == "twinanda_40_40":
         val = counts[0] if counts else 8
@@ -57,6 +65,14 @@ def hashed_split(ids: DataFrame, key: str, parts: int = 5, seed: int = 0) -> Dat
     return ids.withColumn("split", F.when(h == 0, "test").when(h == 1, "val").otherwise("train"))
 
 
+def videos_of(split: DataFrame, name: str) -> DataFrame:
+    """The rows of one split; one without any raises."""
+    out = split.filter(F.col("split") == name)
+    if not out.limit(1).count():
+        raise ValueError(f"split {name!r} is empty")
+    return out
+
+
 def split_leaks(split: DataFrame, key: str) -> DataFrame:
     """Keys that are in more than one split."""
     return split.groupBy(key).agg(F.count_distinct("split").cast("long").alias("n_splits")).filter("n_splits > 1")
@@ -142,6 +158,12 @@ def paraphrased(items: DataFrame, cache: DataFrame, key: str, question: str, ord
     return items.join(one, F.col(key) == F.col("_k"), "left").withColumn(question, F.coalesce(F.nullif(F.trim("_p"), F.lit("")), F.col(question))).drop("_k", "_p")
 
 
+def paraphrase_requests(items: DataFrame, question: str, sub_type: str, model: str) -> DataFrame:
+    """key, orig of the distinct questions that a paraphrase cache has to hold."""
+    key = cache_key(F.col(question), F.col(sub_type), F.lit(model))
+    return items.select(key.alias("key"), F.col(question).alias("orig")).groupBy("key").agg(F.min("orig").alias("orig"))
+
+
 def keep_recent(files: DataFrame, size: str, at: str, item: str, cap: int) -> DataFrame:
     """Files to keep so that, newest first, their sizes stay within the cap: a least-recently-used eviction."""
     w = Window.orderBy(F.desc(at), item).rowsBetween(Window.unboundedPreceding, 0)

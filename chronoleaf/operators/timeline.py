@@ -123,7 +123,14 @@ def lookup(df: DataFrame, vocab: DataFrame, label: str, name: str = "name", ids:
     return x.withColumn(f"{label}_id", F.coalesce("_i", "_li")).drop("_n", "_i", "_ln", "_li")
 
 
+def names_of(df: DataFrame, vocab: DataFrame, label_id: str, out: str = "label") -> DataFrame:
+    """Adds the name of an id; an unknown id is its own name."""
+    known = vocab.groupBy(F.col("id").alias("_i")).agg(F.min("name").alias("_n"))
+    return df.join(known, F.col(label_id) == F.col("_i"), "left").withColumn(out, F.coalesce("_n", F.col(label_id).cast("string"))).drop("_i", "_n")
+
+
 def absent_labels(videos: DataFrame, vocab: DataFrame, timeline: DataFrame, keys: list[str]) -> DataFrame:
     """Labels of the vocabulary that a video never shows: what an unanswerable question may ask for."""
-    every = videos.select(*keys, F.explode(F.array_sort(F.array(*[F.lit(r[0]) for r in vocab.select("name").distinct().collect()]))).alias("label"))
+    names = vocab.agg(F.array_sort(F.collect_set("name")).alias("_names"))  # one row
+    every = videos.select(*keys).join(F.broadcast(names)).select(*keys, F.explode("_names").alias("label"))
     return every.join(timeline.select(*keys, "label").distinct(), [*keys, "label"], "left_anti")

@@ -96,6 +96,32 @@ def window_clip(spark: SparkSession, sf: str) -> DataFrame:
     return x.groupBy(*KEYS, "window_id", "label").agg(F.round(F.sum(F.col("c1") - F.col("c0")), 6).alias("seconds"))
 
 
+#: The windows of whole sessions.
+EVERY = ", w AS (SELECT user_id, session, i AS window_id, (i - 1) * 7200e0 AS w0, i * 7200e0 AS w1 FROM procs, generate_series(1, ceil(dur / 7200e0)::BIGINT) AS g(i))"
+
+
+def every_window(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.ceil(F.col("duration_s") / 7200.0)
+    w = procedures(spark, sf).filter("duration_s > 0").select(*KEYS, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("window_id"))
+    return w.withColumn("w0", (F.col("window_id") - 1) * F.lit(7200.0)).withColumn("w1", F.col("window_id") * F.lit(7200.0))
+
+
+@query(SQL + EVERY + """, o AS (SELECT w.user_id, w.session, window_id, label, min(run_id) AS f FROM w JOIN runs r ON r.user_id = w.user_id AND r.session = w.session AND least(t1, w1) - greatest(t0, w0) > 0 GROUP BY ALL),
+l AS (SELECT user_id, session, window_id, string_agg(label, ',' ORDER BY f, label) AS labels FROM o GROUP BY ALL)
+SELECT w.user_id, w.session, w.window_id, coalesce(labels, '') AS labels FROM w LEFT JOIN l USING (user_id, session, window_id)""")
+def window_active_labels_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``window_active_labels`` over the windows of whole sessions."""
+    x = tl.active_labels(every_window(spark, sf), runs(spark, sf), KEYS, "window_id")
+    return x.select(*KEYS, "window_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query(SQL + EVERY + "SELECT w.user_id, w.session, window_id, label, round(sum(least(t1, w1) - greatest(t0, w0)), 6) AS seconds FROM w JOIN runs r ON r.user_id = w.user_id AND r.session = w.session AND least(t1, w1) - greatest(t0, w0) > 0 GROUP BY ALL")
+def window_clip_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``window_clip`` over the windows of whole sessions."""
+    x = tl.overlapping(every_window(spark, sf), runs(spark, sf), KEYS)
+    return x.groupBy(*KEYS, "window_id", "label").agg(F.round(F.sum(F.col("c1") - F.col("c0")), 6).alias("seconds"))
+
+
 @query(SQL + """, n AS (SELECT user_id, session, round_even(dur * (1e0 / 3600), 0)::INT AS n FROM procs),
 g AS (SELECT user_id, session, i::INT AS sec FROM n, generate_series(0, n.n - 1) AS s(i) WHERE n.n > 0),
 e AS (SELECT r.user_id, r.session, run_id, label, greatest(0, round_even(t0 * (1e0 / 3600), 0)::INT) AS a, least(n.n, greatest(0, round_even(t1 * (1e0 / 3600), 0)::INT)) AS b FROM runs r JOIN n USING (user_id, session)),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoleaf.plans import files, graphs, intervals, items, language, scores
+from chronoleaf.plans import bundles, files, graphs, intervals, items, language, scores
 
-MODULES = (intervals, scores, language, graphs, items, files)
+MODULES = (intervals, scores, language, graphs, items, files, bundles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

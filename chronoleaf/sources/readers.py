@@ -151,13 +151,21 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return phases.unionByName(steps), edge("hard_precede", True).unionByName(edge("soft_precede", False))
 
 
-CELL = "backend string, method string, regime string, ckpt string, dataset string, domain string, center string, task string, sub_type string, split string, in_domain boolean, metrics map<string,double>, by_length map<string,map<string,double>>, provenance map<string,string>"
+CELL = "backend string, method string, regime string, ckpt string, dataset string, domain string, center string, task string, sub_type string, split string, in_domain boolean, metrics map<string,string>, by_length map<string,map<string,string>>, provenance map<string,string>"
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result cells, one JSON file each; files that cannot be parsed are left out. file orders them."""
+    """Result cells, one JSON file each; files that cannot be parsed are left out. file orders them.
+
+    Metrics are numbers, but for ci or bootstrap_ci, a list of two: column ci maps a bucket to it.
+    """
     x = spark.read.schema(CELL + ", _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE")
-    return x.withColumn("file", F.input_file_name()).filter("_corrupt_record is null and metrics is not null").drop("_corrupt_record")
+    x = x.withColumn("file", F.input_file_name()).filter("_corrupt_record is null and metrics is not null").drop("_corrupt_record")
+    every = F.map_concat(F.create_map(F.lit("overall"), F.col("metrics")), F.coalesce("by_length", F.create_map().cast("map<string,map<string,string>>")))
+    pair = lambda m: F.from_json(F.coalesce(F.try_element_at(m, F.lit("ci")), F.try_element_at(m, F.lit("bootstrap_ci"))), "array<double>")
+    numbers = lambda m: F.map_filter(F.transform_values(m, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
+    x = x.withColumn("ci", F.map_filter(F.transform_values(every, lambda _, m: pair(m)), lambda _, p: p.isNotNull()))
+    return x.withColumn("metrics", numbers(F.col("metrics"))).withColumn("by_length", F.transform_values("by_length", lambda _, m: numbers(m)))
 
 
 def read_paraphrases(spark: SparkSession, path: str) -> DataFrame:
