@@ -73,10 +73,10 @@ def read_triplet_json(spark: SparkSession, path: str, fps: float = 1.0, phases:
     first = F.get("instances", F.lit(0))
     ph = code(first, 14)
     frames = x.filter(F.size("instances") > 0).select("video_id", "frame", F.when(ph >= 0, ph).alias("phase"), F.when(ph >= 0, named(F.col("categories.phase"), ph)).alias("name"))
-    last = x.groupBy("video_id").agg(F.max("frame").alias("last"))
+    # a run at the end lasts to the last frame, even if that has no instance; one before frames without a phase does not
+    last = x.groupBy("video_id").agg(F.max("frame").alias("last"), F.max(F.when(F.size("instances") > 0, F.col("frame"))).alias("last_full"))
     runs = collapse_runs(frames.withColumn("both", F.when(F.col("phase").isNotNull(), F.struct("phase", "name"))), ["video_id"], "frame", "both")
-    top = Window.partitionBy("video_id")
-    runs = runs.join(last, "video_id").withColumn("t1", F.when(F.col("run_id") == F.max("run_id").over(top), F.col("last") + 1).otherwise(F.col("t1")))
+    runs = runs.join(last, "video_id").withColumn("t1", F.when(F.col("t1") == F.col("last_full") + 1, F.col("last") + 1).otherwise(F.col("t1")))
     runs = runs.select("video_id", F.lit("phase").alias("kind"), "run_id", (F.col("label.phase") + 1).alias("label_id"), F.col("label.name").alias("label"), (F.col("t0") / fps).alias("t0"), (F.col("t1") / fps).alias("t1"))
     if phases is not None:
         runs = lookup(runs.drop("label_id"), phases, "label").select(*TIMELINE)

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from chronoleaf.operators import graph, metrics, report, selection, tasks
+from chronoleaf.operators import graph, metrics, provenance, report, selection, tasks
 from chronoleaf.operators import timeline as tl
 from chronoleaf.sources import readers, sinks
 from chronoleaf.streaming import live
@@ -201,3 +201,28 @@ def test_streams(spark, tmp_path):
     frames = spark.createDataFrame([("u", "2024-01-01 00:00:05", "x"), ("u", "2024-01-01 00:00:20", "x")], "k string, ts string, label string").withColumn("ts", F.to_timestamp("ts"))
     assert live.label_windows(frames).count() == 3
     assert live.gap_sessions(frames, "k", gap="10 seconds").count() == 2
+
+
+def test_an_empty_split_raises(spark):
+    split = selection.fixed_split(spark.createDataFrame([(f"v{k}", "a") for k in range(9)], "id string, center string"), "id", "all_test")
+    assert selection.videos_of(split, "test").count() == 9
+    with pytest.raises(ValueError):
+        selection.videos_of(split, "val")
+    with pytest.raises(ValueError):
+        selection.fixed_split(split, "id", "unheard_of")
+
+
+def test_provenance_is_stable():
+    a, b = provenance.provenance(3, {"x": 1, "y": [2, 3]}, note="n"), provenance.provenance(3, {"y": [2, 3], "x": 1})
+    assert a["cfg_hash"] == b["cfg_hash"] and len(a["cfg_hash"]) == 12 and a["seed"] == "3" and a["note"] == "n"
+    assert provenance.cfg_hash({"x": 2}) != a["cfg_hash"]
+
+
+def test_synthetic_is_a_source(spark):
+    x = readers.reader("synthetic")(spark)
+    assert x.columns == readers.TIMELINE and x.select("video_id").distinct().count() == 6
+
+
+def test_later_results_replace_earlier_ones(spark):
+    rows = spark.createDataFrame([("m", "overall", 1.0, "2024-01-02"), ("m", "overall", 9.0, "2024-01-01")], "method string, len_bucket string, miou double, timestamp string")
+    assert report.pivot_by_length(rows, "miou", ["method"]).first().overall == 1.0
