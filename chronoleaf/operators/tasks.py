@@ -16,7 +16,7 @@ from chronoleaf.operators.timeline import active_labels, runs_by_label
 KEYS = ["dataset", "video_id"]
 SEGMENT = "struct<label:string,t0:double,t1:double>"
 TARGET = f"struct<spans:array<struct<t0:double,t1:double>>,labels:array<string>,segments:array<{SEGMENT}>,minutes:double,text:string,answer:string,count:int,timeline:array<{SEGMENT}>,window:array<double>,abstain:boolean>"
-#: Events that no procedure graph here has: questions about them have no answer.
+# Events that no procedure graph here has; questions about them have no answer.
 ABSENT = ("the anastomotic leak test", "the stapler misfire recovery", "the intraoperative cholangiogram", "the conversion to open surgery", "the specimen frozen-section wait")
 SYSTEM = {
     "t1": "Give the time span of the event in this operation as <answer>[start_seconds, end_seconds]</answer>, or <answer>ABSTAIN</answer> if it does not occur.",

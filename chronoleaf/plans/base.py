@@ -27,6 +27,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once for plans that read it many times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("label"), "value", "props", "ts")
     return sessionize(ev, "user_id", ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")), GAP_S).drop("ts")

@@ -9,7 +9,7 @@ from chronoleaf.operators import metrics as m
 from chronoleaf.operators import report, tasks
 from chronoleaf.operators import selection as sel
 from chronoleaf.operators import timeline as tl
-from chronoleaf.plans.base import BUCKET, EDGES, KEYS, SQL, TIOU, frames, predicted, runs, table
+from chronoleaf.plans.base import BUCKET, EDGES, KEYS, SQL, TIOU, frames, predicted, runs, stored, table
 from chronoleaf.plans.intervals import span
 from chronoleaf.sources import sinks
 
@@ -124,7 +124,8 @@ UNION ALL SELECT 't1', 'relative', count(*) FROM k WHERE n >= 2 UNION ALL SELECT
 UNION ALL SELECT 't2', 'phase', count(*) FROM k UNION ALL SELECT 't3', 'rsd', sum(greatest(0, ceil(dur / 300e0) - 1))::BIGINT FROM procs
 UNION ALL SELECT 't5', 'ordering', count(*) FROM k WHERE n >= 2 UNION ALL SELECT 't5', 'duration', count(*) FROM k WHERE n >= 2 UNION ALL SELECT 't6', 'interval', count(*) FROM k WHERE n >= 2""")
 def task_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return tasks.histogram(tasks.build(*videos_and_timeline(spark, sf), list(EDGES)))
+    videos, timeline = videos_and_timeline(spark, sf)
+    return tasks.histogram(tasks.build(stored(videos, "videos"), stored(timeline, "timeline"), list(EDGES)))
 
 
 @query(SQL + "SELECT user_id || '-' || session AS video_id, label, count(*)::INT AS n_spans, round(min(t0), 1) AS t0 FROM runs GROUP BY user_id, session, label")
@@ -154,7 +155,8 @@ def qa_ordering_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def task_items(spark: SparkSession, sf: str) -> DataFrame:
-    return tasks.build(*videos_and_timeline(spark, sf), list(EDGES)).select("id", "task", "sub_type", "regime", F.size("messages").alias("n_messages"))
+    videos, timeline = videos_and_timeline(spark, sf)
+    return tasks.build(stored(videos, "videos"), stored(timeline, "timeline"), list(EDGES)).select("id", "task", "sub_type", "regime", F.size("messages").alias("n_messages"))
 
 
 IOUS = SQL + f", x AS (SELECT label, {TIOU.format('p0', 'p1', 't0', 't1')} AS iou, {BUCKET.format('dur')} AS b FROM runs JOIN procs USING (user_id, session)), c AS (SELECT label, b, round(avg(iou), 6) AS miou, count(*)::DOUBLE AS n FROM x GROUP BY ALL UNION ALL SELECT label, 'overall', round(avg(iou), 6), count(*) FROM x GROUP BY ALL)"

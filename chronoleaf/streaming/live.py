@@ -25,9 +25,10 @@ STATE = "label string, t0 double, last double"
 
 
 def live_runs(frames: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """frames (key, t, label) in order per key -> a run whenever its label changes or its key goes quiet.
+    """frames (key, t, label) -> a run whenever its label changes or its key goes quiet.
 
-    State is one open run per key, whatever its length.
+    State is one open run per key, whatever its length. Frames of a batch are put in order; a frame that is earlier than
+    one its key had in a batch before is late and dropped, so runs never overlap or end before they start.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,15 +38,22 @@ def live_runs(frames: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
             state.remove()
             yield pd.DataFrame([(key[0], label, t0, last + 1.0)], columns=["key", "label", "t0", "t1"])
             return
-        label, t0, last = state.get if state.exists else (None, 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("t")
-        for t, now in zip(rows.t, rows.label, strict=True):
-            if now != label:
-                if label is not None:
-                    done.append((key[0], label, t0, t))
-                label, t0 = now, t
-            last = t
-        state.update((label, float(t0), float(last)))
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
+        label, t0 = None, 0.0
+        if state.exists:
+            label, t0, last = state.get
+            rows = rows[rows.t >= last]
+            if rows.empty:
+                return
+        before = rows.label.shift(fill_value=label)
+        starts = rows[rows.label != before]
+        edges = list(zip(starts.label, starts.t, strict=True))
+        if label is None:
+            (label, t0), edges = edges[0], edges[1:]
+        for now, t in edges:
+            done.append((key[0], label, t0, t))
+            label, t0 = now, t
+        state.update((label, float(t0), float(rows.t.iloc[-1])))
         state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(done, columns=["key", "label", "t0", "t1"])
 

@@ -226,3 +226,41 @@ def test_synthetic_is_a_source(spark):
 def test_later_results_replace_earlier_ones(spark):
     rows = spark.createDataFrame([("m", "overall", 1.0, "2024-01-02"), ("m", "overall", 9.0, "2024-01-01")], "method string, len_bucket string, miou double, timestamp string")
     assert report.pivot_by_length(rows, "miou", ["method"]).first().overall == 1.0
+
+
+def test_live_runs_drop_late_frames(spark, tmp_path):
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    taken = {}
+
+    class Frames:
+        def groupBy(self, key):
+            return self
+
+        def applyInPandasWithState(self, step, *a):
+            assert a[-1] == GroupStateTimeout.ProcessingTimeTimeout
+            taken["step"] = step
+
+    class State:
+        hasTimedOut, held = False, None
+        exists = property(lambda self: self.held is not None)
+        get = property(lambda self: self.held)
+
+        def update(self, x):
+            self.held = x
+
+        def setTimeoutDuration(self, ms):
+            pass
+
+        def remove(self):
+            self.held = None
+
+    live.live_runs(Frames())
+    state, out = State(), []
+    for batch in ([(2, "a"), (1, "a"), (3, "b")], [(2.5, "c"), (0, "c")], [(5, "b"), (4, "b"), (6, "a")]):
+        rows = pd.DataFrame(batch, columns=["t", "label"])
+        out += [tuple(r) for d in taken["step"](("k",), iter([rows]), state) for r in d.itertuples(index=False)]
+    assert out == [("k", "a", 1, 3), ("k", "b", 3, 6)] and state.held == ("a", 6.0, 6.0)
+    state.hasTimedOut = True
+    assert [tuple(r) for d in taken["step"](("k",), iter([]), state) for r in d.itertuples(index=False)] == [("k", "a", 6.0, 7.0)]
