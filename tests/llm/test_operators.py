@@ -130,6 +130,55 @@ def test_media(docs, texts, make_docs):
     assert media.media_table(make_docs([])).count() == 0
 
 
+def media_by_hand(png):
+    """Samples and content hash of a grey PNG, byte by byte."""
+    from math import cos, pi
+
+    assert png[:8] == b"\x89PNG\r\n\x1a\n"
+    at, body, width, height = 8, b"", 0, 0
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4]), png[at + 4 : at + 8]
+        data = png[at + 8 : at + 8 + n]
+        assert int.from_bytes(png[at + 8 + n : at + 12 + n]) == zlib.crc32(kind + data)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(data[:4]), int.from_bytes(data[4:8])
+        elif kind == b"IDAT":
+            body += data
+        at += 12 + n
+    raw, rows = zlib.decompress(body), []
+    for y in range(height):
+        line, kind = bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)]), raw[y * (width + 1)]
+        assert kind < 3  # none, sub, up are what is written
+        for k in range(width):
+            line[k] = (line[k] + (0, line[k - 1] if k else 0, rows[y - 1][k] if y else 0)[kind]) & 255
+        rows.append(line)
+
+    def areas(n):
+        return [(k * n // 32, (k + 1) * n // 32) if n >= 32 else (k * n // 32, k * n // 32 + 1) for k in range(32)]
+
+    def mean(values, n):
+        return sum(values) * 16 // len(values) if n >= 32 else values[0]
+
+    tall = [[mean([rows[y][k] for y in range(a, b)], height) for k in range(width)] for a, b in areas(height)]
+    cells = [[mean(line[a:b], width) for a, b in areas(width)] for line in tall]
+    wave = [[round(cos(pi * (2 * k + 1) * u / 64) * 4096) for k in range(32)] for u in range(8)]
+    low = [sum(wave[u][y] * wave[v][k] * cells[y][k] for y in range(32) for k in range(32)) for u in range(8) for v in range(8)][1:]
+    middle = sorted(low)[31]
+    bits = "".join("1" if c > middle else "0" for c in low) + "0"
+    return b"".join(map(bytes, rows)), f"{int(bits, 2):016x}"
+
+
+def test_media_features_by_hand(make_docs, hard):
+    data = hard + sample_docs()[:20] + [(900, "x" * 100_000)]
+    table = media.media_table(make_docs(data))
+    stored = {(r.doc_id, r.n_bytes): bytes(r.media) for r in table.collect()}
+    for r in media.media_features(table).collect():
+        png = stored[(r.doc_id, r.n_bytes)]
+        samples, feature = media_by_hand(png)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), hashlib.sha256(png).hexdigest(), feature)
+        assert r.payload_sha256 == hashlib.sha256(samples).hexdigest()
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(0)
     want = rng.integers(0, 256, (12, 96), dtype=np.uint8)
@@ -314,6 +363,19 @@ def test_mixing(docs, texts, make_docs):
     assert mixing.mix_plan(make_docs([])).count() == 0 and mixing.mix_plan(make_docs([(1, None), (2, "")])).filter("copies > 0").count() == 0
 
 
+def test_mixing_ties_and_repeated_rows(make_docs):
+    words = lambda n: " ".join(["w"] * n)
+    # sources s1 and s2 tie in size; rows repeat a doc_id
+    data = [(k, words(10)) for k in range(1, 240) if k % 3 and k % 4] + [(1, words(10)), (1, words(10))]
+    got = mixing.mix_plan(make_docs(data)).collect()
+    assert len(got) == len(data) and len({r.copies for r in got if r.doc_id == 1}) == 1
+    for name in {r.source for r in got}:
+        mine = [r for r in got if r.source == name]
+        taken = sum(r.copies * r.size for r in mine)
+        assert {r.source_size for r in mine} == {10 * len(mine)} and abs(taken - mine[0].target) < 0.2 * mine[0].target
+    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(10 * len(data))
+
+
 def test_packing(docs, texts, make_docs):
     from tokenizers import Tokenizer
 
@@ -506,6 +568,85 @@ def test_classifier_holds_out_and_separates(spark, make_docs):
     assert {r.score for r in flat} == {0.5} and gam.classify(make_docs([]), labels).count() == 0
 
 
+def gam_by_hand(x, y):
+    """The boosted additive model by loops over rows, cuts and leaves; returns the margin of each row."""
+    from math import exp, log
+
+    n, d = x.shape
+    p0 = (y.sum() + 1) / (n + 2)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, gam.BINS + 1)[1:-1]).tolist())) for j in range(d)]
+    bins = [[sum(v >= e for e in edges[j]) for v in x[:, j]] for j in range(d)]
+    sizes = [len(e) + 1 for e in edges]
+    margin = [log(p0 / (1 - p0))] * n
+    value = lambda rows, g, h: sum(g[r] for r in rows) / (sum(h[r] for r in rows) + gam.PENALTY)
+    worth = lambda rows, g, h: sum(g[r] for r in rows) ** 2 / (sum(h[r] for r in rows) + gam.PENALTY)
+
+    def slopes():
+        p = [1 / (1 + exp(-m)) for m in margin]
+        return [t - q for t, q in zip(y, p, strict=True)], [q * (1 - q) for q in p]
+
+    def cut(rows, of, low, high, g, h):
+        """Best place between low and high to cut rows by their bin, and its gain."""
+        best = (0.0, 0)
+        for at in range(low + 1, high):
+            a, b = [r for r in rows if of[r] < at], [r for r in rows if of[r] >= at]
+            won = worth(a, g, h) + worth(b, g, h) - worth(rows, g, h)
+            if at == low + 1 or won > best[0] + 1e-12:
+                best = (won, at)
+        return best
+
+    for _ in range(gam.ROUNDS):
+        for j in range(d):
+            g, h = slopes()
+            rows, of = list(range(n)), bins[j]
+            parts = [(0, sizes[j])]
+            won, at = cut(rows, of, 0, sizes[j], g, h)
+            if won > 0:
+                parts = [(0, at), (at, sizes[j])]
+                more = [cut([r for r in rows if a <= of[r] < b], of, a, b, g, h) for a, b in parts]
+                k = 0 if more[0][0] >= more[1][0] else 1
+                if more[k][0] > 0:
+                    a, b = parts[k]
+                    parts[k : k + 1] = [(a, more[k][1]), (more[k][1], b)]
+            step = [0.0] * n
+            for a, b in parts:
+                inside = [r for r in rows if a <= of[r] < b]
+                for r in inside:
+                    step[r] = gam.RATE * value(inside, g, h)
+            margin = [m + s for m, s in zip(margin, step, strict=True)]
+    return np.array(margin)
+
+
+def test_boosted_tables_by_hand(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.column_stack((rng.normal(size=60), rng.integers(0, 3, 60), np.zeros(60), rng.normal(size=60)))
+    y = (x[:, 0] + (x[:, 1] == 2) + rng.normal(scale=0.3, size=60) > 0.4).astype(float)
+    for name, value in (("BINS", 8), ("ROUNDS", 12), ("PAIRS", 0)):
+        monkeypatch.setattr(gam, name, value)
+    assert gam.fit(x, y).margin(x) == pytest.approx(gam_by_hand(x, y))
+
+
+def test_pair_tables_learn_what_single_features_cannot():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0)).astype(float)
+    model = gam.fit(x[:1500], y[:1500])
+    assert {(i, j) for i, j, _ in model.pairs} >= {(0, 2)}
+    assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.9
+
+
+def test_classifier_on_hard_rows(spark, make_docs, hard):
+    data = hard + [(50, "long text. " * 200_000), (51, "tie"), (52, "tie")]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i, _ in data if i is not None] + [(1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = gam.classify(make_docs(data, extra=True), labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    score = {}
+    for r in got:
+        score.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in score.values()) and score[51] == score[52] and score[6] == score[7] and score[1] == score[2]
+
+
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>menu</a></ul></nav><div class='ad'>buy</div>{}<footer>&copy; f</footer></body></html>"
 
 
