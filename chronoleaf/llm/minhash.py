@@ -1,10 +1,9 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-Two collections of HALVES small hashes are computed, each of them the join of WIDTH minhashes. A table is a
-pair of one hash of either collection: HALVES**2 tables of 2 * WIDTH minhashes each, from only
-2 * HALVES * WIDTH minhash functions. A pair of similarity s shares no table with a probability of about
-2 * (1 - s**WIDTH)**HALVES: 2e-5 at 0.85, which op9 asks for, and 3.7e-4
-at 0.8, which the pipeline asks for.
+Two collections of small hashes are computed, each hash the join of WIDTH minhashes. A table is a pair of one hash
+of either collection: h**2 tables of 2 * WIDTH minhashes each, from only 2 * h * WIDTH minhash functions. A pair of
+similarity s shares no table with a probability of about 2 * (1 - s**WIDTH)**h. ``halves_for`` takes the h that holds
+it at MISS at the threshold: 12 at 0.85, which op9 asks for, and 16 at 0.8, which the pipeline asks for.
 
 Documents of equal shingle sets are one class, and only class representatives go on. Hashes that no other
 representative has are dropped before they are paired. In each table's bucket the member that meets others
@@ -21,6 +20,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +32,18 @@ from pyspark.sql import functions as F
 from chronoleaf.llm.common import bound_batches, discard, written
 from chronoleaf.llm.components import components
 
-HALVES, WIDTH, SEED = 12, 3, 11
+WIDTH, SEED, MISS = 3, 11, 2.2e-5
 #: Members of a group that one task compares with all of the group.
 TOGETHER = 2048
 SIGNATURES = "doc_id long, n_shingles long, set_hash binary, keys array<bigint>"
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def halves_for(percent: int, width: int = WIDTH, miss: float = MISS) -> int:
+    """Small hashes a collection, so that pairs at the threshold share a table but for a probability of ``miss``."""
+    return math.ceil(math.log(miss / 2) / math.log(1 - (percent / 100) ** width))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: multiplications and shifts that spread every bit."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -82,7 +87,7 @@ def half_keys(values: np.ndarray, multiply: np.ndarray, add: np.ndarray, width:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int, halves: int = HALVES, width: int = WIDTH) -> DataFrame:
+def signatures(docs: DataFrame, words: int, halves: int, width: int = WIDTH) -> DataFrame:
     """SIGNATURES of each row of ``docs``, written to the shared folder."""
     bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in SIGNATURES.split(", ")]
@@ -103,7 +108,7 @@ def signatures(docs: DataFrame, words: int, halves: int = HALVES, width: int = W
     return written(docs.select("doc_id", "text").mapInArrow(run, SIGNATURES), "signatures")
 
 
-def buckets(reps: DataFrame, halves: int = HALVES) -> DataFrame:
+def buckets(reps: DataFrame, halves: int) -> DataFrame:
     """reps (rep, n, keys) -> (bucket, rep, n, c): members of table buckets of c, two or more."""
     keys = reps.select("rep", "n", F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"))
@@ -144,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 def linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, root) of every representative that is linked with another; None if there is none."""
-    table = buckets(reps)
+    table = buckets(reps, halves_for(percent))
     met = written(table.groupBy("rep").agg(F.sum(F.col("c") - 1).alias("central")), "central", True)
     if not met.limit(1).count():
         return None
@@ -259,7 +264,7 @@ def feasible(mixed: DataFrame, best: DataFrame, tested: DataFrame, texts: DataFr
 
 def classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows; set_hash -> component, one row per distinct shingle set)."""
-    table = signatures(docs, words)
+    table = signatures(docs, words, halves_for(percent))
     full = table.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     own = written(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes", True)
     one = full.join(own.withColumnRenamed("set_hash", "s"), (F.col("set_hash") == F.col("s")) & (F.col("doc_id") == F.col("rep")))

@@ -523,6 +523,12 @@ def test_near_duplicates(make_docs, hard, words, percent):
     assert got == near_by_hand(data, words, percent)
 
 
+def test_tables_share_enough_at_each_threshold():
+    assert [minhash.halves_for(p) for p in (85, 80)] == [12, 16]
+    for p in (50, 80, 85, 95):
+        assert 2 * (1 - (p / 100) ** minhash.WIDTH) ** minhash.halves_for(p) <= minhash.MISS
+
+
 def test_large_groups_are_dealt_over_tasks(make_docs, monkeypatch):
     monkeypatch.setattr(minhash, "TOGETHER", 3)
     data = near_copies(7)
