@@ -10,7 +10,7 @@ from chronoleaf.operators import report
 from chronoleaf.operators import selection as sel
 from chronoleaf.plans import items
 from chronoleaf.plans.base import LABELS, scratch, table
-from chronoleaf.sources import readers, sinks
+from chronoleaf.sources import datasets, readers, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -237,3 +237,36 @@ def sink_frame_index(spark: SparkSession, sf: str) -> DataFrame:
     sinks.write_frame_index(readers.index_of_paths(paths, 2.0, meta), path)
     x = readers.frames_in_window(spark.read.parquet(path), 100, 7000)
     return x.select("video_id", "frame_idx", "t_sec", "center", "width")
+
+
+NAMED = "WITH v AS (SELECT r_name AS dataset, 'phase' AS kind, n_name AS name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 + r_regionkey AS id FROM region JOIN nation ON n_regionkey = r_regionkey), w AS (SELECT * FROM v UNION ALL SELECT 'stand-in', kind, name, id FROM v WHERE dataset = 'ASIA')"
+
+
+def described(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as datasets, their nations as phases, and one that stands in for another."""
+    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
+    names = n.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    split = F.struct(F.when(F.col("r_regionkey") % 2 == 0, "by_video").otherwise("all_test").alias("scheme"), F.array(F.lit(2), F.lit(1), F.lit(1)).alias("counts"))
+    x = r.join(names, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("dataset"), F.col("r_regionkey").cast("int").alias("first_id"), F.create_map(F.lit("phase"), "names").alias("labels"), split.alias("split"), F.lit(None).cast("string").alias("alias_of"))
+    alias = r.filter("r_name = 'ASIA'").select(F.lit("stand-in").alias("dataset"), F.col("r_name").alias("alias_of"))
+    path = scratch(spark, "datasets")
+    x.unionByName(alias, allowMissingColumns=True).write.json(path)
+    return datasets.read_datasets(spark, path)
+
+
+@query(NAMED + " SELECT dataset, kind, id::INT AS id, name FROM w")
+def source_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Vocabularies of dataset descriptions, one of which stands in for another."""
+    return datasets.vocabulary(described(spark, sf))
+
+
+@query(NAMED + " SELECT x.dataset, x.name AS a, y.name AS b FROM w x JOIN w y ON x.dataset = y.dataset AND y.id = x.id + 1")
+def dataset_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Precedence from the order of a vocabulary."""
+    return datasets.chain_edges(described(spark, sf))
+
+
+@query("WITH k AS (SELECT s_name, row_number() OVER (ORDER BY md5('0:' || s_name), s_name) AS k, count(*) OVER () AS n FROM supplier) SELECT s_name, CASE WHEN k <= round_even(n * 0.5e0, 0) THEN 'train' WHEN k <= round_even(n * 0.5e0, 0) + round_even(n * 0.25e0, 0) THEN 'val' ELSE 'test' END AS split FROM k")
+def dataset_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The split that a dataset's description asks for."""
+    return datasets.split_videos(table(spark, sf, "supplier").select("s_name"), described(spark, sf), "ASIA", "s_name")

@@ -68,7 +68,12 @@ def grounding_recall_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("len_bucket", *[r6(c) for c in out.columns if c not in ("len_bucket", "n")], "n")
 
 
-@query()
+SCORE = TIOU.format("p[k].t0", "p[k].t1", "g[i + 1].t0", "g[i + 1].t1")
+
+
+@query(SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", x AS (SELECT user_id, session, label, list({{'t0': p0, 't1': p1}} ORDER BY p0, p1) AS p, list({{'t0': t0, 't1': t1}} ORDER BY t0, t1) AS g FROM runs GROUP BY ALL),
+r AS (SELECT user_id, session, label, p, g, 0 AS i, []::BIGINT[] AS used, 0e0 AS s FROM x UNION ALL SELECT user_id, session, label, p, g, i + 1, CASE WHEN b >= 0 THEN list_append(used, list_position(sc, b)) ELSE used END, s + greatest(b, 0) FROM (SELECT *, list_max(sc) AS b FROM (SELECT *, list_transform(range(1, len(p) + 1), lambda k: CASE WHEN list_contains(used, k) THEN -1e0 ELSE {SCORE} END) AS sc FROM r WHERE i < len(g))))
+SELECT user_id, session, label, i::INT AS n, round(s / len(g), 6) AS iou FROM r WHERE i = len(g)""")
 def greedy_match_miou(spark: SparkSession, sf: str) -> DataFrame:
     x = predicted(runs(spark, sf)).groupBy(*KEYS, "label").agg(F.array_sort(F.collect_list(F.struct(F.col("p0").alias("t0"), F.col("p1").alias("t1")))).alias("p"), F.array_sort(F.collect_list(F.struct("t0", "t1"))).alias("g"))
     return x.select(*KEYS, "label", F.size("g").alias("n"), F.round(iv.mean_best_iou(F.col("p"), F.col("g")), 6).alias("iou"))

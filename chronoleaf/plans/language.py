@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoleaf.functions import answers as an
+from chronoleaf.functions import intervals as iv
 from chronoleaf.functions import text as tx
 from chronoleaf.operators import metrics as m
 from chronoleaf.operators import selection as sel
-from chronoleaf.plans.base import SQL, predicted, runs, table
+from chronoleaf.operators import timeline as tl
+from chronoleaf.plans.base import KEYS, SQL, predicted, runs, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +132,33 @@ def summary_order(spark: SparkSession, sf: str) -> DataFrame:
 def expand_media(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "documents").select("doc_id", an.expand_media(F.concat(F.lit("see <video> "), F.col("text")), 4).alias("t"))
     return x.select("doc_id", F.length("t").cast("long").alias("n")).withColumn("n", F.col("n") + 3)
+
+
+RUBRIC = "Say whether the answer means the same."
+
+
+@query(PAIRS + f" SELECT conv_id, turn, md5('{RUBRIC}' || chr(10) || chr(10) || 'QUESTION: about ' || conv_id || chr(10) || 'REFERENCE: ' || gold || chr(10) || 'ANSWER: ' || trim(pred) || chr(10) || chr(10) || 'VERDICT:') AS digest FROM c WHERE gold IS NOT NULL")
+def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole prompts for a judge of answers."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("pred"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("gold")).filter("gold is not null")
+    text = an.judge_prompt(RUBRIC, F.concat(F.lit("about "), F.col("conv_id")), F.col("gold"), F.col("pred"))
+    return c.select("conv_id", "turn", F.md5(text).alias("digest"))
+
+
+@query(SQL + f"SELECT user_id, session, md5('{RUBRIC}' || chr(10) || chr(10) || 'TIMELINE: ' || string_agg(label || ' [' || printf('%.0f', t0) || '-' || printf('%.0f', t1) || 's]', '; ' ORDER BY run_id) || chr(10) || 'SUMMARY: first ' || arg_min(label, run_id) || chr(10) || chr(10) || 'VERDICT:') AS digest FROM runs GROUP BY ALL")
+def summary_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole prompts for a judge of summaries, with timelines as text."""
+    x = runs(spark, sf).groupBy("user_id", "session").agg(F.array_sort(F.collect_list(F.struct("run_id", "label", "t0", "t1"))).alias("r"))
+    text = an.summary_prompt(RUBRIC, F.col("r"), F.concat(F.lit("first "), F.col("r")[0]["label"]))
+    return x.select("user_id", "session", F.md5(text).alias("digest"))
+
+
+@query(SQL + "SELECT user_id, session, run_id, md5('Frames sampled at t = [' || array_to_string(list_transform(range(0, 5), lambda i: printf('%.1f', round(t0 + i * ((t1 - t0) / 4), 1))), ', ') || '] s of a ' || printf('%.0f', dur) || ' s procedure.' || chr(10) || '<video>' || chr(10) || 'When is the ' || label || ' performed?') AS digest FROM runs JOIN procs USING (user_id, session) WHERE t1 > t0")
+def grounding_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole prompts that ask for a span, with the times of their frames."""
+    x = runs(spark, sf)
+    x = x.join(tl.durations(x, KEYS), KEYS).filter("t1 > t0")
+    text = an.user_grounding(iv.sample_times(F.col("t0"), F.col("t1"), 5), F.col("duration_s"), F.concat(F.lit("When is the "), F.col("label"), F.lit(" performed?")))
+    return x.select(*KEYS, "run_id", F.md5(text).alias("digest"))

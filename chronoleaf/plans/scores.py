@@ -120,6 +120,22 @@ def confident_wrong(spark: SparkSession, sf: str) -> DataFrame:
     return m.confident_wrong(x).select(r6("confident_wrong"))
 
 
+LOGITS = "WITH r AS (SELECT (event_id * 7919 % 2001 - 1000) / 2e2 AS z, CASE WHEN event_id * 7919 % 2001 - 1000 + event_id % 700 > 0 THEN 1e0 ELSE 0e0 END AS y FROM events), b0 AS (SELECT -4e0 AS low, 4e0 AS high)"
+FIT = "".join(
+    f", g{k} AS (SELECT low + (high - low) * i / 32 AS t, (high - low) / 32 AS step FROM b{k - 1}, generate_series(0, 32) AS s(i)), p{k} AS (SELECT t, step, y, greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-z / exp(t))))) AS p FROM r, g{k}), "
+    f"n{k} AS (SELECT t, any_value(step) AS step, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS nll FROM p{k} GROUP BY t), b{k} AS (SELECT greatest(-4e0, t - step) AS low, least(4e0, t + step) AS high, t FROM n{k} ORDER BY nll, t LIMIT 1)"
+    for k in range(1, 5)
+)
+
+
+@query(LOGITS + FIT + " SELECT round(exp(t), 4) AS temperature FROM b4")
+def temperature_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The temperature of least negative log likelihood, by a grid that narrows four times."""
+    k = F.col("event_id") * 7919 % 2001 - 1000
+    x = table(spark, sf, "events").select((k / 200.0).alias("logit"), (k + F.col("event_id") % 700 > 0).cast("double").alias("correct"))
+    return spark.createDataFrame([(round(m.temperature(x), 4),)], "temperature double")
+
+
 GRID = [-1.0 + 0.25 * i for i in range(9)]
 
 
