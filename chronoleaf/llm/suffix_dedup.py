@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoleaf.llm.common import bound_batches, partitions, written
+from chronoleaf.llm.common import bound_batches, discard, partitions, written
 from chronoleaf.llm.minhash import GOLD, mix
 from chronoleaf.llm.suffix_array import suffix_array
 
@@ -258,8 +258,8 @@ def met_anchors(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartitionById(buckets, "bucket").mapInArrow(run, MET)
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """ANCHORS: one row per anchor of a document that another text shares with a neighbourhood."""
+def shared_anchors(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """ANCHORS: one row per anchor of a document that another text shares with a neighbourhood; and the table it reads."""
     met = written(met_anchors(anchor_blobs(docs, buckets), buckets), "met-anchors")
     reply = F.struct("key", "left", "right", "by_left", "by_right", "source", "place")
     replies = met.filter("batch is not null and blob is null").groupBy("batch").agg(F.collect_list(reply).alias("replies"))
@@ -283,7 +283,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], names=names)
 
     plain = met.filter("batch is null and blob is null").select(*names)
-    return plain.union(stayed.mapInArrow(run, ANCHORS))
+    return plain.union(stayed.mapInArrow(run, ANCHORS)), met
 
 
 REGIONS = "block long, coarse long, doc long, tag long, start int, stop int, body binary"
@@ -507,25 +507,26 @@ def large_blocks(table: DataFrame) -> DataFrame:
     return written(n.select(F.col("block").alias("k")), "large-blocks", True)
 
 
-def repeats(candidates: DataFrame) -> DataFrame:
-    """candidates of ``regions`` -> FOUND: all spans that a smaller doc_id holds as well."""
+def repeats(candidates: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """candidates of ``regions`` -> FOUND: all spans that a smaller doc_id holds as well; and the tables it reads."""
     whole = lambda t: t.filter("body is null").select("doc", "tag", F.array("start").alias("a"), F.array("stop").alias("b"))
+    within = lambda t, column, large, how: t.join(large, F.col(column) == F.col("k"), how)
     table = written(regions(candidates), "regions")
     out, left = whole(table), table.filter("body is not null")
     big = large_blocks(left)
-    if not big.limit(1).count():
-        return out.union(repeats_in_blocks(left))
-    within = lambda t, column, large, how: t.join(large, F.col(column) == F.col("k"), how)
-    out = out.union(repeats_in_blocks(within(left, "block", big, "left_anti")))
-    again = within(left, "block", big, "left_semi").select(F.col("doc").alias("d"), F.col("tag").alias("t")).distinct()
-    again = candidates.join(again, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), "left_semi")
-    table = written(within(regions(again, True), "coarse", big, "left_semi"), "fine-regions")
-    out, left = out.union(whole(table)), table.filter("body is not null")
-    big = large_blocks(left)
-    if not big.limit(1).count():
-        return out.union(repeats_in_blocks(left))
-    hashed = repeats_by_hash(within(left, "block", big, "left_semi"))
-    return out.union(repeats_in_blocks(within(left, "block", big, "left_anti"))).union(hashed.select("doc", "tag", "a", "b"))
+    tables = [table, big]
+    if big.limit(1).count():
+        out = out.union(repeats_in_blocks(within(left, "block", big, "left_anti")))
+        again = within(left, "block", big, "left_semi").select(F.col("doc").alias("d"), F.col("tag").alias("t")).distinct()
+        again = candidates.join(again, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), "left_semi")
+        table = written(within(regions(again, True), "coarse", big, "left_semi"), "fine-regions")
+        out, left = out.union(whole(table)), table.filter("body is not null")
+        big = large_blocks(left)
+        tables += [table, big]
+        if big.limit(1).count():
+            out = out.union(repeats_by_hash(within(left, "block", big, "left_semi")).select("doc", "tag", "a", "b"))
+            left = within(left, "block", big, "left_anti")
+    return out.union(repeats_in_blocks(left)), tables
 
 
 RESULT = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -568,14 +569,18 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = written(tagged.select("doc_id", "tag", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")), "texts")
     reps = written(rows.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep")), "text-classes")
 
-    shared = shared_anchors(tagged, partitions(spark))
+    shared, met = shared_anchors(tagged, partitions(spark))
     found = shared.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "source", "place")).alias("found"))
     found = written(found, "shared-anchors")
+    discard(met)
     same = lambda doc, tag: (F.col("d") == F.col(doc)) & (F.col("t") == F.col(tag))
     texts = tagged.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "text").filter("text is not null")
     candidates = written(texts.join(found.hint("shuffle_hash"), same("doc", "tag")).select("doc", "tag", "text", "found"), "candidates")
-    hits = repeats(candidates).groupBy(F.col("doc").alias("d"), F.col("tag").alias("t")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    discard(found)
+    hits, tables = repeats(candidates)
+    hits = hits.groupBy(F.col("doc").alias("d"), F.col("tag").alias("t")).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     hits = written(hits, "repeats")
+    discard(*tables)
     changed = remove(candidates.join(hits.hint("shuffle_hash"), same("doc", "tag")).select("doc", "tag", "text", "a", "b"), with_text)
     # rows that repeat a doc_id with its text have one result
     changed = changed.dropDuplicates(["doc_id", "tag"]).select(*[F.col(c).alias(f"c_{c}") for c in changed.columns])
