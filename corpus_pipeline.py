@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoleaf.llm import minhash, mixing, packing, quality_rules, secrets
-from chronoleaf.llm.common import written
+from chronoleaf.llm.common import discard, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,7 +53,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)  # the stage after it is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
