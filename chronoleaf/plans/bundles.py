@@ -259,3 +259,8 @@ def item_videos(spark: SparkSession, sf: str) -> DataFrame:
     v, t = videos_and_timeline(spark, sf)
     n = t.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_runs"))
     return v.join(n, "video_id").select("video_id", F.round("duration_s", 6).alias("duration_s"), "n_runs")
+
+
+@query("SELECT s_name, 'test' AS split FROM supplier")
+def split_all_test(spark: SparkSession, sf: str) -> DataFrame:
+    return sel.fixed_split(table(spark, sf, "supplier").select("s_name"), "s_name", "all_test")

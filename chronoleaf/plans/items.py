@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoleaf.operators import metrics as m
@@ -197,3 +197,72 @@ def shard_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def frames_in_window(spark: SparkSession, sf: str) -> DataFrame:
     x = frames(spark, sf).filter(F.col("t").between(60, 7200))
     return x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("t"), 6).alias("mean_t"))
+
+
+VID = "user_id || '-' || session"
+NTH = ", k AS (SELECT *, " + VID + " AS vid, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id, session) AS n, lead(t0) OVER w AS next_t0, lead(t1) OVER w AS next_t1, lead(t1, 2) OVER w AS end2, max(run_id) OVER (PARTITION BY user_id, session) AS top FROM runs WINDOW w AS (PARTITION BY user_id, session ORDER BY run_id))"
+
+
+def picked(n: str, *parts: str) -> str:
+    """SQL of ``tasks.pick`` with seed 0."""
+    return f"('0x' || left(md5('0:' || {' || chr(58) || '.join(parts)}), 12))::BIGINT % ({n})"
+
+
+def asked() -> Column:
+    """The question of an item."""
+    return F.element_at("messages", 2)["content"]
+
+
+@query(SQL + NTH + f" SELECT vid AS video_id, label, round(next_t0, 1) AS t0, round(next_t1, 1) AS t1 FROM k WHERE n > 1 AND k - 1 = {picked('n - 1', repr('relative'), 'vid')}")
+def relative_items(spark: SparkSession, sf: str) -> DataFrame:
+    """What follows a drawn phase."""
+    x = tasks.relative_items(*videos_and_timeline(spark, sf))
+    s = F.col("target.spans")[0]
+    return x.select("video_id", F.regexp_extract(asked(), r"right after the (\w+)\?", 1).alias("label"), s["t0"].alias("t0"), s["t1"].alias("t1"))
+
+
+@query(SQL + ", q AS (SELECT " + VID + " AS vid, dur, i FROM procs, generate_series(1, 3) AS g(i)), w AS (SELECT vid, dur, round(greatest(0e0, dur - 300) * (('0x' || left(md5('0:window:' || vid || ':' || i), 8))::BIGINT / 4294967296e0), 1) AS w0, i FROM q), x AS (SELECT *, least(dur, w0 + 300) AS w1 FROM w), "
+    + "o AS (SELECT x.vid, x.i, label, min(run_id) AS f FROM x JOIN runs ON " + VID + " = x.vid AND least(t1, w1) - greatest(t0, w0) > 0 GROUP BY ALL), l AS (SELECT vid, i, string_agg(label, ',' ORDER BY f, label) AS labels FROM o GROUP BY ALL) SELECT x.vid AS video_id, round(w0, 1) AS w0, round(w1, 1) AS w1, coalesce(labels, '') AS labels FROM x LEFT JOIN l USING (vid, i)")
+def detection_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Drawn windows and what is active in them."""
+    x = tasks.detection_items(*videos_and_timeline(spark, sf), "phase")
+    w = F.col("target.window")
+    return x.select("video_id", F.round(w[0], 1).alias("w0"), F.round(w[1], 1).alias("w1"), F.array_join("target.labels", ",").alias("labels"))
+
+
+@query(SQL + NTH + f" SELECT vid AS video_id, label, round((t1 - t0) / 60e0, 2) AS minutes FROM k WHERE n >= 2 AND k - 1 = {picked('n', repr('duration'), 'vid')}")
+def qa_duration_items(spark: SparkSession, sf: str) -> DataFrame:
+    """How long a drawn phase lasts."""
+    x = tasks.qa_items(*videos_and_timeline(spark, sf)).filter("sub_type = 'duration'")
+    return x.select("video_id", F.regexp_extract(asked(), r"does the (\w+) last", 1).alias("label"), F.col("target.minutes").alias("minutes"))
+
+
+@query(SQL + NTH + f", s AS (SELECT vid, t0 AS w0, coalesce(end2, (SELECT t1 FROM runs r WHERE r.user_id = k.user_id AND r.session = k.session AND r.run_id = k.top)) AS w1 FROM k WHERE n > 1 AND k - 1 = {picked('n - 1', repr('summary'), 'vid')}) SELECT vid AS video_id, round(w0, 1) AS w0, round(w1, 1) AS w1, string_agg(label, ',' ORDER BY run_id) AS labels FROM s JOIN runs ON {VID} = vid AND least(t1, w1) - greatest(t0, w0) > 0 GROUP BY ALL")
+def summary_items(spark: SparkSession, sf: str) -> DataFrame:
+    """A drawn phase to the end of the second one after it."""
+    x = tasks.summary_items(*videos_and_timeline(spark, sf))
+    w, labels = F.col("frames.window"), F.transform("target.timeline", lambda s: s["label"])
+    return x.select("video_id", F.round(w[0], 1).alias("w0"), F.round(w[1], 1).alias("w1"), F.array_join(labels, ",").alias("labels"))
+
+
+ASKED = "['" + "', '".join(tasks.ABSENT) + "'][1 + " + picked(str(len(tasks.ABSENT)), "'absent'", "vid") + "]"
+EDGE = picked(str(len(EDGES)), "'edge'", "vid")
+BEFORE, AFTER = ("['" + "', '".join(e[k] for e in EDGES) + f"'][1 + {EDGE}]" for k in (0, 1))
+
+
+@query(SQL + f", v AS (SELECT {VID} AS vid FROM procs) SELECT vid AS video_id, 'unanswerable' AS sub_type, 'When is ' || {ASKED} || ' performed?' AS question FROM v UNION ALL SELECT vid, 'contradiction', 'After the ' || {AFTER} || ', when is the ' || {BEFORE} || ' performed?' FROM v")
+def unanswerable_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions about what is absent, and about what the graph rules out."""
+    v, _ = videos_and_timeline(spark, sf)
+    x = tasks.unanswerable_items(v, list(EDGES)).filter("target.abstain")
+    return x.select("video_id", "sub_type", F.substring_index(asked(), "\n", -1).alias("question"))
+
+
+@query(SQL + NTH + ", p(label, parent) AS (VALUES ('view', 'looking'), ('click', 'acting')) SELECT vid AS video_id, parent, label, round(t0, 1) AS t0, round(t1, 1) AS t1 FROM k JOIN p USING (label) WHERE k = 1")
+def cross_scale_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The first step of a video within its phase; runs stand in for steps."""
+    v, t = videos_and_timeline(spark, sf)
+    steps = spark.createDataFrame([("view", "looking"), ("click", "acting"), ("error", None)], "name string, parent string")
+    x = tasks.cross_scale_items(v, t.withColumn("kind", F.lit("step")), steps)
+    s = F.col("target.spans")[0]
+    return x.select("video_id", F.regexp_extract(asked(), r"During the (\w+),", 1).alias("parent"), F.regexp_extract(asked(), r"when is (\w+) performed", 1).alias("label"), s["t0"].alias("t0"), s["t1"].alias("t1"))
