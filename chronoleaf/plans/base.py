@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    """A new folder that driver and executors share: under spark.checkpoint.dir.
+
+    Where that is unset, a local session uses /tmp/checkpoints and any other one the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = "/tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    root = root if ":/" in root else f"file://{root}"
     return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
