@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoleaf.operators.store import scratch, stored  # noqa: F401  plan modules take them from here
 from chronoleaf.operators.timeline import collapse_runs, durations, sessionize
 
 KEYS = ["user_id", "session"]
@@ -20,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir.
-
-    Where that is unset, a local session uses /tmp/checkpoints and any other one the warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "/tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    root = root if ":/" in root else f"file://{root}"
-    return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once for plans that read it many times."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("label"), "value", "props", "ts")
     return sessionize(ev, "user_id", ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")), GAP_S).drop("ts")
