@@ -64,5 +64,40 @@ q AS (SELECT *, CASE WHEN source_size = 0 THEN 0e0 WHEN capped THEN {cap}e0 ELSE
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (('0x' || left(md5('mix:{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 13))::BIGINT / 4503599627370496e0 < rate - floor(rate))::INT))::BIGINT AS taken FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source"""
 
 
+def conversation_repair() -> str:
+    """The edit lattice row by row: a list of the four states, each the least (cost, audit, repaired text) that reaches it."""
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::BIGINT) ELSE b >> 1 END, xor(a, x)), 4294967295::BIGINT), 4294967295::BIGINT) % 20"
+    never = "{'c': 1000000000000::BIGINT, 'a': '', 'r': ''}"
+
+    def go(state: str, cost: str, edit: str, line: str | None = None) -> str:
+        after = f"{state}.r" if line is None else f"CASE WHEN {state}.r = '' THEN '' ELSE {state}.r || chr(10) END || {line}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {after}}}"
+
+    def inserted(s: str) -> str:
+        user = f"list_min([{s}[3], {', '.join(go(f'{s}[{k}]', '5', 'I', chr(39) + 'user:' + chr(39)) for k in (1, 2, 4))}])"
+        return f"list_transform([{user}], lambda u: [{s}[1], {s}[2], u, list_min([{s}[4], {go('u', '5', 'I', chr(39) + 'assistant:' + chr(39))}])])[1]"
+
+    def to(origins: tuple[int, ...], initial: str, role: str) -> str:
+        keep = [f"CASE WHEN x.i = '{initial}' THEN {go(f'v[{k}]', 'x.t', 'K', 'x.role || chr(58) || x.text')} ELSE {never} END" for k in origins]
+        turn = [go(f"v[{k}]", "1 + x.t", "R", f"'{role}:' || x.text") for k in origins] if role else []
+        return ", ".join(keep + turn)
+
+    drop = [go(f"v[{k}]", "2", "D") for k in (1, 2, 3, 4)]
+    kept = f"[{drop[0]}, list_min([{drop[1]}, {to((1,), 's', '')}]), list_min([{drop[2]}, {to((1, 2, 4), 'u', 'user')}]), list_min([{drop[3]}, {to((3,), 'a', 'assistant')}])]"
+    step = f"list_transform([{inserted('st')}], lambda v: CASE WHEN x.m THEN [{', '.join(drop)}] ELSE {kept} END)[1]"
+    return rf"""WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT conv_id, turn, role, text, {crc} AS d FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM d, (VALUES (0), (3)) AS t(t) WHERE d <> 0 AND (t = 0 OR d = 3)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || ':' || text)) AS place FROM m),
+f AS (SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS l, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS j FROM p),
+g AS (SELECT *, l = '' AS blank, l <> '' AND again AS duplicate, l <> '' AND NOT again AND l NOT IN ('.', '!', '?') AS truncated FROM f),
+s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(place > 1 AND j || i NOT IN ('su', 'ua', 'au')) AS illegal,
+list({{'i': i, 'm': blank OR duplicate, 't': CASE WHEN truncated THEN 5 ELSE 0 END, 'role': role, 'text': text}} ORDER BY place) AS turns FROM g GROUP BY conv_id),
+e AS (SELECT * EXCLUDE (turns), list_reduce(turns, lambda st, x: {step}, [{{'c': 0::BIGINT, 'a': '', 'r': ''}}, {never}, {never}, {never}]) AS st FROM s),
+b AS (SELECT * EXCLUDE (st), list_transform([{inserted('st')}], lambda v: list_min([v[1], v[4]]))[1] AS b FROM e)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.b.c, 0)::BIGINT AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(b.b.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN b ON i.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "op7_source_mixing": mix()}
+    return {"op1_secret_scan": secret_scan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "op7_source_mixing": mix(), "op13_conversation_repair": conversation_repair()}

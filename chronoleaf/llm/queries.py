@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoleaf.llm import gam, html_tree, media, minhash, mixing, oracles, packing, quality_rules, secrets, simple8b, suffix_dedup
+from chronoleaf.llm import gam, html_tree, media, minhash, mixing, oracles, packing, quality_rules, repair, secrets, sharding, simple8b, suffix_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text, quality_rules_joint)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text, op11_sharding, op12_whitening, op13_conversation_repair, quality_rules_joint)}
 
 
 def oracle_sql() -> dict[str, str]:
