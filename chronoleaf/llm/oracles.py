@@ -11,10 +11,10 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def secret_scan() -> str:
+def secret_scan(rules: tuple[secrets.Rule, ...] = secrets.RULES) -> str:
     """Every rule's matches with places from the lengths of the pieces between them."""
     parts = []
-    for k, r in enumerate(secrets.RULES):
+    for k, r in enumerate(rules):
         p = quoted(r.pattern)
         parts.append(
             f"SELECT doc_id, {k} AS o, '{r.kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n "
@@ -64,6 +64,12 @@ q AS (SELECT *, CASE WHEN source_size = 0 THEN 0e0 WHEN capped THEN {cap}e0 ELSE
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (('0x' || left(md5('mix:{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 13))::BIGINT / 4503599627370496e0 < rate - floor(rate))::INT))::BIGINT AS taken FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source"""
 
 
+def secret_rescan() -> str:
+    """By the newer rules, with the pairs that a first scan of the even documents leaves to do."""
+    return f"""WITH now AS ({secret_scan(secrets.NEWER)}), before AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, n_assign, spans, CASE WHEN b.t IS NULL THEN {len(secrets.NEWER)} ELSE 1 END::BIGINT AS pairs FROM now JOIN documents USING (doc_id) LEFT JOIN before AS b ON coalesce(text, '') = b.t"""
+
+
 def conversation_repair() -> str:
     """The edit lattice row by row: a list of the four states, each the least (cost, audit, repaired text) that reaches it."""
     crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::BIGINT) ELSE b >> 1 END, xor(a, x)), 4294967295::BIGINT), 4294967295::BIGINT) % 20"
@@ -100,4 +106,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN b ON i.conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "op7_source_mixing": mix(), "op13_conversation_repair": conversation_repair()}
+    return {"op1_secret_scan": secret_scan(), "secret_rescan": secret_rescan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "op7_source_mixing": mix(), "op13_conversation_repair": conversation_repair()}

@@ -10,7 +10,7 @@ unseen blobs of at most SMALL bytes is broadcast to the texts; beyond that texts
 bits, so of a fixed size) of the unseen blobs before the rest is shuffled. Findings are read for the blobs at hand.
 
 The ledger is two folders of Parquet files, findings and scanned. Findings are written first; a run that ends
-between the two repeats its scan, and repeated findings are dropped when read.
+between the two, its first one included, repeats its scan. So findings that a folder already held are read as a set.
 
 Defined cases: a null text is empty; a null path stays a path; copies share one scan and all get its findings;
 repeated rows get repeated results; matches that touch or overlap between kinds are all kept; an empty table
@@ -140,7 +140,7 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     paths = written(versions.select("path", blob_of(F.col("text")).alias("blob")), "paths")
     blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
     keys = F.array(*[F.lit(r.key) for r in rules])
-    old = exists(spark, f"{ledger}/scanned")
+    old, stale = exists(spark, f"{ledger}/scanned"), exists(spark, f"{ledger}/findings")
     if old:
         blobs = written(blobs, "blobs")
         at_hand = blobs.select(F.col("blob").alias("k"))
@@ -157,8 +157,8 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     known = F.concat_ws("@", "kind", "version").isin([r.key for r in rules])
     findings = spark.read.schema(FINDINGS).parquet(f"{ledger}/findings").filter(known)
     if old:
-        findings = findings.join(at_hand, F.col("blob") == F.col("k"), "left_semi").distinct()
-    return paths, findings
+        findings = findings.join(at_hand, F.col("blob") == F.col("k"), "left_semi")
+    return paths, findings.distinct() if stale else findings
 
 
 def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -173,9 +173,9 @@ def spans_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     return listed.select("blob", *counts, text(F.filter("s", lambda s: s["kind"].isin(base))).alias("base"), text(F.col("s")).alias("spans"))
 
 
-def scan_table(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+def scan_table(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of ``docs``."""
-    paths, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
+    paths, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger, rules)
     found = written(spans_by_blob(findings).withColumnRenamed("blob", "b"), "spans", True)
     found, _ = if_small(found, F.octet_length("base") + F.octet_length("spans") + 100)
     x = paths.join(found, F.col("blob") == F.col("b"), "left")
@@ -183,6 +183,24 @@ def scan_table(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     return x.select(F.col("path").alias("doc_id"), zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+#: A later version of the first rule, for longer values only, with the others as they are.
+NEWER = (Rule("assign", 2, BASE[0].pattern, 2, 16), *RULES[1:])
+
+
+def rescan(docs: DataFrame, first: Column, rules: tuple[Rule, ...] = NEWER) -> DataFrame:
+    """The rows of ``scan_table`` by newer rules, after a scan of the rows where ``first`` holds by RULES.
+
+    pairs: how many (blob, rule version) pairs the second scan had to look at for the row's blob.
+    """
+    spark, ledger = docs.sparkSession, fresh_path(docs.sparkSession, "ledger")
+    scan(docs.filter(first).select(F.col("doc_id").alias("path"), "text"), ledger)
+    x = scan_table(docs.select("doc_id", "text"), ledger, rules)
+    late = spark.read.schema(SCANNED).parquet(f"{ledger}/scanned").filter(F.array_contains("rules", rules[0].key))
+    late = late.groupBy("blob").agg(F.max(F.size("rules")).cast("long").alias("pairs"))
+    pairs = docs.select(F.col("doc_id").alias("d"), blob_of(F.col("text")).alias("blob")).distinct().join(late, "blob")
+    return x.join(pairs, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "n_assign", "spans", "pairs")
+
+
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of touching or overlapping findings in text replaced; n_chars follows if it is there."""
     _, findings = scan(docs.select(F.col("doc_id").alias("path"), "text"), ledger, (*RULES, WHOLE_KEY))
