@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoleaf.functions import text as tx
 from chronoleaf.functions.intervals import best_iou, center_distance, greedy_matches, hull_iou, length_bucket, mean_best_iou
+from chronoleaf.operators.ranks import ranked
 
 TOTAL = "overall"
 
@@ -35,24 +38,63 @@ def grounding_report(records: DataFrame, thresholds: Sequence[float] = (0.3, 0.5
     return out.withColumn("len_bucket", F.when(F.col("_g") == 1, TOTAL).otherwise(F.col("len_bucket"))).drop("_g")
 
 
+#: Groups whose resampled sums a task holds at a time; draws it makes at a time; the prime that draws are taken modulo.
+HELD, DRAWS, PRIME = 1024, 1 << 20, 268_435_399
+
+
 def bootstrap_interval(records: DataFrame, value: str, unit: str, n: int = 1000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """by, lo, hi: 2.5 and 97.5 percentiles of the mean of ``value`` over n resamples of units, per group of ``by``.
 
-    Each unit is drawn a Poisson(1) number of times per resample, by a hash of (seed, resample, unit), so the
-    draws need no exchange and a rerun repeats them. ``unit`` is a record id, or a video id to resample videos.
-    Values are summed per unit first; the n sums per task combine before the shuffle.
+    A unit is drawn a Poisson(1) number of times in resample r, by u = ((a + b r + c r**2) mod PRIME) / PRIME, where a, b and c
+    are 28 bits each of one md5 of seed and unit. So units are independent, resamples pairwise so, draws need no exchange
+    and a rerun repeats them. ``unit`` is a record id, or a video id to resample videos. Values are summed per unit first. A
+    task adds its units' draws to two vectors of n sums for each group, by matrix products, so rows never multiply by n:
+    what is shuffled is n sums for each task and group.
     """
-    per = records.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c"))
-    key = F.concat_ws(":", F.lit(f"draw:{seed}"), F.col("_rep").cast("string"), F.col(unit).cast("string"))
-    u = F.conv(F.substring(F.md5(key), 1, 10), 16, 10).cast("double") / float(1 << 40)
-    cut, total, draws = 0.36787944117144233, 0.0, F.lit(0)
+    per = records.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).cast("double").alias("_s"), F.count(F.lit(1)).cast("double").alias("_c"))
+    hashed = F.md5(F.concat_ws(":", F.lit(f"draw:{seed}"), F.col(unit).cast("string")))
+    bits = [F.conv(F.substring(hashed, 1 + 7 * i, 7), 16, 10).cast("long").alias(f"_h{i}") for i in range(3)]
+    per = per.select(F.struct(*by).alias("_by") if by else F.lit(0).alias("_by"), "_s", "_c", *bits)
+    cuts, p = [], 0.36787944117144233
     for k in range(1, 9):
-        total += cut
-        draws = draws + (u >= total).cast("int")
-        cut /= k
-    x = per.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_w", draws)
-    means = x.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_s") * F.col("_w")), F.sum(F.col("_c") * F.col("_w"))).alias("_m"))
-    return means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))
+        cuts.append(cuts[-1] + p if cuts else p)
+        p /= k
+    kind = per.schema["_by"].dataType.simpleString()
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        r = np.arange(n, dtype=np.int64)
+        arrow = None
+
+        def out() -> pa.RecordBatch:
+            sums = [pa.array([s[k] for _, s in held.values()], pa.list_(pa.float64())) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in held.values()], arrow), *sums], names=["_by", "_rs", "_rc"])
+
+        for b in batches:
+            groups, arrow = b.column(0).to_pylist(), b.column(0).type
+            keys = [tuple(g.values()) if isinstance(g, dict) else g for g in groups]
+            place: dict = {}
+            code = np.array([place.setdefault(k, len(place)) for k in keys], dtype=np.int64)
+            sums = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
+            h = [b.column(3 + i).to_numpy()[:, None] for i in range(3)]
+            first = {k: groups[i] for i, k in reversed(list(enumerate(keys)))}
+            for k, at in place.items():
+                rows = np.flatnonzero(code == at) if len(place) > 1 else np.arange(len(keys))
+                _, total = held.setdefault(k, (first[k], np.zeros((2, n))))
+                for some in np.array_split(rows, max(1, len(rows) * n // DRAWS)):
+                    u = (h[0][some] + h[1][some] * r + h[2][some] * (r * r)) % PRIME / PRIME
+                    total += sums[:, some] @ np.searchsorted(cuts, u, side="right").astype(np.float64)
+            if len(held) > HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    x = per.mapInArrow(resample, f"_by {kind}, _rs array<double>, _rc array<double>")
+    each = x.select("_by", F.posexplode(F.arrays_zip("_rs", "_rc")).alias("_rep", "_x"))
+    means = each.groupBy("_by", "_rep").agg(F.try_divide(F.sum("_x._rs"), F.sum("_x._rc")).alias("_m"))
+    out = means.groupBy("_by").agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))
+    return out.select(*[F.col(f"_by.{c}").alias(c) for c in by], "lo", "hi")
 
 
 # segmentation
@@ -64,16 +106,44 @@ def frame_accuracy(dense: DataFrame, keys: list[str], pred: str = "pred", gt: st
     return dense.filter(known).groupBy(*keys).agg(F.avg(F.col(pred).eqNullSafe(F.col(gt)).cast("double")).alias("frame_acc"))
 
 
+def edit_distance(a: Sequence[int], b: Sequence[int]) -> int:
+    """Levenshtein distance of two sequences of whole numbers, a row of the table at a time as the bits of one number."""
+    if not a or not b:
+        return len(a) + len(b)
+    masks: dict[int, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for y in b:
+        same = masks.get(y, 0) | down
+        diagonal = (((same & up) + up) ^ up) | same
+        gain, loss = down | ~(diagonal | up) & full, up & diagonal
+        distance += bool(gain & top) - bool(loss & top)
+        gain, loss = (gain << 1 | 1) & full, loss << 1 & full
+        up, down = loss | ~(diagonal | gain) & full, gain & diagonal
+    return distance
+
+
 def edit_score(runs: DataFrame, keys: list[str], pred: str, gt: str) -> DataFrame:
     """Levenshtein distance of two run label sequences as a score of 0 to 100.
 
-    runs: keys, side (pred or gt), run_id, code: dense label ids from 0, background included. A label becomes one character.
+    runs: keys, side (pred or gt), run_id, code: any whole numbers, one for each label, background included. Spark's
+    levenshtein compares strings, whose characters run out, so sequences are compared as numbers in Arrow batches.
     """
-    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "code"))), lambda r: F.chr(r["code"] + 33)), "")
-    x = runs.groupBy(*keys).pivot("side", [pred, gt]).agg(letters)
-    p, g = F.coalesce(pred, F.lit("")), F.coalesce(gt, F.lit(""))
-    longest = F.greatest(F.length(p), F.length(g))
-    return x.select(*keys, F.when(longest == 0, 100.0).otherwise((1 - F.levenshtein(p, g) / longest) * 100).alias("edit"))
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("run_id", "code"))), lambda r: r["code"].cast("long"))
+    x = runs.groupBy(*keys).pivot("side", [pred, gt]).agg(codes)
+    empty = F.array().cast("array<bigint>")
+    x = x.select(*keys, F.coalesce(pred, empty).alias("_p"), F.coalesce(gt, empty).alias("_g"))
+    kinds = ", ".join(f"`{k}` {dict(x.dtypes)[k]}" for k in keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *_, p, g = b.columns
+            found = [100.0 if not u and not v else (1 - edit_distance(u, v) / max(len(u), len(v))) * 100 for u, v in zip(p.to_pylist(), g.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.float64())], names=[*keys, "edit"])
+
+    return x.mapInArrow(score, f"{kinds}, edit double")
 
 
 def segmental_counts(pred: DataFrame, gt: DataFrame, keys: list[str], overlap: float) -> DataFrame:
@@ -195,16 +265,9 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 
 def adaptive_bins(records: DataFrame, order: str, conf: str = "conf", correct: str = "correct", n_bins: int = 15) -> DataFrame:
-    """Equal-count bins by confidence; ``order`` breaks ties.
-
-    Rows are counted per distinct confidence first, and only those counts are ranked in one place; a row's rank
-    is its count below plus its place among its ties.
-    """
-    per = records.groupBy(conf).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(conf).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select(F.col(conf).alias("_v"), before.alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    x = records.join(per, F.col(conf) == F.col("_v"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(conf).orderBy(order)) - 1
+    """Equal-count bins by confidence; ``order`` breaks ties. Rows are ranked by ranges of both, so one confidence spreads too."""
+    x = ranked(records.select(conf, correct, order), [F.col(conf), F.col(order)], rank="_k", count="_n")
+    rank = F.col("_k") - 1
     size, extra = F.floor(F.col("_n") / n_bins), F.col("_n") % n_bins
     first = extra * (size + 1)
     b = F.when(rank < first, F.floor(rank / (size + 1))).otherwise(extra + F.floor(F.try_divide(rank - first, size)))
@@ -243,25 +306,14 @@ def temperature_grid(records: DataFrame, grid: Sequence[float], logit: str = "lo
     return x.select(F.explode("g").alias("g")).select("g.*")
 
 
-#: Parts by confidence that are ranked apart.
-PARTS = 1024
-
-
 def risk_coverage(records: DataFrame, conf: str = "conf", correct: str = "correct", order: str = "id") -> DataFrame:
     """k, n, coverage, risk at every rank by descending confidence in [0, 1], ties by ``order``.
 
-    The curve needs a total order. Rows are ranked within PARTS ranges of confidence, and each range starts after the
-    counts of those above it, which are the only thing that is ordered in one place. ``aurc`` and ``risk_at`` read it.
+    The curve needs a total order: rows are ranked by ranges of (confidence, order), with the errors above each range added up
+    before. ``aurc`` and ``risk_at`` read it.
     """
-    part = F.greatest(F.lit(0), F.least(F.lit(PARTS), F.floor(F.col(conf) * PARTS))).cast("int")
-    x = records.select(F.col(conf).alias("_conf"), F.col(order).alias("_order"), (1 - F.col(correct).cast("double")).alias("_e"), F.coalesce(part, F.lit(-1)).alias("_p"))
-    per = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.sum("_e").alias("_s"))
-    above, every = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    first = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
-    per = per.select(F.col("_p").alias("_q"), first("_c").alias("_k0"), first("_s").alias("_e0"), F.sum("_c").over(every).alias("n"))
-    w = Window.partitionBy("_p").orderBy(F.desc("_conf"), "_order")
-    x = x.join(F.broadcast(per), F.col("_p") == F.col("_q"))
-    x = x.select((F.col("_k0") + F.row_number().over(w)).cast("int").alias("k"), "n", (F.col("_e0") + F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("e"))
+    x = records.select(F.col(conf).alias("_conf"), F.col(order).alias("_order"), (1 - F.col(correct).cast("double")).alias("_e"))
+    x = ranked(x, [F.desc("_conf"), F.col("_order")], rank="k", sums={"e": "_e"}, count="n").withColumn("k", F.col("k").cast("int"))
     return x.select("k", "n", (F.col("k") / F.col("n")).alias("coverage"), (F.col("e") / F.col("k")).alias("risk"))
 
 
@@ -279,8 +331,8 @@ def risk_at(curve: DataFrame, coverage: float = 0.8) -> DataFrame:
 def auroc(records: DataFrame, conf: str = "conf", correct: str = "correct") -> DataFrame:
     """Mid-rank ROC area from counts per distinct confidence; null if there is one class."""
     per = records.groupBy(conf).agg(F.sum(F.col(correct).cast("double")).alias("p"), F.sum(1 - F.col(correct).cast("double")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(conf).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x = per.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("u"))
+    x = ranked(per, [F.col(conf)], rank="_k", sums={"_upto": "q"})
+    x = x.select("p", "q", (F.col("p") * (F.col("_upto") - F.col("q") / 2)).alias("u"))
     return x.agg(F.try_divide(F.sum("u"), F.sum("p") * F.sum("q")).alias("auroc"))
 
 

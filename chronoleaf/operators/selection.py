@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoleaf.functions.answers import cache_key
+from chronoleaf.operators.ranks import ranked
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -27,13 +28,11 @@ def shuffled_limit(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def grouped_split(ids: DataFrame, key: str, strata: str | None = None, ratios: tuple[float, float] = (0.6, 0.2), seed: int = 0) -> DataFrame:
-    """Adds split: of each stratum in drawn order, round(n r) train, then val, the rest test."""
-    part = [strata] if strata else []
-    order = Window.partitionBy(*part).orderBy(draw(seed, F.col(key).cast("string")), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    train, val = F.bround(n * F.lit(ratios[0]), 0), F.bround(n * F.lit(ratios[1]), 0)
-    k = F.row_number().over(order)
-    return ids.withColumn("split", F.when(k <= train, "train").when(k <= train + val, "val").otherwise("test"))
+    """Adds split: of each stratum in drawn order, round(n r) train, then val, the rest test. Ranked by ranges of the draw."""
+    x = ranked(ids, [draw(seed, F.col(key).cast("string")), F.col(key)], by=[strata] if strata else [], rank="_k", count="_n")
+    train, val = (F.bround(F.col("_n") * F.lit(r), 0) for r in ratios)
+    split = F.when(F.col("_k") <= train, "train").when(F.col("_k") <= train + val, "val").otherwise("test")
+    return x.withColumn("split", split).drop("_k", "_n")
 
 
 def fixed_split(ids: DataFrame, key: str, scheme: str, counts: tuple[int, ...] = (), official: DataFrame | None = None, center: str = "center") -> DataFrame:
@@ -44,19 +43,21 @@ def fixed_split(ids: DataFrame, key: str, scheme: str, counts: tuple[int, ...] =
         if official is None:
             return grouped_split(ids, key, center, (0.6, 0.15))
         return ids.join(official.select(F.col(key).alias("_k"), "split"), F.col(key) == F.col("_k"), "left").drop("_k")
-    k = F.row_number().over(Window.orderBy(numeric_id(F.col(key)), key))
-    if scheme == "twinanda_40_40":
-        val = counts[0] if counts else 8
-        return ids.withColumn("split", F.when(numeric_id(F.col(key)) > 40, "test").when(k <= val, "val").otherwise("train"))
-    if scheme == "official_10_4_7":
-        return ids.withColumn("split", F.when(k <= 10, "train").when(k <= 14, "val").when(k <= 21, "test"))
     if scheme == "by_video":
         return grouped_split(ids, key, ratios=(counts[0] / sum(counts), counts[1] / sum(counts)))
     if scheme == "rdv":
         return grouped_split(ids, key)
     if scheme == "all_test":
         return ids.withColumn("split", F.lit("test"))
-    raise ValueError(f"unknown split scheme {scheme}")
+    if scheme not in ("twinanda_40_40", "official_10_4_7"):
+        raise ValueError(f"unknown split scheme {scheme}")
+    x, k = ranked(ids, [numeric_id(F.col(key)), F.col(key)], rank="_k"), F.col("_k")
+    if scheme == "twinanda_40_40":
+        val = counts[0] if counts else 8
+        split = F.when(numeric_id(F.col(key)) > 40, "test").when(k <= val, "val").otherwise("train")
+    else:
+        split = F.when(k <= 10, "train").when(k <= 14, "val").when(k <= 21, "test")
+    return x.withColumn("split", split).drop("_k")
 
 
 def hashed_split(ids: DataFrame, key: str, parts: int = 5, seed: int = 0) -> DataFrame:
@@ -166,5 +167,4 @@ def paraphrase_requests(items: DataFrame, question: str, sub_type: str, model: s
 
 def keep_recent(files: DataFrame, size: str, at: str, item: str, cap: int) -> DataFrame:
     """Files to keep so that, newest first, their sizes stay within the cap: a least-recently-used eviction."""
-    w = Window.orderBy(F.desc(at), item).rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("_s", F.sum(size).over(w)).filter(F.col("_s") <= cap).drop("_s")
+    return ranked(files, [F.desc(at), F.col(item)], rank="_k", sums={"_s": size}).filter(F.col("_s") <= cap).drop("_k", "_s")

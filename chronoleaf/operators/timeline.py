@@ -68,17 +68,32 @@ def active_labels(windows: DataFrame, timeline: DataFrame, keys: list[str], wind
 
 
 def overlap_join_global(left: DataFrame, right: DataFrame, bucket_s: float) -> DataFrame:
-    """Interval join without a common key: both sides (t0, t1) are exploded over time buckets of bucket_s.
+    """Interval join without a common key: l, r of all pairs of (t0, t1) that strictly overlap, each once.
 
-    A pair is kept only in the bucket where its overlap starts, so it comes out once. Choose bucket_s near the
-    typical length: rows grow with length / bucket_s.
+    Time is cut into cells of bucket_s * 2**level, and an interval lives at the least level whose cells are as long as it
+    is, in at most two of them. To meet longer intervals it also visits the cells it touches at every level above, up to the
+    longest interval's, so a row becomes at most two rows a level: the logarithm of the lengths, however long an interval is.
+    Residents of the left meet residents and visitors of the right, and its visitors meet residents, so that two short
+    intervals never meet in a large cell. A pair comes out of the cell where its overlap starts.
     """
-    cells = lambda: F.explode(F.sequence(F.floor(F.col("t0") / bucket_s), F.floor(F.col("t1") / bucket_s))).alias("_cell")
-    a = left.select(F.struct("*").alias("l"), cells())
-    b = right.select(F.struct("*").alias("r"), cells())
+    length = F.greatest(F.col("t1") - F.col("t0"), F.lit(0.0))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length / bucket_s, F.lit(1.0))))).cast("int")
+    sides = {"l": left, "r": right}
+    top = max([d.agg(F.max(level)).first()[0] or 0 for d in sides.values()])
+
+    def cells(side: str) -> DataFrame:
+        width = lambda k: F.lit(float(bucket_s)) * F.pow(F.lit(2.0), k)
+        at = lambda k: F.sequence(F.floor(F.col("t0") / width(k)), F.floor(F.col("t1") / width(k)))
+        x = sides[side].filter("t1 > t0").select(F.struct("*").alias(side), "t0", "t1", level.alias(f"_own_{side}"))
+        x = x.select("*", F.explode(F.sequence(F.col(f"_own_{side}"), F.lit(top))).alias("_level"))
+        return x.select(side, f"_own_{side}", "_level", F.explode(at(F.col("_level"))).alias("_cell"))
+
+    a, b = cells("l"), cells("r")
+    at_home = lambda side: F.col(f"_own_{side}") == F.col("_level")
+    met = a.filter(at_home("l")).join(b, ["_level", "_cell"]).unionByName(a.filter(~at_home("l")).join(b.filter(at_home("r")), ["_level", "_cell"]))
     lo = F.greatest(F.col("l.t0"), F.col("r.t0"))
-    j = a.join(b, "_cell").filter((F.least(F.col("l.t1"), F.col("r.t1")) - lo > 0) & (F.floor(lo / bucket_s) == F.col("_cell")))
-    return j.select("l", "r")
+    first = F.floor(lo / (F.lit(float(bucket_s)) * F.pow(F.lit(2.0), F.col("_level"))))
+    return met.filter((F.least(F.col("l.t1"), F.col("r.t1")) - lo > 0) & (first == F.col("_cell"))).select("l", "r")
 
 
 def rasterize(timeline: DataFrame, keys: list[str], duration: DataFrame, hz: float = 1.0, background: str | None = None) -> DataFrame:

@@ -150,7 +150,9 @@ POISSON = " + ".join(f"(u >= {t!r}::DOUBLE)::INT" for t in [sum(0.36787944117144
 
 
 def drawn(unit: str, seed: int = 0) -> str:
-    return f"('0x' || left(md5('draw:{seed}:' || rep || ':' || {unit}), 10))::BIGINT / 1099511627776e0"
+    """The draw of a unit in resample ``rep``: a polynomial of it, whose coefficients are parts of one md5."""
+    a, b, c = (f"('0x' || substr(md5('draw:{seed}:' || {unit}::VARCHAR), {1 + 7 * i}, 7))::BIGINT" for i in range(3))
+    return f"(({a} + {b} * rep + {c} * rep * rep) % {m.PRIME}) / {m.PRIME}::DOUBLE"
 
 
 @query(f"WITH x AS (SELECT value AS v, {drawn('event_id')} AS u, rep FROM events, generate_series(0, 199) AS g(rep)), m AS (SELECT rep, sum(v * ({POISSON})) / sum({POISSON}) AS m FROM x GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m")
