@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoleaf.operators.store import dropped, stored
+
+
+CLOSURE = """WITH RECURSIVE reach(a, b, d) AS (
+    SELECT DISTINCT a, b, 1 FROM {edges}
+    UNION ALL
+    SELECT DISTINCT reach.a, e.b, d + 1 FROM reach JOIN {edges} AS e ON reach.b = e.a
+    WHERE d < (SELECT count(DISTINCT a) FROM {edges})
+) SELECT DISTINCT a, b FROM reach"""
+
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(a, b): b is reachable from a; nodes on a cycle reach themselves.
+    """(a, b): b is reachable from a; nodes on a cycle reach themselves. One plan, by recursive SQL.
+
+    A shortest path leaves no node twice, so paths of as many edges as there are nodes with one are enough; a level
+    keeps each pair once. For procedure graphs, which are parameters of tens or hundreds of nodes: every level is a
+    join, and the session's limits of recursion (100 levels, a million rows a level) hold. Larger graphs take
+    ``closure_by_doubling``.
+    """
+    x = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    return edges.sparkSession.sql(CLOSURE, edges=x)
+
+
+def closure_by_doubling(edges: DataFrame) -> DataFrame:
+    """``closure`` of a graph of any size: each round joins paths of up to 2^k edges with themselves.
 
-    Each round joins paths of up to 2^k edges with themselves, so the rounds grow with the logarithm of the depth.
+    The rounds grow with the logarithm of the depth; each is written, and the one before it deleted.
     """
-    paths = edges.select("a", "b").distinct().cache()
+    paths = stored(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "paths")
     known = paths.count()
     while True:
         hop = paths.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        more = paths.union(paths.join(hop, "b").select("a", F.col("c").alias("b"))).distinct().cache()
+        more = stored(paths.union(paths.join(hop, "b").select("a", F.col("c").alias("b"))).distinct(), "paths")
         now = more.count()
-        paths.unpersist()
+        dropped(paths)
         if now == known:
             return more
         paths, known = more, now

@@ -86,14 +86,14 @@ def overlap_join_global(left: DataFrame, right: DataFrame, bucket_s: float) -> D
         at = lambda k: F.sequence(F.floor(F.col("t0") / width(k)), F.floor(F.col("t1") / width(k)))
         x = sides[side].filter("t1 > t0").select(F.struct("*").alias(side), "t0", "t1", level.alias(f"_own_{side}"))
         x = x.select("*", F.explode(F.sequence(F.col(f"_own_{side}"), F.lit(top))).alias("_level"))
-        return x.select(side, f"_own_{side}", "_level", F.explode(at(F.col("_level"))).alias("_cell"))
+        return x.select(side, F.col("t0").alias(f"_{side}0"), F.col("t1").alias(f"_{side}1"), f"_own_{side}", "_level", F.explode(at(F.col("_level"))).alias("_cell"))
 
     a, b = cells("l"), cells("r")
     at_home = lambda side: F.col(f"_own_{side}") == F.col("_level")
     met = a.filter(at_home("l")).join(b, ["_level", "_cell"]).unionByName(a.filter(~at_home("l")).join(b.filter(at_home("r")), ["_level", "_cell"]))
-    lo = F.greatest(F.col("l.t0"), F.col("r.t0"))
+    lo = F.greatest("_l0", "_r0")
     first = F.floor(lo / (F.lit(float(bucket_s)) * F.pow(F.lit(2.0), F.col("_level"))))
-    return met.filter((F.least(F.col("l.t1"), F.col("r.t1")) - lo > 0) & (first == F.col("_cell"))).select("l", "r")
+    return met.filter((F.least("_l1", "_r1") - lo > 0) & (first == F.col("_cell"))).select("l", "r")
 
 
 def rasterize(timeline: DataFrame, keys: list[str], duration: DataFrame, hz: float = 1.0, background: str | None = None) -> DataFrame:
