@@ -727,6 +727,40 @@ def test_a_hint_and_repeats_remove_together(spark):
     assert got[11] == "Offer number 1\n\nOffer number 1\n\nunique words of page 7919"
 
 
+def test_mirrored_articles_survive(spark):
+    body = "<p>The story has words enough to be what this page is about, and more of them.</p><p>It ends here.</p>"
+    plain = re.sub("</?p>", "", body.replace("</p><p>", "\n\n"))
+    mirrors = [(i, "http://mirror.example/a", f"<body><div class='ad'>buy number {i * 31}</div><article><h1>T</h1>{body}</article></body>") for i in range(12)]
+    stamped = [(100 + i, "http://stamp.example/a", f"<body><article><h1>T</h1><p class='when'>{i} minutes ago</p>{body}</article><footer>f</footer></body>") for i in range(12)]
+    bare = [(200 + i, "http://bare.example/a", f"<body><div class='ad'>buy number {i * 31}</div><div class='text'>{body}</div></body>") for i in range(12)]
+    got = texts_by_page(spark, mirrors + stamped + bare)
+    assert all(got[i] == f"T\n\n{plain}" for i in range(12))
+    assert all(got[100 + i] == f"T\n\n{i} minutes ago\n\n{plain}" for i in range(12))
+    assert all(got[200 + i] == plain for i in range(12))
+
+
+def test_repeated_subheadings_stay(spark):
+    recipe = lambda i: f"<body><nav>go</nav><article><h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>{i * 7} eggs</li><li>{i * 3} pans</li></ul><h2>Method</h2><p>Stir {i * 91} times, then wait for {i} hours.</p></article></body>"
+    got = texts_by_page(spark, [(i, "http://food.example/", recipe(i)) for i in range(1, 13)])
+    assert all(got[i] == f"Dish {i}\n\nIngredients\n\n{i * 7} eggs\n\n{i * 3} pans\n\nMethod\n\nStir {i * 91} times, then wait for {i} hours." for i in range(1, 13))
+
+
+def test_telling_names_need_something_that_agrees(spark):
+    story = lambda i: f"<p>The story {i * 7919} has words enough to be what this page is about, and more of them.</p>"
+    notice = lambda i, text: f"<article>{story(i)}<div class='notice'><p>{text}</p></div></article>"
+    one = [(1, "http://one.example/", f"<body>{notice(1, 'Notice of the judge on the case.')}</body>"), (2, "http://two.example/", f"<body><div class='notice'><p>Closed on Monday.</p></div><article>{story(2)}</article></body>")]
+    linked = [(3, "http://three.example/", f"<body><article>{story(3)}<div class='related'><a href='/a'>One</a> <a href='/b'>Two</a></div></article></body>")]
+    varied = [(10 + i, "http://varied.example/", f"<body>{notice(i, f'Notice {i * 31} on case {i * 17}.')}</body>") for i in range(8)]
+    common = [(30 + i, "http://common.example/", f"<body>{notice(i, 'We are closed on Monday.')}</body>") for i in range(8)]
+    text = lambda i: re.sub("</?p>", "", story(i))
+    got = texts_by_page(spark, one + linked + varied + common)
+    assert got[1] == f"{text(1)}\n\nNotice of the judge on the case."  # a telling name alone
+    assert got[2] == text(2)  # and outside the article
+    assert got[3] == text(3)  # and mostly links
+    assert all(got[10 + i] == f"{text(i)}\n\nNotice {i * 31} on case {i * 17}." for i in range(8))
+    assert all(got[30 + i] == text(i) for i in range(8))  # and the same on every page
+
+
 def test_importance_by_hand():
     """Importance of every node from the pages' own nodes, by the sums over -p log p that define it."""
     from math import exp, log
