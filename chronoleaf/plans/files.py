@@ -10,7 +10,7 @@ from chronoleaf.operators import report
 from chronoleaf.operators import selection as sel
 from chronoleaf.plans import items
 from chronoleaf.plans.base import LABELS, scratch, table
-from chronoleaf.sources import datasets, readers, sinks
+from chronoleaf.sources import datasets, readers, sinks, tar_source
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,13 +196,25 @@ def sink_tar_shards(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("r.conv_id", "r.turn", "r.role", F.md5("r.text").alias("digest"))
 
 
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def source_json_tar(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations through the tar data source, whose reader splits shards by their indexes."""
+    tar_source.register(spark)
+    c = table(spark, sf, "conversations")
+    path = scratch(spark, "json-tar")
+    x = c.select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("json"))
+    x.write.format("json_tar").option("shard_mb", "0.5").option("split_bytes", str(1 << 17)).mode("append").save(path)
+    y = spark.read.format("json_tar").load(path).select(F.from_json("json", "conv_id long, turn int, role string, text string").alias("r"))
+    return y.select("r.conv_id", "r.turn", "r.role", F.md5("r.text").alias("digest"))
+
+
 @query("SELECT shard_items AS n_items, members FROM (SELECT count(*) AS shard_items, count(*) AS members FROM conversations)")
 def sink_shard_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Members that the manifest counts, and those that the files hold."""
     c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     path = scratch(spark, "shards")
-    n = sinks.write_shards(sinks.pack_shards(c, "id", 0.2), path).agg(F.sum("n").alias("n_items"))
-    return n.crossJoin(readers.read_shards(spark, path).agg(F.count(F.lit(1)).alias("members")))
+    n = sinks.write_shards(sinks.pack_shards(c, "id", 0.2), path).select("n", F.lit(0).alias("m"))
+    return n.unionAll(readers.read_shards(spark, path).select(F.lit(0), F.lit(1))).agg(F.sum("n").alias("n_items"), F.sum("m").alias("members"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders")
