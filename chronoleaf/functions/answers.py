@@ -16,6 +16,9 @@ SPANS = "array<struct<t0:double,t1:double>>"
 MEDIA = {"internvl3_2b": "<image>", "internvl3_8b": "<image>", "llava_video_7b": "<image>", "qwen25vl_7b": "<|vision_start|><|image_pad|><|vision_end|>"}
 
 
+# The sentences of prompts and judge prompts below are part of the format that models are trained on.
+
+
 def format_ts(seconds: Column, fmt: str = "seconds") -> Column:
     s = F.greatest(F.lit(0.0), seconds.cast("double"))
     if fmt == "mmss":

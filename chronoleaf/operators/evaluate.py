@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chronoleaf.functions import text as tx
 from chronoleaf.operators import graph as g
 from chronoleaf.operators import metrics as m
+from chronoleaf.operators import text_scores as ts
+from chronoleaf.operators.ranks import ranked
 from chronoleaf.operators.report import DESCRIPTORS
 
 
@@ -168,3 +170,96 @@ def _all(conditions: list[Column]) -> Column:
     for c in conditions:
         out = out & c
     return out
+
+
+# families whose records are more than one row of values: each gives (cell, len_bucket, n_items and metrics)
+
+
+def by_bucket(records: DataFrame) -> DataFrame:
+    """Each record twice: in all lengths, and in the bucket of its duration_s."""
+    return records.withColumn("len_bucket", F.explode(F.array(F.lit(m.TOTAL), m.length_bucket(F.col("duration_s")))))
+
+
+def averaged(records: DataFrame, cell: list[str], metrics: Sequence[str]) -> DataFrame:
+    return by_bucket(records).groupBy(*cell, "len_bucket").agg(F.count(F.lit(1)).alias("n_items"), *[F.avg(F.col(f"`{c}`")).alias(c) for c in metrics])
+
+
+def segmentation_family(dense: DataFrame, pred: DataFrame, gt: DataFrame, durations: DataFrame, cell: list[str], video: list[str], overlaps: Sequence[float] = (0.1, 0.25, 0.5)) -> DataFrame:
+    """Means over videos of ``segment_bundle``. All tables have cell and video columns; durations: cell, video, duration_s."""
+    keys = [*cell, *video]
+    x = segment_bundle(dense, pred, gt, keys, overlaps=overlaps).join(durations.select(*keys, "duration_s"), keys)
+    return averaged(x, cell, ["frame_acc", "edit", *(f"segF1@{int(o * 100)}" for o in overlaps)])
+
+
+def detection_family(scored: DataFrame, cell: list[str], item: str = "item", threshold: float = 0.5) -> DataFrame:
+    """scored (cell, item, cls, score, label, duration_s): mean over classes of AP and F1 at the threshold."""
+    x = by_bucket(scored).withColumn("_c", F.struct(*cell, "len_bucket", "cls"))
+    mean = lambda df, value, name: df.groupBy("_c.len_bucket", *[f"_c.{c}" for c in cell]).agg(F.avg(value).alias(name))
+    n = x.groupBy(*cell, "len_bucket").agg(F.count_distinct(item).alias("n_items"))
+    keys = [*cell, "len_bucket"]
+    return n.join(mean(m.average_precision(x, "_c"), "ap", "det_mAP"), keys, "left").join(mean(m.class_f1(x, threshold, "_c"), "f1", "det_macro_f1"), keys, "left")
+
+
+def summary_family(records: DataFrame, reach: DataFrame | None, cell: list[str], item: str = "item") -> DataFrame:
+    """records (cell, item, pred, names, duration_s, and gold if there are references): order, coverage, and text scores.
+
+    Document frequencies of n-grams are those of all references of the table.
+    """
+    x = m.order_scores(records, reach, [*cell, item]).select(*cell, item, F.col("violation_rate").alias("summ_order_violation_rate"), F.col("coverage").alias("summ_coverage_recall"), F.col("hard").cast("double").alias("_hard"))
+    x = x.join(records.select(*cell, item, "duration_s"), [*cell, item])
+    names = ["summ_order_violation_rate", "summ_coverage_recall", "_hard"]
+    if "gold" in records.columns:
+        texts = records.withColumn("_id", F.struct(*cell, item))
+        scores = ts.cider(texts, "_id", "pred", "gold").select("_id.*", F.col("cider").alias("summ_cider"))
+        scores = scores.join(ts.meteor(texts.withColumn("_m", F.to_json("_id")), "_m", "pred", "gold").select(F.col("_m"), F.col("meteor").alias("summ_meteor")), F.to_json(F.struct(*cell, item)) == F.col("_m")).drop("_m")
+        x = x.join(scores, [*cell, item], "left")
+        names += ["summ_cider", "summ_meteor"]
+    out = averaged(x, cell, names)
+    return out.withColumn("summ_hard_order_violations", F.round(F.col("_hard") * F.col("n_items"))).drop("_hard")
+
+
+def reliability_family(records: DataFrame, cell: list[str], order: str, n_bins: int = 15, coverage: float = 0.8) -> DataFrame:
+    """records (cell, conf, correct, order, duration_s): calibration errors, risk-coverage and ROC areas of each cell.
+
+    Ranks and running sums are by ranges within the cell, so a cell that holds most records is no task of its own.
+    """
+    keys = [*cell, "len_bucket"]
+    x = by_bucket(records.select(*cell, "conf", F.col("correct").cast("double").alias("correct"), F.col(order).alias("_o"), "duration_s")).withColumn("_e", 1 - F.col("correct"))
+    gap = F.abs(F.avg("correct") - F.avg("conf")) * F.count(F.lit(1))
+
+    def error(binned: DataFrame, name: str) -> DataFrame:
+        per = binned.groupBy(*keys, "bin").agg(gap.alias("_g"), F.count(F.lit(1)).alias("_n"))
+        return per.groupBy(*keys).agg((F.sum("_g") / F.sum("_n")).alias(name), F.sum("_n").alias("n_items"))
+
+    width = F.greatest(F.lit(0), F.least(F.width_bucket(F.col("conf"), F.lit(0.0), F.lit(1.0), F.lit(n_bins)), F.lit(n_bins)) - 1)
+    up = ranked(x, [F.col("conf"), F.col("_o")], by=keys, rank="_k", count="_n")
+    rank, size, extra = F.col("_k") - 1, F.floor(F.col("_n") / n_bins), F.col("_n") % n_bins
+    first = extra * (size + 1)
+    equal = F.when(rank < first, F.floor(rank / (size + 1))).otherwise(extra + F.floor(F.try_divide(rank - first, size)))
+    down = ranked(x, [F.desc("conf"), F.col("_o")], by=keys, rank="_k", sums={"_s": "_e"}, count="_n")
+    risk, at = F.col("_s") / F.col("_k"), lambda k: F.max(F.when(F.col("_k") == k, F.col("_s") / F.col("_k")))
+    stop = F.greatest(F.lit(1), F.bround(F.lit(coverage) * F.col("_n"), 0))
+    curve = down.groupBy(*keys).agg(((F.sum(risk) - (at(F.lit(1)) + at(F.col("_n"))) / 2) / F.max("_n")).alias("aurc"), at(stop).alias(f"risk@{coverage}cov"))
+    per = x.groupBy(*keys, "conf").agg(F.sum("correct").alias("_p"), F.sum("_e").alias("_q"))
+    per = ranked(per, [F.col("conf")], by=keys, rank="_k", sums={"_upto": "_q"})
+    area = per.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_p") * (F.col("_upto") - F.col("_q") / 2)), F.sum("_p") * F.sum("_q")).alias("conf_auroc"))
+    return error(x.withColumn("bin", width), "ece").join(error(up.withColumn("bin", equal), "ece_adapt").drop("n_items"), keys).join(curve, keys).join(area, keys)
+
+
+def family_cells(families: Sequence[DataFrame]) -> DataFrame:
+    """Result cells (descriptors, metrics, by_length) of tables (descriptors, len_bucket, metrics): ``report.flatten`` takes them.
+
+    Metrics of one cell from several families are put together; undefined ones are left out.
+    """
+    rows = None
+    for f in families:
+        known = [c for c in DESCRIPTORS if c in f.columns]
+        values = [c for c in f.columns if c not in known and c != "len_bucket"]
+        pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for c in values]), lambda p: p["v"].isNotNull())
+        x = f.select(*[F.col(c) if c in known else F.lit(None).cast("string").alias(c) for c in DESCRIPTORS], "len_bucket", F.explode(pairs).alias("p"))
+        rows = x if rows is None else rows.unionByName(x)
+    per = rows.groupBy(*DESCRIPTORS, "len_bucket", F.col("p.k").alias("k")).agg(F.max("p.v").alias("v"))
+    maps = per.groupBy(*DESCRIPTORS, "len_bucket").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_m"))
+    total = F.col("len_bucket") == m.TOTAL
+    entries = F.collect_list(F.when(~total, F.struct("len_bucket", "_m")))
+    return maps.groupBy(*DESCRIPTORS).agg(F.first(F.when(total, F.col("_m")), ignorenulls=True).alias("metrics"), F.map_from_entries(entries).alias("by_length"))

@@ -201,11 +201,16 @@ def average_precision(scored: DataFrame, cls: str = "cls", score: str = "score",
     return x.filter("pos > 0 and pos < all").groupBy(cls).agg(F.sum(F.col("tp") / F.col("pos") * F.col("ctp") / F.col("cn")).alias("ap"))
 
 
-def macro_f1(scored: DataFrame, threshold: float = 0.5, cls: str = "cls", score: str = "score", label: str = "label") -> DataFrame:
+def class_f1(scored: DataFrame, threshold: float = 0.5, cls: str = "cls", score: str = "score", label: str = "label") -> DataFrame:
+    """cls, f1 at the threshold; null for a class that is neither there nor predicted."""
     hit, true = F.col(score) >= threshold, F.col(label) == 1
     n = lambda c: F.count_if(c)
     x = scored.groupBy(cls).agg(n(hit & true).alias("tp"), n(hit & ~true).alias("fp"), n(~hit & true).alias("fn"))
-    return x.agg(F.avg(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("macro_f1"))
+    return x.select(cls, F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def macro_f1(scored: DataFrame, threshold: float = 0.5, cls: str = "cls", score: str = "score", label: str = "label") -> DataFrame:
+    return class_f1(scored, threshold, cls, score, label).agg(F.avg("f1").alias("macro_f1"))
 
 
 def label_set(labels: Column) -> Column:

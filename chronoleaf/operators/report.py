@@ -7,11 +7,59 @@ from pyspark.sql import functions as F
 
 # The result table's columns in order.
 RESULT_COLUMNS = (
-    "backend method regime ckpt dataset domain center task sub_type split in_domain len_bucket r1@0.3 r1@0.5 r1@0.7 r5@0.5 miou "
-    "frame_acc segF1@10 segF1@25 segF1@50 edit step_phase_consistency rsd_mae_min rsd_within5 det_mAP qa_em qa_judge temporal_consistency summ_judge "
-    "ece ece_adapt T aurc risk@0.8cov confwrong_impossible abstain_f1 conf_auroc n_frames n_vis_tokens ctx_len prefill_ms decode_ms "
-    "peak_vram_gb gpu_s_per_q n_items ci_lo ci_hi git_sha cfg_hash seed timestamp"
-).split()
+    "backend",
+    "method",
+    "regime",
+    "ckpt",
+    "dataset",
+    "domain",
+    "center",
+    "task",
+    "sub_type",
+    "split",
+    "in_domain",
+    "len_bucket",
+    "r1@0.3",
+    "r1@0.5",
+    "r1@0.7",
+    "r5@0.5",
+    "miou",
+    "frame_acc",
+    "segF1@10",
+    "segF1@25",
+    "segF1@50",
+    "edit",
+    "step_phase_consistency",
+    "rsd_mae_min",
+    "rsd_within5",
+    "det_mAP",
+    "qa_em",
+    "qa_judge",
+    "temporal_consistency",
+    "summ_judge",
+    "ece",
+    "ece_adapt",
+    "T",
+    "aurc",
+    "risk@0.8cov",
+    "confwrong_impossible",
+    "abstain_f1",
+    "conf_auroc",
+    "n_frames",
+    "n_vis_tokens",
+    "ctx_len",
+    "prefill_ms",
+    "decode_ms",
+    "peak_vram_gb",
+    "gpu_s_per_q",
+    "n_items",
+    "ci_lo",
+    "ci_hi",
+    "git_sha",
+    "cfg_hash",
+    "seed",
+    "timestamp",
+)
 DESCRIPTORS = RESULT_COLUMNS[:11]
 ALIASES = {"rsd_mae_min": "mae_min", "rsd_within5": "within5", "n_items": "n"}
 EFFICIENCY = RESULT_COLUMNS[RESULT_COLUMNS.index("n_frames") : RESULT_COLUMNS.index("n_items")]

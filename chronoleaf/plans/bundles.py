@@ -14,7 +14,7 @@ from chronoleaf.operators import provenance as pr
 from chronoleaf.operators import report
 from chronoleaf.operators import selection as sel
 from chronoleaf.operators import timeline as tl
-from chronoleaf.plans.base import BUCKET, KEYS, SQL, TIOU, frames, predicted, runs, scratch, table
+from chronoleaf.plans.base import BUCKET, KEYS, SQL, TIOU, frames, predicted, runs, scratch, stored, table
 from chronoleaf.plans.files import as_text
 from chronoleaf.plans.graphs import VIOL, edges
 from chronoleaf.plans.intervals import CODE, PRED, span
@@ -264,3 +264,46 @@ def item_videos(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT s_name, 'test' AS split FROM supplier")
 def split_all_test(spark: SparkSession, sf: str) -> DataFrame:
     return sel.fixed_split(table(spark, sf, "supplier").select("s_name"), "s_name", "all_test")
+
+
+LENGTH = "(event_id % 9000)"
+FAMILY = f"""WITH {SCORED.removeprefix('WITH ')}, {CONF.removeprefix('WITH ')},
+sd AS (SELECT *, {BUCKET.format(LENGTH)} AS b FROM s), sx AS (SELECT *, 'overall' AS len_bucket FROM sd UNION ALL SELECT *, b FROM sd),
+st AS (SELECT len_bucket, cls, score, sum(label) AS tp, count(*) AS n FROM sx GROUP BY ALL), sw AS (SELECT len_bucket, cls, tp, sum(tp) OVER o AS ctp, sum(n) OVER o AS cn, sum(tp) OVER (PARTITION BY len_bucket, cls) AS pos, sum(n) OVER (PARTITION BY len_bucket, cls) AS al FROM st WINDOW o AS (PARTITION BY len_bucket, cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT len_bucket, cls, sum(tp::DOUBLE / pos * ctp / cn) AS ap FROM sw WHERE pos > 0 AND pos < al GROUP BY ALL), f1 AS (SELECT len_bucket, cls, 2e0 * count_if(score >= 0.5 AND label = 1) / nullif(2 * count_if(score >= 0.5 AND label = 1) + count_if(score >= 0.5 AND label = 0) + count_if(score < 0.5 AND label = 1), 0) AS f1 FROM sx GROUP BY ALL),
+det AS (SELECT len_bucket, round(det_map, 6) AS det_map, n_items FROM (SELECT len_bucket, avg(ap) AS det_map FROM ap GROUP BY 1) JOIN (SELECT len_bucket, count(DISTINCT event_id) AS n_items FROM sx GROUP BY 1) USING (len_bucket)),
+rd AS (SELECT id, conf, correct, {BUCKET.format('(id % 9000)')} AS b FROM r), rx AS (SELECT *, 'overall' AS len_bucket FROM rd UNION ALL SELECT *, b FROM rd),
+rk AS (SELECT *, least(floor(conf * 15)::INT, 14) AS w, ntile(15) OVER (PARTITION BY len_bucket ORDER BY conf, id) AS a, row_number() OVER d AS k, count(*) OVER (PARTITION BY len_bucket) AS n, sum(1 - correct) OVER (PARTITION BY len_bucket ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING) AS e FROM rx WINDOW d AS (PARTITION BY len_bucket ORDER BY conf DESC, id)),
+e1 AS (SELECT len_bucket, sum(g) / sum(n) AS ece FROM (SELECT len_bucket, w, abs(avg(correct) - avg(conf)) * count(*) AS g, count(*) AS n FROM rk GROUP BY ALL) GROUP BY 1), e2 AS (SELECT len_bucket, sum(g) / sum(n) AS ece_adapt FROM (SELECT len_bucket, a, abs(avg(correct) - avg(conf)) * count(*) AS g, count(*) AS n FROM rk GROUP BY ALL) GROUP BY 1),
+cu AS (SELECT len_bucket, (sum(e / k) - (max(e / k) FILTER (WHERE k = 1) + max(e / k) FILTER (WHERE k = n)) / 2) / max(n) AS aurc, max(e / k) FILTER (WHERE k = greatest(1, round_even(0.8 * n, 0))) AS risk_80 FROM rk GROUP BY 1),
+pc AS (SELECT len_bucket, conf, sum(correct) AS p, sum(1 - correct) AS q FROM rx GROUP BY ALL), au AS (SELECT len_bucket, sum(u) / (sum(p) * sum(q)) AS conf_auroc FROM (SELECT *, p * (coalesce(sum(q) OVER (PARTITION BY len_bucket ORDER BY conf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS u FROM pc) GROUP BY 1),
+rel AS (SELECT len_bucket, round(ece, 6) AS ece, round(ece_adapt, 6) AS ece_adapt, round(aurc, 6) AS aurc, round(risk_80, 6) AS risk_80, round(conf_auroc, 6) AS conf_auroc FROM e1 JOIN e2 USING (len_bucket) JOIN cu USING (len_bucket) JOIN au USING (len_bucket))"""
+
+
+@query(FAMILY + """ SELECT 't4' AS task, len_bucket, det_map, ece, ece_adapt, aurc, risk_80, conf_auroc, n_items::DOUBLE AS n_items, 's' AS seed FROM det JOIN rel USING (len_bucket)""")
+def evaluate_families(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection and reliability of one cell to result rows by length."""
+    length = lambda c: (F.col(c) % 9000).cast("double").alias("duration_s")
+    det = scored(spark, sf).select(F.lit("t4").alias("task"), F.col("event_id").alias("item"), "cls", "score", "label", length("event_id"))
+    rel = confident(spark, sf).select(F.lit("t4").alias("task"), "id", "conf", "correct", length("id"))
+    cells = pr.stamped(ev.family_cells([ev.detection_family(det, ["task"]), ev.reliability_family(rel, ["task"], "id").drop("n_items")]), {"seed": "s"})
+    names = {"det_mAP": "det_map", "ece": "ece", "ece_adapt": "ece_adapt", "aurc": "aurc", "risk@0.8cov": "risk_80", "conf_auroc": "conf_auroc", "n_items": "n_items"}
+    return report.flatten(cells).select("task", "len_bucket", *[F.round(F.col(f"`{a}`"), 6).alias(b) for a, b in names.items()], "seed")
+
+
+@query(SQL + f""", pp AS (SELECT * FROM runs WHERE run_id % 3 <> 0), s AS (SELECT user_id, session, coalesce(string_agg(chr({CODE} + 33), '' ORDER BY run_id) FILTER (WHERE run_id % 3 <> 0), '') AS p, string_agg(chr({CODE} + 33), '' ORDER BY run_id) AS g FROM runs GROUP BY ALL),
+x AS (SELECT p.user_id, p.session, p.run_id AS p, g.run_id AS g, greatest(0e0, least(p.p1, g.t1) - greatest(p.p0, g.t0)) / (greatest(p.p1, g.t1) - least(p.p0, g.t0)) AS iou FROM pp p JOIN runs g ON p.user_id = g.user_id AND p.session = g.session AND p.label = g.label WHERE greatest(p.p1, g.t1) > least(p.p0, g.t0)),
+bst AS (SELECT *, row_number() OVER (PARTITION BY user_id, session, p ORDER BY iou DESC, g) AS k FROM x WHERE iou > 0), cnt AS (SELECT user_id, session, count(*) AS ng, count_if(run_id % 3 <> 0) AS np FROM runs GROUP BY ALL),
+{f1_sql('a', 0.1).replace('round(', '(').replace(', 6)', ')')}, {f1_sql('c', 0.5).replace('round(', '(').replace(', 6)', ')')}, d AS (SELECT user_id, session, avg(CASE WHEN {PRED} = label THEN 1e0 ELSE 0e0 END) AS frame_acc FROM frames GROUP BY ALL),
+v AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, {BUCKET.format('dur')} AS b, (1 - levenshtein(s.p, s.g)::DOUBLE / greatest(length(s.p), length(s.g))) * 100 AS edit, frame_acc, a.f AS f10, c.f AS f50 FROM s JOIN a USING (user_id, session) JOIN c USING (user_id, session) JOIN d USING (user_id, session) JOIN procs USING (user_id, session)), w AS (SELECT *, 'overall' AS len_bucket FROM v UNION ALL SELECT *, b FROM v)
+SELECT 't2' AS task, split, len_bucket, round(avg(edit), 6) AS edit, round(avg(frame_acc), 6) AS frame_acc, round(avg(f10), 6) AS f10, round(avg(f50), 6) AS f50, count(*)::DOUBLE AS n_items FROM w GROUP BY ALL""")
+def evaluate_segmentation(spark: SparkSession, sf: str) -> DataFrame:
+    """Segmentation of videos to result rows by split and length."""
+    cell = [F.lit("t2").alias("task"), F.when(F.col("user_id") % 3 == 0, "test").otherwise("train").alias("split")]
+    gt = stored(predicted(runs(spark, sf)).select(*cell, *KEYS, "run_id", "label", "t0", "t1", "p0", "p1"), "segments")
+    pred = gt.filter("run_id % 3 <> 0").select("task", "split", *KEYS, "run_id", "label", F.col("p0").alias("t0"), F.col("p1").alias("t1"))
+    dense = frames(spark, sf).select(*cell, *KEYS, F.col("label").alias("gt"), F.expr(PRED).alias("pred"))
+    x = ev.segmentation_family(dense, pred, gt.drop("p0", "p1"), tl.durations(gt, ["task", "split", *KEYS]), ["task", "split"], KEYS)
+    out = report.flatten(ev.family_cells([x]).withColumn("provenance", F.create_map().cast("map<string,string>")))
+    names = {"edit": "edit", "frame_acc": "frame_acc", "segF1@10": "f10", "segF1@50": "f50", "n_items": "n_items"}
+    return out.select("task", "split", "len_bucket", *[F.round(F.col(f"`{a}`"), 6).alias(b) for a, b in names.items()])

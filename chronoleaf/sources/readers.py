@@ -219,11 +219,13 @@ def frames_in_window(index: DataFrame, t0: float, t1: float) -> DataFrame:
 
 
 def synthetic(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Six fixed videos (18 to 152 minutes) with five phases, ten steps and six actions each: (videos, timeline).
+    """Six fixed videos (15 to 180 minutes) with five phases, ten steps and six actions each: (videos, timeline).
 
     Phase lengths are shares drawn by hash around equal parts, so the table is the same everywhere.
     """
-    rows = [("sv_short_0", 1080.0, "train"), ("sv_short_1", 1980.0, "val"), ("sv_mid_0", 3300.0, "train"), ("sv_mid_1", 5400.0, "test"), ("sv_long_0", 7680.0, "val"), ("sv_long_1", 9120.0, "test")]
+    # lengths on both sides of every length bucket's edges
+    lengths = (("stand-in-1", 900.0, "train"), ("stand-in-2", 2100.0, "val"), ("stand-in-3", 4000.0, "train"), ("stand-in-4", 6600.0, "test"), ("stand-in-5", 7500.0, "val"), ("stand-in-6", 10_800.0, "test"))
+    rows = list(lengths)
     videos = spark.createDataFrame([("synthetic", v, d, "simulated", None, s) for v, d, s in rows], "dataset string, video_id string, duration_s double, domain string, center string, split string")
     share = lambda p: 0.8 + 0.4 * F.pmod(F.xxhash64("video_id", p), F.lit(1000)) / 999.0
     w = videos.select("dataset", "video_id", "duration_s", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("p")).withColumn("w", share(F.col("p")))
