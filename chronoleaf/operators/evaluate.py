@@ -29,9 +29,8 @@ def segment_bundle(dense: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[
     codes = sides.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).agg(F.array_sort(F.collect_list("label")).alias("_all"))
     coded = sides.join(F.broadcast(codes)).withColumn("code", (F.array_position("_all", F.col("label")) - 1).cast("int"))
     out = m.edit_score(coded, keys, "pred", "gt").join(m.frame_accuracy(dense, keys, background=background), keys, "left")
-    for o in overlaps:
-        out = out.join(m.segmental_f1(pred, gt, keys, o).withColumnRenamed("f1", f"segF1@{int(o * 100)}"), keys, "left")
-    return out
+    f1s = m.segmental_f1s(pred, gt, keys, overlaps).withColumnsRenamed({f"f1_{i}": f"segF1@{int(o * 100)}" for i, o in enumerate(overlaps)})
+    return out.join(f1s, keys, "left")
 
 
 def detection_bundle(records: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -25,7 +25,7 @@ def closure(edges: DataFrame) -> DataFrame:
     ``closure_by_doubling``.
     """
     x = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
-    return edges.sparkSession.sql(CLOSURE, edges=x)
+    return edges.sparkSession.sql(CLOSURE, edges=x.coalesce(1))
 
 
 def closure_by_doubling(edges: DataFrame) -> DataFrame:
@@ -66,19 +66,21 @@ def violations(timeline: DataFrame, reach: DataFrame, keys: list[str]) -> DataFr
 
 
 def violation_counts(timeline: DataFrame, reach: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_violations, from counts per label, without listing pairs: 0 for videos in order."""
+    """keys, n_violations, from counts per label, without listing pairs: 0 for videos in order.
+
+    A run marks each rule that its label is in, as the later or the earlier side; rules are a row for each label, which
+    is broadcast as the graph is a parameter. All windows and the sum share the one exchange by ``keys``.
+    """
     order = Window.partitionBy(*keys).orderBy("t0", "run_id")
-    runs = timeline.select(*keys, "label", F.row_number().over(order).alias("pos"))
+    runs = timeline.select(*keys, F.col("label").alias("_l"), F.row_number().over(order).alias("pos"))
     rule = reach.select(F.col("a").alias("label"), F.col("b").alias("before")).distinct()
-    marks = runs.join(rule, "label").select(*keys, "label", "before", "pos", F.lit(1).alias("is_late")).union(
-        runs.withColumnRenamed("label", "before").join(rule, "before").select(*keys, "label", "before", "pos", F.lit(0).alias("is_late"))
-    )
+    side = lambda own, late: rule.select(F.col(own).alias("_own"), F.struct("label", "before", F.lit(late).alias("is_late")).alias("_m"))
+    roles = side("label", 1).union(side("before", 0)).groupBy("_own").agg(F.collect_list("_m").alias("_ms"))
+    marks = runs.join(F.broadcast(roles), F.col("_l") == F.col("_own"), "left").select(*keys, "pos", F.explode_outer("_ms").alias("_m")).select(*keys, "pos", "_m.*")
     seen = Window.partitionBy(*keys, "label", "before").orderBy("pos", "is_late").rowsBetween(Window.unboundedPreceding, -1)
     early = F.coalesce(F.sum(F.when(F.col("is_late") == 0, 1).otherwise(0)).over(seen), F.lit(0))
-    own = F.when((F.col("label") == F.col("before")), 0).otherwise(early)
-    counted = marks.withColumn("_n", F.when(F.col("is_late") == 1, own).otherwise(0)).groupBy(*keys).agg(F.sum("_n").cast("long").alias("n_violations"))
-    every = timeline.select(*keys).distinct()
-    return every.join(counted, keys, "left").withColumn("n_violations", F.coalesce("n_violations", F.lit(0)).cast("long"))
+    counts = F.when((F.col("is_late") == 1) & (F.col("label") != F.col("before")), early).otherwise(0)
+    return marks.withColumn("_n", counts).groupBy(*keys).agg(F.sum("_n").cast("long").alias("n_violations"))
 
 
 def forbidden_next(emitted: DataFrame, reach: DataFrame, keys: list[str]) -> DataFrame:

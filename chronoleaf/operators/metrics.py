@@ -146,21 +146,35 @@ def edit_score(runs: DataFrame, keys: list[str], pred: str, gt: str) -> DataFram
     return x.mapInArrow(score, f"{kinds}, edit double")
 
 
-def segmental_counts(pred: DataFrame, gt: DataFrame, keys: list[str], overlap: float) -> DataFrame:
-    """tp, fp, fn per key: each prediction claims its best true segment of the same label, and a segment counts once."""
+def segmental_counts_at(pred: DataFrame, gt: DataFrame, keys: list[str], overlaps: Sequence[float]) -> DataFrame:
+    """keys, np, ng (segments of either side) and tp_0, tp_1, ... of each overlap, from one join of predictions with truth.
+
+    Each prediction claims its best true segment of the same label, and a segment counts once.
+    """
     p = pred.select(*keys, "label", F.col("run_id").alias("p"), F.col("t0").alias("p0"), F.col("t1").alias("p1"))
     g = gt.select(*keys, "label", F.col("run_id").alias("g"), F.col("t0").alias("g0"), F.col("t1").alias("g1"))
     pairs = p.join(g, [*keys, "label"]).withColumn("iou", hull_iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1"))).filter("iou > 0")
     best = pairs.groupBy(*keys, "p").agg(F.max(F.struct("iou", (-F.col("g")).alias("o"))).alias("b"))
-    hits = best.filter(F.col("b.iou") >= overlap).groupBy(*keys).agg(F.count_distinct("b.o").alias("tp"))
-    n = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("np")).join(gt.groupBy(*keys).agg(F.count(F.lit(1)).alias("ng")), keys, "full").join(hits, keys, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return n.select(*keys, z("tp").alias("tp"), (z("np") - z("tp")).alias("fp"), (z("ng") - z("tp")).alias("fn"))
+    hits = best.groupBy(*keys).agg(*[F.size(F.collect_set(F.when(F.col("b.iou") >= o, F.col("b.o")))).alias(f"tp_{i}") for i, o in enumerate(overlaps)])
+    sides = pred.select(*keys, F.lit(1).alias("_p"), F.lit(0).alias("_g")).union(gt.select(*keys, F.lit(0), F.lit(1)))
+    n = sides.groupBy(*keys).agg(F.sum("_p").alias("np"), F.sum("_g").alias("ng")).join(hits, keys, "left")
+    return n.select(*keys, "np", "ng", *[F.coalesce(F.col(f"tp_{i}"), F.lit(0)).cast("long").alias(f"tp_{i}") for i in range(len(overlaps))])
+
+
+def segmental_counts(pred: DataFrame, gt: DataFrame, keys: list[str], overlap: float) -> DataFrame:
+    """tp, fp, fn per key."""
+    n = segmental_counts_at(pred, gt, keys, [overlap])
+    return n.select(*keys, F.col("tp_0").alias("tp"), (F.col("np") - F.col("tp_0")).alias("fp"), (F.col("ng") - F.col("tp_0")).alias("fn"))
+
+
+def segmental_f1s(pred: DataFrame, gt: DataFrame, keys: list[str], overlaps: Sequence[float]) -> DataFrame:
+    """keys and f1_0, f1_1, ... of each overlap, 0 to 100."""
+    n = segmental_counts_at(pred, gt, keys, overlaps)
+    return n.select(*keys, *[F.coalesce(F.try_divide(200.0 * F.col(f"tp_{i}"), F.col("np") + F.col("ng")), F.lit(0.0)).alias(f"f1_{i}") for i in range(len(overlaps))])
 
 
 def segmental_f1(pred: DataFrame, gt: DataFrame, keys: list[str], overlap: float) -> DataFrame:
-    c = segmental_counts(pred, gt, keys, overlap)
-    return c.select(*keys, F.coalesce(F.try_divide(200.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"))
+    return segmental_f1s(pred, gt, keys, [overlap]).withColumnRenamed("f1_0", "f1")
 
 
 # remaining duration

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoleaf.functions import answers as an
@@ -103,9 +103,9 @@ x AS (SELECT user_id, session, run_id, {KIND} AS kind, run_id % 10 = 0 AS ab, {S
 y AS (SELECT *, CASE WHEN kind <> 'bad' THEN 1e0 ELSE 0e0 END AS r_format, CASE WHEN ab THEN CASE WHEN kind = 'abstain' THEN 1e0 ELSE -1e0 END WHEN kind = 'abstain' THEN -0.2e0 WHEN kind = 'span' THEN shaped ELSE 0e0 END AS r_tiou, CASE WHEN ab THEN CASE WHEN kind = 'abstain' THEN 1e0 ELSE -1e0 END ELSE 0e0 END AS r_abstain FROM x)
 SELECT user_id, session, run_id, kind, round(r_format + r_tiou + 0.5e0 * r_order + 0.5e0 * r_abstain, 6) AS reward, round(r_tiou, 6) AS r_tiou, round(r_order, 6) AS r_order, r_abstain FROM y""")
 def reward_terms(spark: SparkSession, sf: str) -> DataFrame:
-    x = stored(shown(spark, sf), "shown")
+    x = shown(spark, sf)  # its windows, the counts and the durations share one exchange by session
     n = g.violation_counts(x.select(*KEYS, "run_id", "label", "t0", "t1"), g.closure(edges(spark)), KEYS)
-    x = x.join(tl.durations(x, KEYS), KEYS).join(n, KEYS)
+    x = x.withColumn("duration_s", F.max("t1").over(Window.partitionBy(*KEYS))).join(n, KEYS)
     r = m.reward(an.parse_answer(F.col("text")), F.array(F.struct("t0", "t1")), F.col("run_id") % 10 == 0, F.col("duration_s"), F.col("n_violations"))
     x = x.select(*KEYS, "run_id", r.alias("r"))
     return x.select(*KEYS, "run_id", F.col("r.kind").alias("kind"), F.round("r.reward", 6).alias("reward"), F.round("r.r_tiou", 6).alias("r_tiou"), F.round("r.r_order", 6).alias("r_order"), F.col("r.r_abstain").alias("r_abstain"))
