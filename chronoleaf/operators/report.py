@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The result table's columns in order.
-RESULT_COLUMNS = (
+RESULT_COLUMNS = [
     "backend",
     "method",
     "regime",
@@ -59,7 +59,7 @@ RESULT_COLUMNS = (
     "cfg_hash",
     "seed",
     "timestamp",
-)
+]
 DESCRIPTORS = RESULT_COLUMNS[:11]
 ALIASES = {"rsd_mae_min": "mae_min", "rsd_within5": "within5", "n_items": "n"}
 EFFICIENCY = RESULT_COLUMNS[RESULT_COLUMNS.index("n_frames") : RESULT_COLUMNS.index("n_items")]
