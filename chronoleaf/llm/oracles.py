@@ -28,6 +28,24 @@ s AS (SELECT doc_id, {counts}, {text} FILTER (WHERE o < {base}) AS base, {text}
 SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}' for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
 
 
+def values() -> str:
+    """CTEs v (counts and rule values of each document) and good (doc_id)."""
+    q = quality_rules
+    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM d, generate_series(1, len(w) - 4) AS g(i) WHERE len(w) >= 6),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM x), z AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM y, generate_series(0, 4) AS g(j) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+n AS (SELECT d.doc_id, CASE WHEN lang IN ({', '.join(map(quoted, q.STRATA))}) THEN lang ELSE 'other' END AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+ len(lines) AS n_lines, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits FROM d JOIN l USING (doc_id) LEFT JOIN z USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS symbol_rate, coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0) AS upper_rate, coalesce(n_bangs::DOUBLE / nullif(n_words, 0), 0) AS bang_rate, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_rate, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_rate, coalesce(n_digits::DOUBLE / nullif(word_chars, 0), 0) AS digit_rate FROM n),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1)"""
+
+
+def binomial(p: float) -> str:
+    """P(at most k of n), of columns k and n."""
+    return f"CASE WHEN k >= n * {p!r}::DOUBLE THEN 1e0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE))) FROM generate_series(0, k::BIGINT) AS g(j)) END"
+
+
 def quality(joint: bool = False) -> str:
     """joint: one chain per stratum, whose steps lower all cutoffs and count the good documents that any rule drops."""
     q = quality_rules
@@ -37,21 +55,31 @@ def quality(joint: bool = False) -> str:
     level = q.DELTA / ((len(q.STRATA) + 1) * (1 if joint else len(q.RULES)))
     if joint:
         melted = f"SELECT doc_id, stratum, base_failed, 0 AS rule, greatest({', '.join(q.RULES)}) AS v FROM v"
-    return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
-x AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM d, generate_series(1, len(w) - 4) AS g(i) WHERE len(w) >= 6),
-y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM x), z AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM y, generate_series(0, 4) AS g(j) WHERE c > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
-n AS (SELECT d.doc_id, CASE WHEN lang IN ({', '.join(map(quoted, q.STRATA))}) THEN lang ELSE 'other' END AS stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
- len(lines) AS n_lines, length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits FROM d JOIN l USING (doc_id) LEFT JOIN z USING (doc_id)),
-v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS symbol_rate, coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0) AS upper_rate, coalesce(n_bangs::DOUBLE / nullif(n_words, 0), 0) AS bang_rate, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_rate, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_rate, coalesce(n_digits::DOUBLE / nullif(word_chars, 0), 0) AS digit_rate FROM n),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1), m AS ({melted}),
+    return f"""{values()}, m AS ({melted}),
 k AS (SELECT stratum, rule, level, cutoff, count(*) AS n, count_if(NOT base_failed AND v > cutoff) AS k FROM m JOIN good USING (doc_id), {cuts} GROUP BY ALL),
-p AS (SELECT stratum, rule, level, cutoff, CASE WHEN k >= n * {p!r}::DOUBLE THEN 1e0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE))) FROM generate_series(0, k::BIGINT) AS g(j)) END AS p FROM k),
+p AS (SELECT stratum, rule, level, cutoff, {binomial(p)} AS p FROM k),
 t AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY level ROWS UNBOUNDED PRECEDING) AS worst FROM p), c AS (SELECT stratum, rule, min(cutoff) AS cut FROM t WHERE worst <= {level!r}::DOUBLE GROUP BY ALL),
 dropped AS (SELECT DISTINCT doc_id FROM m JOIN c USING (stratum, rule) WHERE v > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM dropped) AS kept FROM v"""
 
 
+def quality_scaled() -> str:
+    """Scales from an eighth of the good documents, chains of multiples of them tested on the others."""
+    q = quality_rules
+    melted = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, {r} AS x FROM h WHERE tuning AND NOT base_failed" for i, r in enumerate(q.RULES))
+    grid = ", ".join(f"({c}::DOUBLE)" for c in q.GRID)
+    steps = ", ".join(f"({j}, {m}::DOUBLE)" for j, m in enumerate(q.STEPS))
+    over = "(" + " OR ".join(f"{r} > step * u{i}" for i, r in enumerate(q.RULES)) + ")"
+    level = q.DELTA / (len(q.STRATA) + 1)
+    return f"""{values()}, h AS (SELECT v.*, left(md5('tune:' || doc_id), 1) < '{q.TUNING}' AS tuning FROM v JOIN good USING (doc_id)), m AS ({melted}),
+a AS (SELECT stratum, rule, c, count(*) AS n, count_if(x > c) AS k FROM m, (VALUES {grid}) AS g(c) GROUP BY ALL), u AS (SELECT stratum, rule, coalesce(min(c) FILTER (WHERE {q.RARE} * k <= n), {q.GRID[0]}::DOUBLE) AS unit FROM a GROUP BY ALL),
+w AS (SELECT stratum, {', '.join(f'max(unit) FILTER (WHERE rule = {i}) AS u{i}' for i in range(len(q.RULES)))} FROM u GROUP BY 1),
+k AS (SELECT stratum, level, step, count(*) AS n, count_if(NOT base_failed AND {over}) AS k FROM h JOIN w USING (stratum), (VALUES {steps}) AS s(level, step) WHERE NOT tuning GROUP BY ALL),
+t AS (SELECT *, max(p) OVER (PARTITION BY stratum ORDER BY level ROWS UNBOUNDED PRECEDING) AS worst FROM (SELECT stratum, level, step, {binomial(q.ALPHA)} AS p FROM k)),
+c AS (SELECT stratum, min(step) AS step FROM t WHERE worst <= {level!r}::DOUBLE GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({over}, false) AS kept FROM v LEFT JOIN (SELECT * FROM c JOIN w USING (stratum)) AS cw USING (stratum)"""
+
+
 def mix() -> str:
     before = "OVER (ORDER BY source_size::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     cap = mixing.MAX_RATE
@@ -106,4 +134,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN b ON i.conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan(), "secret_rescan": secret_rescan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "op7_source_mixing": mix(), "op13_conversation_repair": conversation_repair()}
+    return {"op1_secret_scan": secret_scan(), "secret_rescan": secret_rescan(), "op4_quality_rules": quality(), "quality_rules_joint": quality(True), "quality_rules_scaled": quality_scaled(), "op7_source_mixing": mix(), "op13_conversation_repair": conversation_repair()}

@@ -6,9 +6,12 @@ up to which every exact binomial test rejects "this cutoff drops more than alpha
 Testing a chain in a fixed order needs no correction within it; between chains (strata x rules) the level
 is divided by their number (Bonferroni), and alpha by the number of rules, so that with probability
 1 - DELTA, per stratum, all rules together drop at most ALPHA of the good documents. ``judge``, whose results its
-SQL gives, does that unless told to be ``joint``; ``keep_good`` always is: it tests all rules together in one chain per
-stratum, which certifies with about 150 labelled good documents instead of 1,280, with the same guarantee. A stratum with too few
-labels certifies nothing and only the base conditions hold there.
+SQL gives, does that unless given another function that finds cutoffs. ``joint_thresholds`` tests all rules together in one chain
+per stratum, which certifies with about 150 labelled good documents instead of 1,280, with the same guarantee, but with one cutoff
+for rules of six scales. ``scaled_thresholds``, which ``keep_good`` takes, gives each rule a scale of its own: an eighth of the good
+documents, drawn by hash, says what value of a rule is unusual in the stratum; a step of the chain is a multiple of that for all
+rules; the others test the chain. Scales do not depend on the documents that certify, so the tests stay exact. It needs about 175
+labelled good documents. A stratum with too few labels certifies nothing and only the base conditions hold there.
 
 Defined cases: a null or empty text has no words and fails the base conditions; a null or unlisted lang is
 in the stratum "other"; a doc_id that is labelled more than once counts as good only if all its labels are;
@@ -32,6 +35,12 @@ ALPHA, DELTA = 0.03, 0.05
 #: Rules: a value above the cutoff is worse. Cutoffs are tested in this order.
 RULES = ("symbol_rate", "upper_rate", "bang_rate", "dup_line_rate", "repeat_rate", "digit_rate")
 CUTOFFS = (3.0, 2.0, 1.4, 1.0, 0.8, 0.6, 0.45, 0.35, 0.25, 0.18, 0.12, 0.08)
+#: A rule's scale is the least of these that at most one in RARE of the tuning documents exceeds; steps are multiples of the scale.
+GRID = tuple(round(3 / 2 ** (i / 2), 6) for i in range(18))
+RARE, STEPS = 50, tuple(round(64 / 2 ** (i / 4), 6) for i in range(29))
+#: Good documents whose hash starts with a digit below this one set the scales: an eighth, as a scale needs
+#: fewer documents than a small stratum's first exact test.
+TUNING = "2"
 #: Terms of a binomial sum, in standard deviations: what is left out is under exp(-9**2 / 2) of it, less than rounding.
 DEVIATIONS = 9
 
@@ -144,10 +153,15 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), first * summed["sum"]))
 
 
+def good_documents(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``feats`` all of whose labels are good."""
+    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    return feats.join(good, "doc_id")
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with the certified cutoff of each rule, null where none is. At most len(STRATA) + 1 rows."""
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = feats.join(good, "doc_id")
+    held = good_documents(feats, labels)
     counts = [F.count_if(~F.col("base_failed") & (F.col(r) > c)).alias(f"k_{i}_{j}") for i, r in enumerate(RULES) for j, c in enumerate(CUTOFFS)]
     per = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
     cells = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("level"), F.lit(c).alias("cutoff"), F.col(f"k_{i}_{j}").alias("k")) for i in range(len(RULES)) for j, c in enumerate(CUTOFFS)])
@@ -163,8 +177,7 @@ def joint_thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     """As ``thresholds``, by one chain per stratum: a step lowers the cutoffs of all rules, and its exact test counts the
     good documents that any rule drops, so that neither alpha nor the level is divided by the number of rules.
     """
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = feats.join(good, "doc_id")
+    held = good_documents(feats, labels)
     worst = F.greatest(*[F.col(r) for r in RULES])
     per = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.col("base_failed") & (worst > c)).alias(f"k_{j}") for j, c in enumerate(CUTOFFS)])
     steps = F.array(*[F.struct(F.lit(j).alias("level"), F.lit(c).alias("cutoff"), F.col(f"k_{j}").alias("k")) for j, c in enumerate(CUTOFFS)])
@@ -175,6 +188,43 @@ def joint_thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     return passed.groupBy("stratum").agg(*[F.min("cutoff").alias(f"cut_{r}") for r in RULES])
 
 
+def scales(tuning: DataFrame) -> DataFrame:
+    """One row per stratum with the scale of each rule, from counts over GRID; base failures say nothing about scales."""
+    above = [F.count_if(F.col(r) > c).alias(f"k_{i}_{j}") for i, r in enumerate(RULES) for j, c in enumerate(GRID)]
+    per = tuning.filter(~F.col("base_failed")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above)
+
+    def scale(i: int) -> Column:
+        cells = F.array(*[F.when(RARE * F.col(f"k_{i}_{j}") <= F.col("n"), F.lit(c)) for j, c in enumerate(GRID)])
+        return F.coalesce(F.array_min(cells), F.lit(GRID[0]))
+
+    return per.select("stratum", *[scale(i).alias(f"scale_{r}") for i, r in enumerate(RULES)])
+
+
+def scaled_thresholds(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """As ``joint_thresholds``, but a step of a chain is a multiple of each rule's own scale in the stratum.
+
+    Scales come from an eighth of the good documents and tests from the others, so neither knows the other's.
+    """
+    held = good_documents(feats, labels).withColumn("tuning", F.substring(F.md5(F.concat(F.lit("tune:"), F.col("doc_id").cast("string")).cast("binary")), 1, 1) < TUNING)
+    units = scales(held.filter("tuning"))
+    x = held.filter("not tuning").join(F.broadcast(units), "stratum")
+
+    def over(step: float) -> Column:
+        out = F.lit(False)
+        for r in RULES:
+            out = out | (F.col(r) > F.lit(step) * F.col(f"scale_{r}"))
+        return out
+
+    names = [f"scale_{r}" for r in RULES]
+    per = x.groupBy("stratum", *names).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.col("base_failed") & over(s)).alias(f"k_{j}") for j, s in enumerate(STEPS)])
+    steps = F.array(*[F.struct(F.lit(j).alias("level"), F.lit(s).alias("step"), F.col(f"k_{j}").alias("k")) for j, s in enumerate(STEPS)])
+    tests = per.select("stratum", *names, "n", F.explode(steps).alias("t")).select("stratum", *names, "n", "t.*")
+    tests = tests.withColumn("p", binomial_at_most(F.col("k"), F.col("n"), alpha))
+    chain = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = tests.withColumn("worst", F.max("p").over(chain)).filter(F.col("worst") <= delta / (len(STRATA) + 1))
+    return passed.groupBy("stratum").agg(*[F.min(F.col("step") * F.col(f"scale_{r}")).alias(f"cut_{r}") for r in RULES])
+
+
 def verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     """``feats`` with kept. ``cuts`` has a row per stratum at most, so it is broadcast."""
     x = feats.join(F.broadcast(cuts), "stratum", "left")
@@ -184,17 +234,17 @@ def verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
     return x.withColumn("kept", ~F.col("base_failed") & ~dropped)
 
 
-def judge(docs: DataFrame, labels: DataFrame, joint: bool = False) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, find: Callable[[DataFrame, DataFrame], DataFrame] = thresholds) -> DataFrame:
     """All values and verdicts; texts are read once, their values are written and used for both passes.
 
-    joint: by ``joint_thresholds``.
+    find: how cutoffs are found, ``thresholds``, ``joint_thresholds`` or ``scaled_thresholds``.
     """
     feats = written(features(docs), "quality-values")
-    return verdict(feats, (joint_thresholds if joint else thresholds)(feats, labels))
+    return verdict(feats, find(feats, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept by ``joint_thresholds``, with all their columns."""
+    """The rows of ``docs`` that are kept by ``scaled_thresholds``, with all their columns."""
     rows = written(features(docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text"), F.col("row")), "quality-rows")
-    cuts = written(joint_thresholds(rows.drop("row"), labels), "quality-cutoffs")
+    cuts = written(scaled_thresholds(rows.drop("row"), labels), "quality-cutoffs")
     return verdict(rows, cuts).filter("kept").select("row.*")

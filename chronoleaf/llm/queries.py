@@ -39,8 +39,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4's operator with one joint chain per stratum, as the pipeline uses it."""
-    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=True).select(*QUALITY)
+    """op4's operator with one joint chain per stratum."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_rules.joint_thresholds).select(*QUALITY)
+
+
+def quality_rules_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator with one joint chain per stratum and a scale per rule, as the pipeline uses it."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_rules.scaled_thresholds).select(*QUALITY)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text, op11_sharding, op12_whitening, op13_conversation_repair, quality_rules_joint, secret_rescan)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_media_columns, op3_quality_gam, op4_quality_rules, op5_token_files, op6_suffix_dedup, op7_source_mixing, op8_packing, op9_near_duplicates, op10_main_text, op11_sharding, op12_whitening, op13_conversation_repair, quality_rules_joint, quality_rules_scaled, secret_rescan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables, with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 import shutil
@@ -847,8 +848,8 @@ def test_joint_chain_certifies_small_strata(spark):
     assert few.count() == 0  # 100 good documents certify nothing
 
 
-@pytest.mark.parametrize("joint, n", [(True, 700), (False, 4000)])
-def test_certified_cutoffs_hold_on_other_documents(spark, joint, n):
+@pytest.mark.parametrize("find, n", [(quality_rules.scaled_thresholds, 700), (quality_rules.joint_thresholds, 700), (quality_rules.thresholds, 4000)])
+def test_certified_cutoffs_hold_on_other_documents(spark, find, n):
     """Cutoffs in three strata from one half of the good documents drop at most ALPHA of the other half, and most of the bad ones."""
     rnd = random.Random(11)
     data = []
@@ -861,7 +862,7 @@ def test_certified_cutoffs_hold_on_other_documents(spark, joint, n):
                 data.append((len(data), stratum, False, good, *values))
     feats = spark.createDataFrame(data, "doc_id long, stratum string, base_failed boolean, good boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
     labels = feats.filter("doc_id % 2 = 0").selectExpr("doc_id", "int(good) AS quality")
-    cuts = (quality_rules.joint_thresholds if joint else quality_rules.thresholds)(feats, labels)
+    cuts = find(feats, labels)
     assert cuts.count() == 3
     out = quality_rules.verdict(feats, cuts).filter("doc_id % 2 = 1").groupBy("stratum", "good").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     assert len(out) == 6
@@ -875,3 +876,46 @@ def test_pipeline_keeps_by_the_joint_chain(spark):
     docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.range(220).selectExpr("id AS doc_id", "int(id < 200) AS quality")
     assert {r.doc_id for r in quality_rules.keep_good(docs, labels).select("doc_id").collect()} == set(range(200))
+
+
+def cuts_by_hand(data, labels):
+    """stratum -> cutoffs, of rows (doc_id, stratum, base_failed, values) and doc_id -> whether it is good."""
+    out = {}
+    for stratum in {d[1] for d in data}:
+        good = [d for d in data if d[1] == stratum and labels.get(d[0])]
+        drawn = [hashlib.md5(f"tune:{d[0]}".encode()).hexdigest()[0] < quality_rules.TUNING for d in good]
+        tuning, rest = [d for d, t in zip(good, drawn) if t and not d[2]], [d for d, t in zip(good, drawn) if not t]
+        if not tuning:
+            continue
+        scale = [min([c for c in quality_rules.GRID if 50 * sum(d[3 + i] > c for d in tuning) <= len(tuning)] or [quality_rules.GRID[0]]) for i in range(6)]
+        for step in quality_rules.STEPS:
+            k, n = sum(not d[2] and any(v > step * u for v, u in zip(d[3:], scale)) for d in rest), len(rest)
+            if sum(math.comb(n, j) * 0.03**j * 0.97 ** (n - j) for j in range(k + 1)) > 0.01:
+                break
+            out[stratum] = [step * u for u in scale]
+    return out
+
+
+def test_scaled_cutoffs_equal_a_plain_version(spark):
+    """Rules of scales from 0.001 to 1, strata of many and of few labels, base failures, documents labelled twice or not at all."""
+    rnd = random.Random(23)
+    spread, data, labels = [0.0005, 0.01, 0.05, 0.1, 0.002, 0.4], [], []
+    for stratum, n in (("en", 900), ("de", 400), ("fr", 250), ("es", 60), ("other", 5)):
+        for _ in range(n):
+            values = [rnd.expovariate(1 / s) if rnd.random() < 0.7 else 0.0 for s in spread]
+            good = rnd.random() < 0.85
+            if not good:
+                values[rnd.randrange(6)] *= 30
+            data.append((len(data), stratum, rnd.random() < 0.05, *values))
+            if rnd.random() < 0.95:
+                labels.append((len(data) - 1, int(good)))
+    labels += [(0, 0), (None, 1), (1, None), (10**6, 1)]
+    feats = spark.createDataFrame(data, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    cuts = quality_rules.scaled_thresholds(feats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.stratum: [r[f"cut_{x}"] for x in quality_rules.RULES] for r in cuts.collect()}
+    of = {}
+    for i, q in labels:
+        if q is not None:
+            of[i] = of.get(i, True) and q == 1
+    assert got == cuts_by_hand(data, of) and {"en", "de", "fr"} <= set(got) and "es" not in got
+    assert quality_rules.scaled_thresholds(feats.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0

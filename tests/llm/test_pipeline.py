@@ -94,4 +94,4 @@ def test_stages(spark, sf):
 
 
 def test_queries_cover_all_operators():
-    assert {int(m[1]) for n in queries.queries() if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in queries.queries() if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
