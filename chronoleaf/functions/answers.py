@@ -27,6 +27,11 @@ def format_ts(seconds: Column, fmt: str = "seconds") -> Column:
     return F.format_string("%.1f", F.round(s, 1))
 
 
+def whole(x: Column) -> Column:
+    """A number as text without decimals, halves to the even neighbour."""
+    return F.bround(x.cast("double"), 0).cast("long").cast("string")
+
+
 def parse_ts(text: Column) -> Column:
     """Seconds of "12.5", "12.5s", "06:52" or "1:06:52"; null if it is none of them."""
     bare = F.trim(F.regexp_replace(F.trim(text), "s+$", ""))
@@ -36,7 +41,7 @@ def parse_ts(text: Column) -> Column:
 
 def frame_header(times: Column, duration_s: Column) -> Column:
     shown = F.array_join(F.transform(times, lambda t: format_ts(t)), ", ")
-    return F.concat(F.lit("Frames sampled at t = ["), shown, F.lit("] s of a "), F.format_string("%.0f", duration_s), F.lit(" s procedure."))
+    return F.concat(F.lit("Frames sampled at t = ["), shown, F.lit("] s of a "), whole(duration_s), F.lit(" s procedure."))
 
 
 def user_prompt(times: Column, duration_s: Column, request: Column) -> Column:
@@ -199,5 +204,5 @@ def judge_prompt(rubric: str, question: Column, gold: Column, pred: Column) -> C
 
 
 def summary_prompt(rubric: str, timeline: Column, pred: Column) -> Column:
-    one = lambda s: F.concat(s["label"], F.lit(" ["), F.format_string("%.0f", s["t0"]), F.lit("-"), F.format_string("%.0f", s["t1"]), F.lit("s]"))
+    one = lambda s: F.concat(s["label"], F.lit(" ["), whole(s["t0"]), F.lit("-"), whole(s["t1"]), F.lit("s]"))
     return F.concat(F.lit(f"{rubric}\n\nTIMELINE: "), F.array_join(F.transform(timeline, one), "; "), F.lit("\nSUMMARY: "), F.trim(pred), F.lit("\n\nVERDICT:"))

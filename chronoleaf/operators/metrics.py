@@ -268,6 +268,15 @@ def judge_report(records: DataFrame, verdict: str = "verdict", words: tuple = tx
     return records.agg(F.avg(tx.verdict_score(F.col(verdict), words)).alias("judge"), share("correct").alias("correct"), share("partial").alias("partial"), share("wrong", "incorrect").alias("wrong"), F.count(F.lit(1)).alias("n"))
 
 
+def verdict_shares(records: DataFrame, keys: list[str], words: tuple = tx.VERDICTS, default: str = "wrong", verdict: str = "verdict") -> DataFrame:
+    """keys, verdict, n, share of the key's records, and judge, the mean score of the key."""
+    v, score = tx.verdict(F.col(verdict), words, default), tx.verdict_score(F.col(verdict), words, default)
+    per = records.select(*keys, v.alias("verdict"), score.alias("_s")).groupBy(*keys, "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("_s").alias("_s"))
+    every = Window.partitionBy(*keys)
+    total = F.sum("n").over(every)
+    return per.select(*keys, "verdict", "n", (F.col("n") / total).alias("share"), (F.sum("_s").over(every) / total).alias("judge"))
+
+
 # calibration
 
 

@@ -149,7 +149,7 @@ def summary_items(videos: DataFrame, timeline: DataFrame, seed: int = 0) -> Data
     row = F.struct("run_id", "label", F.round(F.greatest("t0", "w0"), 1).alias("t0"), F.round(F.least("t1", "w1"), 1).alias("t1"))
     x = x.groupBy(*KEYS, "w0", "w1").agg(F.array_sort(F.collect_list(row)).alias("_s")).join(videos, KEYS)
     line = F.transform("_s", lambda s: F.struct(s["label"].alias("label"), s["t0"].alias("t0"), s["t1"].alias("t1")))
-    text = F.concat(F.array_join(F.transform(line, lambda s: F.format_string("%s (%.0f-%.0f s)", s["label"], s["t0"], s["t1"])), "; "), F.lit("."))
+    text = F.concat(F.array_join(F.transform(line, lambda s: F.concat(s["label"], F.lit(" ("), an.whole(s["t0"]), F.lit("-"), an.whole(s["t1"]), F.lit(" s)"))), "; "), F.lit("."))
     win = (F.col("w0"), F.col("w1"))
     return item(x, "t6", "interval", an.user_summary(grid(win), F.col("duration_s"), *win), an.answer_text(text), target(text=text, timeline=line), None, win)
 

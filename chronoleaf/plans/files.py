@@ -116,13 +116,15 @@ COCO_RUNS = runs_sql("SELECT video_id, frame AS k, arg_min(code, event_id) AS la
 @query("WITH n AS (SELECT 'v' || (user_id % 16) AS video_id, event_id // 2 AS frame, event_id, CASE WHEN event_id % 5 <> 0 THEN (event_id // 30) % 4 END AS code FROM events)" + COCO_RUNS + " SELECT video_id, 'phase' AS kind, run_id, label::INT AS label_id, label::VARCHAR AS label, t0::DOUBLE AS t0, t1::DOUBLE AS t1 FROM r")
 def source_coco_json(spark: SparkSession, sf: str) -> DataFrame:
     """Lists of images and of annotations in a file per video: two events are a frame, one in five has no phase."""
+    return timeline(readers.reader("coco_json")(spark, as_json(coco_files(spark, sf), scratch(spark, "coco"))))
+
+
+def coco_files(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).select("video", "event_id", F.floor(F.col("event_id") / 2).alias("frame"), F.when(F.col("event_id") % 5 != 0, F.floor(F.col("event_id") / 30) % 4).cast("int").alias("phases"))
     image = F.struct(F.col("frame").alias("id"), F.col("video").alias("video_name"), F.col("frame").cast("int").alias("frame_num"), F.lit(4).alias("width"), F.lit(3).alias("height"))
     note = F.struct("event_id", F.struct(F.col("frame").alias("image_id"), "phases", F.lit(None).cast("int").alias("steps")).alias("a"))
     rows = e.groupBy("video").agg(F.collect_set(image).alias("images"), F.transform(F.array_sort(F.collect_list(note)), lambda n: n["a"]).alias("annotations"))
-    path = scratch(spark, "coco")
-    rows.repartition("video").write.partitionBy("video").json(path)
-    return timeline(readers.reader("coco_json")(spark, path))
+    return rows
 
 
 @query("WITH o AS (SELECT 'SBP' || (o_custkey % 10) AS video_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS run_id, o_orderpriority AS label, (o_orderkey % 5)::INT AS code FROM orders) SELECT video_id, 'phase' AS kind, run_id, code + 1 AS label_id, label, round(o_orderkey * 250 / 1e3, 6) AS t0, round((o_orderkey * 250 + 700) / 1e3, 6) AS t1 FROM o UNION ALL SELECT video_id, 'step', run_id, code, label, round(o_orderkey * 250 / 1e3, 6), round((o_orderkey * 250 + 100) / 1e3, 6) FROM o")

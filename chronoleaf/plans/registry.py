@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoleaf.plans import bundles, files, graphs, intervals, items, language, retrieval, scores, summaries
+from chronoleaf.plans import bundles, files, graphs, intervals, items, language, records, retrieval, scores, summaries
 
-MODULES = (intervals, scores, language, graphs, items, files, bundles, retrieval, summaries)
+MODULES = (intervals, scores, language, graphs, items, files, bundles, retrieval, summaries, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -105,6 +105,17 @@ def test_text(spark):
     assert value(spark, tx.verdict_score(F.lit("unfaithful"), tx.SUMMARY_VERDICTS, "unfaithful")) == 0
 
 
+def test_whole_numbers_round_halves_to_even(spark):
+    assert [value(spark, an.whole(F.lit(x))) for x in (0.5, 1.5, 2.5, 12.4, 12.6, 86400.5, 0.0)] == ["0", "2", "2", "12", "13", "86400", "0"]
+    assert value(spark, an.frame_header(F.array(F.lit(1.0)), F.lit(2.5))) == "Frames sampled at t = [1.0] s of a 2 s procedure."
+
+
+def test_shares_of_verdicts(spark):
+    x = spark.createDataFrame([("a", "faithful"), ("a", "minor point"), ("a", None), ("a", "Unfaithful!"), ("b", "faithful")], "k string, verdict string")
+    got = {(r.k, r.verdict): (r.n, r.share, r.judge) for r in m.verdict_shares(x, ["k"], tx.SUMMARY_VERDICTS, "unfaithful").collect()}
+    assert got == {("a", "faithful"): (1, 0.25, 0.375), ("a", "minor"): (1, 0.25, 0.375), ("a", "unfaithful"): (2, 0.5, 0.375), ("b", "faithful"): (1, 1.0, 1.0)}
+
+
 def test_media_and_chat(spark):
     assert value(spark, an.expand_media(F.lit("a <video> b <video>"), 3)) == "a <image><image><image> b <video>"
     msgs = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in (("system", "s"), ("user", "q?"), ("assistant", "yes"))])
