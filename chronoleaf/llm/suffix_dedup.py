@@ -214,7 +214,9 @@ MET = ANCHORS + ", batch long, key long, left int, right int, by_left boolean, b
 
 
 def met_anchors(blobs: DataFrame, buckets: int) -> DataFrame:
-    """anchor_blobs -> MET. A bucket's anchors are held at once: a share of all of them, with no hash in excess."""
+    """anchor_blobs -> MET. A bucket's anchors are held at once: a share of all of them. Of a frequent hash they hold
+    only what decides, unless that is over a FEWERth of it: a hash in very many neighbourhoods comes whole.
+    """
     names = [x.split()[0] for x in MET.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
 
