@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronoleaf.functions.intervals import tenths
+
 # The grammar's patterns.
 ANSWER = r"(?is)<answer>\s*(.*?)\s*</answer>"
 PAIR = r"\[\s*([^\[\],]+?)\s*,\s*([^\[\],]+?)\s*\]"
@@ -24,7 +26,8 @@ def format_ts(seconds: Column, fmt: str = "seconds") -> Column:
     if fmt == "mmss":
         whole = F.bround(s, 0).cast("long")
         return F.format_string("%02d:%02d", F.floor(whole / 60).cast("long"), whole % 60)
-    return F.format_string("%.1f", F.round(s, 1))
+    n = tenths(s)
+    return F.when(s < 1e15, F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"))).otherwise(F.format_string("%.1f", s))
 
 
 def whole(x: Column) -> Column:

@@ -90,12 +90,26 @@ def regime(duration_s: Column, query: Column, keywords: Sequence[str] = TOOL_WOR
     return F.when(duration_s < short_s, "short").when((duration_s >= long_s) | named, "retrieve").otherwise("hier")
 
 
+def tenths(x: Column) -> Column:
+    """The tenths of a number from 0: ten times it, its halves upward, as SQL engines round; ``F.round`` goes by its shortest decimal form.
+
+    Both differ where ten times a number just below a half is that half.
+    """
+    y = x * 10
+    return F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)
+
+
+def round1(x: Column) -> Column:
+    """A number to 1 decimal by ``tenths``; those without decimals, as large ones, stay."""
+    return F.when(F.abs(x) < 1e15, F.when(x < 0, -tenths(-x)).otherwise(tenths(x)) / 10.0).otherwise(x)
+
+
 def sample_times(t0: Column, t1: Column, n: int) -> Column:
     """n points from t0 to t1, both included, to 1 decimal; one point where the span is empty or n is 1."""
     if n <= 1:
-        return F.array(F.round(t0, 1))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(t0 + i * ((t1 - t0) / (n - 1)), 1))
-    return F.when(t1 > t0, grid).otherwise(F.array(F.round(t0, 1)))
+        return F.array(round1(t0))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: round1(t0 + i * ((t1 - t0) / (n - 1))))
+    return F.when(t1 > t0, grid).otherwise(F.array(round1(t0)))
 
 
 def probe_times(duration_s: Column, every_s: float = 300.0) -> Column:
