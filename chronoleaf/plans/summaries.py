@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoleaf.functions import sql
 from chronoleaf.operators import graph, metrics
 from chronoleaf.operators import text_scores as ts
-from chronoleaf.plans.base import table
+from chronoleaf.plans.base import stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,7 +75,8 @@ def graph_closure_trade(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda name: table(spark, sf, name)
     x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     flow = x.groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.sum("l_quantity").alias("q"))
-    return graph.closure(flow.groupBy("a").agg(F.max_by("b", F.struct("q", -F.col("b"))).alias("b")))
+    # the closure reads its edges at every level: they are written first, a row for each nation
+    return graph.closure(stored(flow.groupBy("a").agg(F.max_by("b", F.struct("q", -F.col("b"))).alias("b")), "edges"))
 
 
 @query("""WITH g AS (SELECT o_custkey, list(o_orderkey % 400 ORDER BY o_orderdate, o_orderkey) AS g, list(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 400 + 1 ELSE o_orderkey % 400 END ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderkey % 11 <> 0) AS p FROM orders GROUP BY 1),
