@@ -5,11 +5,18 @@ Random picks of the usual recipe are hashes of (seed, video), so every run build
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from chronoleaf.functions import answers as an
-from chronoleaf.functions.intervals import overlap, probe_times, regime, sample_times
+from chronoleaf.functions.intervals import overlap, probe_times, regime
 from chronoleaf.operators.selection import draw
 from chronoleaf.operators.timeline import active_labels, runs_by_label
 
@@ -46,11 +53,58 @@ def rounded(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(F.round(s["t0"], 1).alias("t0"), F.round(s["t1"], 1).alias("t1")))
 
 
-def item(df: DataFrame, task: str, sub_type: Column | str, user: Column, assistant: Column, goal: Column, query: Column | None = None, window: tuple[Column, Column] | None = None, probe: Column | None = None) -> DataFrame:
-    """The item record of each row of ``df`` (dataset, domain, center, video_id, duration_s, ...)."""
+def tenths(t: np.ndarray) -> np.ndarray:
+    """``intervals.tenths`` of numbers of either sign."""
+    y = np.abs(t) * 10
+    n = np.floor(y)
+    return (np.copysign(1, t) * (n + (y - n >= 0.5))).astype(np.int64)
+
+
+def shown(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Times, each list of them as text: what ``answers.format_ts`` gives, joined by commas."""
+    plain = np.abs(flat) < 1e15
+    n = np.maximum(tenths(np.where(plain, flat, 0.0)), 0)
+    text = pc.binary_join_element_wise(pa.array(n // 10).cast(pa.string()), pa.array(list("0123456789")).take(pa.array(n % 10)), ".")
+    if not plain.all():
+        text = pa.array([x if ok else f"{max(v, 0.0):.1f}" for x, ok, v in zip(text.to_pylist(), plain, flat.tolist(), strict=True)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text), ", ")
+
+
+@F.arrow_udf(StructType([StructField("t_sec", ArrayType(DoubleType())), StructField("shown", StringType())]))
+def sampled(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``intervals.sample_times`` of ``N_FRAMES`` points and their text, for whole batches: millions of items have tens of times each."""
+    x, y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (a, b))
+    i = np.arange(N_FRAMES)
+    t = x[:, None] + i * ((y - x) / (N_FRAMES - 1))[:, None]
+    kept = (y > x)[:, None] | (i == 0)
+    t[:, 0] = x
+    offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))])
+    flat = t[kept]
+    plain = np.abs(flat) < 1e15
+    flat = np.where(plain, tenths(np.where(plain, flat, 0.0)) / 10.0, flat)
+    known = a.is_valid().to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(x)), np.diff(offsets))]
+    times = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, mask=~known))
+    return pa.StructArray.from_arrays([times, shown(np.where(known, flat, 0.0), offsets)], names=["t_sec", "shown"])
+
+
+@F.arrow_udf(StringType())
+def shown_times(times: pa.Array) -> pa.Array:
+    """The text of arrays of times."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(times), 0).to_numpy(zero_copy_only=False))])
+    return shown(pc.fill_null(times.flatten(), 0.0).to_numpy(zero_copy_only=False), ends)
+
+
+#: How a prompt starts; the times of its frames come next.
+OPENS = "Frames sampled at t = ["
+
+
+def item(df: DataFrame, task: str, sub_type: Column | str, user: Column, assistant: Column, goal: Column, query: Column | None = None, window: tuple[Column, Column] | None = None, probe: Column | None = None, number: Column | None = None) -> DataFrame:
+    """The item of each row of ``df`` (dataset, domain, center, video_id, duration_s, ...) before ``finished``: its prompt lacks the times.
+
+    What is sorted and shuffled for ids are such rows of a few dozen bytes, not records with two lists of times.
+    """
     sub = sub_type if isinstance(sub_type, Column) else F.lit(sub_type)
     a, b = window or (F.lit(0.0), F.col("duration_s"))
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return df.select(
         "dataset",
         "domain",
@@ -61,17 +115,50 @@ def item(df: DataFrame, task: str, sub_type: Column | str, user: Column, assista
         regime(F.col("duration_s"), query if query is not None else F.lit("")).alias("regime"),
         F.col("duration_s").cast("double").alias("duration_s"),
         (probe if probe is not None else F.lit(None)).cast("double").alias("probe_t_s"),
-        F.struct(sample_times(a, b, N_FRAMES).alias("t_sec"), (F.array(a, b) if window else F.lit(None).cast("array<double>")).alias("window")).alias("frames"),
-        F.array(message("system", F.lit(SYSTEM[task])), message("user", user), message("assistant", assistant)).alias("messages"),
+        a.cast("double").alias("_a"),
+        b.cast("double").alias("_b"),
+        F.lit(window is not None).alias("_windowed"),
+        user.alias("_user"),
+        assistant.alias("_said"),
         goal.alias("target"),
+        (number if number is not None else F.lit(None)).cast("long").alias("_k"),
     )
 
 
-def grid(df_window: tuple[Column, Column] | None = None) -> Column:
-    a, b = df_window or (F.lit(0.0), F.col("duration_s"))
-    return sample_times(a, b, N_FRAMES)
+def grid() -> Column:
+    """No times: ``finished`` puts them into the prompt."""
+    return F.array().cast("array<double>")
+
+
+def finished(drafts: DataFrame) -> DataFrame:
+    """Whole item records: with frame times, and messages that show them."""
+    x = drafts.withColumn("_f", sampled("_a", "_b"))
+    system = None
+    for task, text in SYSTEM.items():
+        system = F.when(F.col("task") == task, text) if system is None else system.when(F.col("task") == task, text)
+    user = F.concat(F.lit(OPENS), F.col("_f.shown"), F.substring("_user", len(OPENS) + 1, 1 << 30))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    made = {
+        "frames": F.struct(F.col("_f.t_sec").alias("t_sec"), F.when(F.col("_windowed"), F.array("_a", "_b")).alias("window")),
+        "messages": F.array(message("system", system), message("user", user), message("assistant", F.col("_said"))),
+        "target": F.col("target"),
+    }
+    first = ["dataset", "domain", "center", "video_id", "task", "sub_type", "regime", "duration_s", "probe_t_s"]
+    return x.select(*first, *[c.alias(n) for n, c in made.items()], *[c for c in drafts.columns if c == "id"])
+
+
+def family(drafts: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Whole records of a family's drafts, which stay at hand as ``drafts``."""
+
+    @wraps(drafts)
+    def whole(*args, **given) -> DataFrame:
+        return finished(drafts(*args, **given))
+
+    whole.drafts = drafts
+    return whole
 
 
+@family
 def grounding_items(videos: DataFrame, timeline: DataFrame, kind: str, multi: bool = True, least_s: float = 0.0) -> DataFrame:
     """One question per label: all its runs, or only the first unless ``multi``; runs shorter than least_s are left out."""
     runs = runs_by_label(timeline.filter((F.col("kind") == kind) & (F.col("t1") - F.col("t0") >= least_s)), KEYS)
@@ -82,6 +169,7 @@ def grounding_items(videos: DataFrame, timeline: DataFrame, kind: str, multi: bo
     return item(x, "t1", sub, an.user_grounding(grid(), F.col("duration_s"), q), an.answer_spans(spans), target(spans=rounded(spans)), q)
 
 
+@family
 def relative_items(videos: DataFrame, timeline: DataFrame, seed: int = 0) -> DataFrame:
     """What happens right after a drawn phase."""
     w = Window.partitionBy(*KEYS)
@@ -92,6 +180,7 @@ def relative_items(videos: DataFrame, timeline: DataFrame, seed: int = 0) -> Dat
     return item(x, "t1", "relative", an.user_grounding(grid(), F.col("duration_s"), q), an.answer_spans(spans), target(spans=rounded(spans)), q)
 
 
+@family
 def cross_scale_items(videos: DataFrame, timeline: DataFrame, steps: DataFrame) -> DataFrame:
     """The first step of a video that has a parent, asked within that phase. steps: name, parent (phase name)."""
     first = timeline.filter("kind = 'step'").groupBy(*KEYS).agg(F.min(F.struct("run_id", "label", "t0", "t1")).alias("f"))
@@ -101,6 +190,7 @@ def cross_scale_items(videos: DataFrame, timeline: DataFrame, steps: DataFrame)
     return item(x, "t1", "cross_scale", an.user_grounding(grid(), F.col("duration_s"), q), an.answer_spans(spans), target(spans=rounded(spans)), q)
 
 
+@family
 def nl_items(videos: DataFrame, queries: DataFrame) -> DataFrame:
     """Questions that come with the data: queries (dataset, video_id, query, t0, t1)."""
     x = queries.join(videos, KEYS)
@@ -108,6 +198,7 @@ def nl_items(videos: DataFrame, queries: DataFrame) -> DataFrame:
     return item(x, "t1", "nl", an.user_grounding(grid(), F.col("duration_s"), F.col("query")), an.answer_spans(spans), target(spans=rounded(spans)), F.col("query"))
 
 
+@family
 def segmentation_items(videos: DataFrame, timeline: DataFrame, kind: str) -> DataFrame:
     """All phases or steps of a video in order."""
     row = F.struct("run_id", "label", F.round("t0", 1).alias("t0"), F.round("t1", 1).alias("t1"))
@@ -117,14 +208,16 @@ def segmentation_items(videos: DataFrame, timeline: DataFrame, kind: str) -> Dat
     return item(x, "t2", kind, an.user_segmentation(grid(), F.col("duration_s"), f"{kind}s"), an.answer_segments(segs), goal)
 
 
+@family
 def duration_items(videos: DataFrame, every_s: float = 300.0) -> DataFrame:
     """Remaining minutes at each probe; only frames before it are shown."""
-    x = videos.select("*", F.explode(probe_times(F.col("duration_s"), every_s)).alias("_t"))
+    x = videos.select("*", F.posexplode(probe_times(F.col("duration_s"), every_s)).alias("_i", "_t"))
     left = (F.col("duration_s") - F.col("_t")) / 60.0
     w = (F.lit(0.0), F.col("_t"))
-    return item(x, "t3", "rsd", an.user_rsd(grid(w), F.col("_t")), an.answer_minutes(left), target(minutes=F.round(left, 2)), None, w, F.round("_t", 1))
+    return item(x, "t3", "rsd", an.user_rsd(grid(), F.col("_t")), an.answer_minutes(left), target(minutes=F.round(left, 2)), None, w, F.round("_t", 1), F.col("_i") + 1)
 
 
+@family
 def detection_items(videos: DataFrame, timeline: DataFrame, kind: str = "step", n_windows: int = 3, size_s: float = 300.0, seed: int = 0) -> DataFrame:
     """Labels active in drawn windows."""
     room = F.greatest(F.lit(0.0), F.col("duration_s") - size_s)
@@ -134,9 +227,10 @@ def detection_items(videos: DataFrame, timeline: DataFrame, kind: str = "step",
     own = timeline.filter(F.col("kind") == kind)
     x = active_labels(w.join(own.select(*KEYS).distinct(), KEYS, "left_semi"), own, KEYS, "window_id")
     win = (F.col("w0"), F.col("w1"))
-    return item(x, "t4", f"{kind}s", an.user_detection(grid(win), F.col("duration_s"), *win, f"{kind}s"), an.answer_labels(F.col("labels")), target(labels=F.col("labels"), window=F.array(*win)), None, win)
+    return item(x, "t4", f"{kind}s", an.user_detection(grid(), F.col("duration_s"), *win, f"{kind}s"), an.answer_labels(F.col("labels")), target(labels=F.col("labels"), window=F.array(*win)), None, win)
 
 
+@family
 def summary_items(videos: DataFrame, timeline: DataFrame, seed: int = 0) -> DataFrame:
     """A drawn phase to the end of the second one after it, as a clipped timeline in words."""
     w = Window.partitionBy(*KEYS).orderBy("run_id")
@@ -151,9 +245,10 @@ def summary_items(videos: DataFrame, timeline: DataFrame, seed: int = 0) -> Data
     line = F.transform("_s", lambda s: F.struct(s["label"].alias("label"), s["t0"].alias("t0"), s["t1"].alias("t1")))
     text = F.concat(F.array_join(F.transform(line, lambda s: F.concat(s["label"], F.lit(" ("), an.whole(s["t0"]), F.lit("-"), an.whole(s["t1"]), F.lit(" s)"))), "; "), F.lit("."))
     win = (F.col("w0"), F.col("w1"))
-    return item(x, "t6", "interval", an.user_summary(grid(win), F.col("duration_s"), *win), an.answer_text(text), target(text=text, timeline=line), None, win)
+    return item(x, "t6", "interval", an.user_summary(grid(), F.col("duration_s"), *win), an.answer_text(text), target(text=text, timeline=line), None, win)
 
 
+@family
 def qa_items(videos: DataFrame, timeline: DataFrame, seed: int = 0) -> DataFrame:
     """Order of the first two phases, length of a drawn one, and uses of the first action's tool."""
     w = Window.partitionBy(*KEYS)
@@ -181,6 +276,7 @@ def tool_counts(actions: DataFrame, keys: list[str]) -> DataFrame:
     return x.join(first, [*keys, "tool"]).groupBy(*keys, "tool").agg(F.count(F.lit(1)).alias("uses"))
 
 
+@family
 def unanswerable_items(videos: DataFrame, hard_edges: list[tuple[str, str]], seed: int = 0) -> DataFrame:
     """Per video a question about an absent event and one that reverses a drawn hard edge (a before b)."""
     which = pick(F.lit(len(ABSENT)), seed, F.lit("absent"), F.col("video_id"))
@@ -197,26 +293,26 @@ def unanswerable_items(videos: DataFrame, hard_edges: list[tuple[str, str]], see
 def build(videos: DataFrame, timeline: DataFrame, hard_edges: list[tuple[str, str]] = (), steps: DataFrame | None = None, families: tuple[str, ...] | None = None, limit: int | None = None, seed: int = 0) -> DataFrame:
     """All items of the families (t1 to t6), in a drawn order if limited, with ids per video."""
     parts = [
-        *[grounding_items(videos, timeline, k, multi=k != "step", least_s=2.0 if k == "action" else 0.0) for k in ("phase", "step", "action")],
-        relative_items(videos, timeline, seed),
-        *([cross_scale_items(videos, timeline, steps)] if steps is not None else []),
-        unanswerable_items(videos, list(hard_edges), seed),
-        segmentation_items(videos, timeline, "phase"),
-        segmentation_items(videos, timeline, "step"),
-        duration_items(videos),
-        detection_items(videos, timeline, "step", seed=seed),
-        qa_items(videos, timeline, seed),
-        summary_items(videos, timeline, seed),
+        *[grounding_items.drafts(videos, timeline, k, multi=k != "step", least_s=2.0 if k == "action" else 0.0) for k in ("phase", "step", "action")],
+        relative_items.drafts(videos, timeline, seed),
+        *([cross_scale_items.drafts(videos, timeline, steps)] if steps is not None else []),
+        unanswerable_items.drafts(videos, list(hard_edges), seed),
+        segmentation_items.drafts(videos, timeline, "phase"),
+        segmentation_items.drafts(videos, timeline, "step"),
+        detection_items.drafts(videos, timeline, "step", seed=seed),
+        qa_items.drafts(videos, timeline, seed),
+        summary_items.drafts(videos, timeline, seed),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    # prompts of a video differ in their frames only where windows do, and those by their first time; probes count themselves
+    order = Window.partitionBy(*KEYS, "task").orderBy("sub_type", "probe_t_s", an.format_ts(F.col("_a")), "_user")
+    out = out.withColumn("_k", F.row_number().over(order).cast("long")).unionByName(duration_items.drafts(videos))
     if families:
         out = out.filter(F.col("task").isin(*families))
-    user = F.element_at("messages", 2)["content"]
-    k = F.row_number().over(Window.partitionBy(*KEYS, "task").orderBy("sub_type", "probe_t_s", user))
-    out = out.withColumn("id", F.format_string("%s-%s-%s-%06d", "dataset", "video_id", "task", k))
-    return out.orderBy(draw(seed, F.col("id")), "id").limit(limit) if limit is not None else out
+    out = out.withColumn("id", F.format_string("%s-%s-%s-%06d", "dataset", "video_id", "task", "_k"))
+    return finished(out.orderBy(draw(seed, F.col("id")), "id").limit(limit) if limit is not None else out)
 
 
 def histogram(items: DataFrame) -> DataFrame:
