@@ -128,9 +128,8 @@ def item_records(spark: SparkSession, sf: str) -> DataFrame:
     """Every item of every family as a whole: id, route, frame times, the three messages, target."""
     videos, timeline = kinds(spark, sf)
     x = tasks.build(videos, timeline, list(EDGES), spark.createDataFrame(list(PARENTS), "name string, parent string"))
-    times = F.array_join(F.transform("frames.t_sec", lambda t: F.format_string("%.1f", t)), ", ")
     said = F.array_join(F.transform("messages", lambda s: F.concat(s["role"], F.lit(":"), s["content"])), "\n")
-    return x.select("id", "sub_type", "regime", "probe_t_s", F.md5(times).alias("frames"), F.md5(said).alias("messages"), F.md5(shown_target(F.col("target"))).alias("target"))
+    return x.select("id", "sub_type", "regime", "probe_t_s", F.md5(tasks.shown_times("frames.t_sec")).alias("frames"), F.md5(said).alias("messages"), F.md5(shown_target(F.col("target"))).alias("target"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations), r AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND k = 1 THEN 'In short: ' || text ELSE text END AS text FROM c)
