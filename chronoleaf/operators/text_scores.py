@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,14 @@ def fewest_chunks(pred: Sequence[str], ref: Sequence[str], beam: int = 16) -> tu
     return m, min(states.values())
 
 
+def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, matches, chunks and the numbers of words of batches (k, p, r). Words become Python objects for one record at a time."""
+    for b in batches:
+        found = [fewest_chunks(p.as_py(), r.as_py()) for p, r in zip(b.column(1), b.column(2), strict=True)]
+        sizes = [pc.list_value_length(b.column(i)).cast(pa.int64()) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), *sizes], names=["k", "matches", "chunks", "np", "nr"])
+
+
 def meteor(records: DataFrame, key: str, pred: str = "pred", ref: str = "ref", alpha: float = 0.85, beta: float = 0.2, gamma: float = 0.6) -> DataFrame:
     """key, matches, chunks, meteor of each record, by equal words in lower case.
 
@@ -100,14 +109,6 @@ def meteor(records: DataFrame, key: str, pred: str = "pred", ref: str = "ref", a
     punishes broken order. Stems, synonyms and paraphrases need tables that no public function of Spark has; they are not matched.
     """
     kind = dict(records.dtypes)[key]
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, r = b.column(1).to_pylist(), b.column(2).to_pylist()
-            found = [fewest_chunks(a, c) for a, c in zip(p, r, strict=True)]
-            sizes = [pa.array([len(w) for w in side]) for side in (p, r)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), *sizes], names=["k", "matches", "chunks", "np", "nr"])
-
     lower = lambda c: words(F.lower(c))
     x = records.select(F.col(key).alias("k"), lower(F.col(pred)).alias("p"), lower(F.col(ref)).alias("r")).mapInArrow(align, f"k {kind}, matches long, chunks long, np long, nr long")
     p, r, m = F.col("matches") / F.col("np"), F.col("matches") / F.col("nr"), F.col("matches")
