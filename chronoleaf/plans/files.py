@@ -48,16 +48,21 @@ def known(spark: SparkSession) -> DataFrame:
     return readers.vocab(spark, KNOWN)
 
 
+def many(spark: SparkSession) -> int:
+    """A number of tasks that stays: files cost far more than their bytes, by which small partitions would be merged into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def as_text(lines: DataFrame, path: str, *order: str) -> str:
     """One file per video of (video, value), in the order of further columns."""
-    x = lines.repartition("video").sortWithinPartitions("video", *order)
+    x = lines.repartition(many(lines.sparkSession), "video").sortWithinPartitions("video", *order)
     x.select("video", "value").write.partitionBy("video").text(path)
     return path
 
 
 def as_json(rows: DataFrame, path: str) -> str:
     """One JSON file per row, in a folder of its video."""
-    rows.repartition("video").write.partitionBy("video").json(path)
+    rows.repartition(many(rows.sparkSession), "video").write.partitionBy("video").json(path)
     return path
 
 
