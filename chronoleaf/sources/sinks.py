@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +19,26 @@ def write_jsonl(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def packed(held: Sequence[tuple[str, bytes]]) -> memoryview:
+    """A tar file of JSON members. Its parts are forgotten at once: they refer to the file, so it would stay until a late collection."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, data in held:
+            info = tarfile.TarInfo(f"{name}.json")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+            tar.members.clear()
+    return out.getbuffer()
+
+
+def members(content: bytes) -> Iterator[tuple[str, str]]:
+    """(key, json) of the members of a tar file, forgotten as they are read."""
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r|") as tar:
+        while (m := tar.next()) is not None:
+            yield m.name[:-5], tar.extractfile(m).read().decode()
+            tar.members.clear()
+
+
 def pack_shards(items: DataFrame, key: str, shard_mb: float = 500.0) -> DataFrame:
     """(shard, n, bytes, content): tar files of JSON members, closed before they would pass 98 % of the size.
 
@@ -34,13 +54,7 @@ def pack_shards(items: DataFrame, key: str, shard_mb: float = 500.0) -> DataFram
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def shard() -> pa.RecordBatch:
-            out = io.BytesIO()
-            with tarfile.open(fileobj=out, mode="w") as tar:
-                for name, data in held:
-                    info = tarfile.TarInfo(f"{name}.json")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-            return pa.RecordBatch.from_arrays([pa.array([f"shard-{part:05d}-{k:05d}"]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["shard", "n", "bytes", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"shard-{part:05d}-{k:05d}"]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([packed(held)], pa.binary())], names=["shard", "n", "bytes", "content"])
 
         for b in batches:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -84,8 +98,7 @@ def unpack_shards(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
-                    found = [(name, m.name[:-5], tar.extractfile(m).read().decode()) for m in tar]
+                found = [(name, key, text) for key, text in members(content.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], names=["shard", "key", "json"])
 
     return shards.select("shard", "content").mapInArrow(run, "shard string, key string, json string")
