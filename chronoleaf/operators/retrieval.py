@@ -169,6 +169,9 @@ def search(queries: DataFrame, items: DataFrame, path: str, key: str, vector: st
                 tables = np.einsum("qpw,pcw->qpc", padded.reshape(len(q), parts, width), m.books)
                 code = np.frombuffer(b"".join(codes.as_py()), dtype=np.uint8).reshape(len(items_), parts)
                 score = (v @ m.centroids[at.as_py()])[:, None] + sum(tables[:, p][:, code[:, p]] for p in range(parts))
+                # near by distance, as rows that are almost equal differ in direction by less than their codes do in length
+                rest = np.concatenate([m.books[p][code[:, p]] for p in range(parts)], axis=1)[:, :d]
+                score -= ((m.centroids[at.as_py()] + rest) ** 2).sum(axis=1) / 2
                 score[q[:, None] == items_] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, :wide]
                 found = np.take_along_axis(score, top, axis=1).ravel()
