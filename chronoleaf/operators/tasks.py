@@ -70,10 +70,15 @@ def shown(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text), ", ")
 
 
-@F.arrow_udf(StructType([StructField("t_sec", ArrayType(DoubleType())), StructField("shown", StringType())]))
-def sampled(a: pa.Array, b: pa.Array) -> pa.Array:
-    """``intervals.sample_times`` of ``N_FRAMES`` points and their text, for whole batches: millions of items have tens of times each."""
-    x, y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (a, b))
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one row for each combination of the keys, and for each row its place among them. Keys are compared by their bits."""
+    bits = np.column_stack([np.ascontiguousarray(k, np.float64) for k in keys])
+    _, first, of = np.unique(bits.view(f"V{8 * len(keys)}").ravel(), return_index=True, return_inverse=True)
+    return first, of
+
+
+def grids(x: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The times of spans from x to y, and their text."""
     i = np.arange(N_FRAMES)
     t = x[:, None] + i * ((y - x) / (N_FRAMES - 1))[:, None]
     kept = (y > x)[:, None] | (i == 0)
@@ -82,16 +87,46 @@ def sampled(a: pa.Array, b: pa.Array) -> pa.Array:
     flat = t[kept]
     plain = np.abs(flat) < 1e15
     flat = np.where(plain, tenths(np.where(plain, flat, 0.0)) / 10.0, flat)
-    known = a.is_valid().to_numpy(zero_copy_only=False)[np.repeat(np.arange(len(x)), np.diff(offsets))]
-    times = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, mask=~known))
-    return pa.StructArray.from_arrays([times, shown(np.where(known, flat, 0.0), offsets)], names=["t_sec", "shown"])
+    known = known[np.repeat(np.arange(len(x)), np.diff(offsets))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, mask=~known)), shown(np.where(known, flat, 0.0), offsets)
+
+
+@F.arrow_udf(StructType([StructField("t_sec", ArrayType(DoubleType())), StructField("shown", StringType())]))
+def sampled(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``intervals.sample_times`` of ``N_FRAMES`` points and their text, for whole batches: millions of items have tens of times each.
+
+    The many items of a batch that share a span, as all probes at a time and all questions on a video do, share its grid.
+    """
+    x, y = (c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (a, b))
+    known = a.is_valid().to_numpy(zero_copy_only=False)
+    first, of = distinct(x, y, known)
+    made, of = grids(x[first], y[first], known[first]), pa.array(of)
+    return pa.StructArray.from_arrays([c.take(of) for c in made], names=["t_sec", "shown"])
 
 
 @F.arrow_udf(StringType())
 def shown_times(times: pa.Array) -> pa.Array:
-    """The text of arrays of times."""
-    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(times), 0).to_numpy(zero_copy_only=False))])
-    return shown(pc.fill_null(times.flatten(), 0.0).to_numpy(zero_copy_only=False), ends)
+    """The text of arrays of times; equal arrays of a batch are written once."""
+    n = pc.fill_null(pc.list_value_length(times), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(times.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    if not len(flat):
+        return shown(flat, ends)
+    at = np.minimum(ends[:-1], len(flat) - 1)
+    first, of = distinct(n, flat[at], flat[np.maximum(ends[1:] - 1, 0)])
+    # arrays that agree in length and ends are compared in full; one that differs from the first of these stands for itself
+    place = np.arange(len(flat)) - np.repeat(ends[:-1], n)
+    row = np.repeat(np.arange(len(n)), n)
+    same = np.ones(len(n), bool)
+    same[row[flat.view(np.int64) != flat.view(np.int64)[np.repeat(ends[:-1][first][of], n) + place]]] = False
+    others = np.flatnonzero(~same)
+    of = of.copy()
+    of[others] = len(first) + np.arange(len(others))
+    rows = np.concatenate([first, others])
+    sizes = n[rows]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    picked = np.repeat(ends[:-1][rows] - offsets[:-1], sizes) + np.arange(offsets[-1])
+    return shown(flat[picked], offsets).take(pa.array(of))
 
 
 #: How a prompt starts; the times of its frames come next.
@@ -210,8 +245,13 @@ def segmentation_items(videos: DataFrame, timeline: DataFrame, kind: str) -> Dat
 
 @family
 def duration_items(videos: DataFrame, every_s: float = 300.0) -> DataFrame:
-    """Remaining minutes at each probe; only frames before it are shown."""
-    x = videos.select("*", F.posexplode(probe_times(F.col("duration_s"), every_s)).alias("_i", "_t"))
+    """Remaining minutes at each probe; only frames before it are shown.
+
+    A small file of videos has probes by the million, so videos are dealt out before their probes are made.
+    """
+    spark = videos.sparkSession
+    tasks = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    x = videos.repartition(tasks, *KEYS).select("*", F.posexplode(probe_times(F.col("duration_s"), every_s)).alias("_i", "_t"))
     left = (F.col("duration_s") - F.col("_t")) / 60.0
     w = (F.lit(0.0), F.col("_t"))
     return item(x, "t3", "rsd", an.user_rsd(grid(), F.col("_t")), an.answer_minutes(left), target(minutes=F.round(left, 2)), None, w, F.round("_t", 1), F.col("_i") + 1)

@@ -11,7 +11,7 @@ from chronoleaf.functions.intervals import TOOL_WORDS
 from chronoleaf.operators import metrics as m
 from chronoleaf.operators import provenance, report, tasks
 from chronoleaf.plans import files, items
-from chronoleaf.plans.base import EDGES, SQL, runs, scratch, stored, table
+from chronoleaf.plans.base import EDGES, SQL, runs, scratch, table
 from chronoleaf.sources import readers
 
 QUERIES: dict = {}
@@ -107,10 +107,9 @@ SELECT {columns} FROM u"""
 
 def kinds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Videos, and a timeline of three kinds."""
-    videos, phases = items.videos_and_timeline(spark, sf)
-    phases = stored(phases, "timeline")
+    videos, phases = items.stored_videos_and_timeline(spark, sf)
     steps, actions = (phases.filter(F.col("run_id") % k == 0).withColumn("kind", F.lit(kind)) for k, kind in ((2, "step"), (3, "action")))
-    return stored(videos, "videos"), phases.union(steps).union(actions)
+    return videos, phases.union(steps).union(actions)
 
 
 def shown_target(t: Column) -> Column:
